@@ -6,6 +6,8 @@ import importlib
 
 OPERATORS = {
     "op1_ngram_jaccard_join": "op1",
+    "op7_license_scan": "op7",
+    "op9_quality_rules": "op9",
 }
 
 
