@@ -6,6 +6,7 @@ import importlib
 
 OPERATORS = {
     "op1_ngram_jaccard_join": "op1",
+    "op3_sentencepiece": "op3",
     "op4_warc": "op4",
     "op6_exact_top_k": "op6",
     "op7_license_scan": "op7",
