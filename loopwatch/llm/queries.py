@@ -12,6 +12,7 @@ OPERATORS = {
     "op7_license_scan": "op7",
     "op8_source_mixing": "op8",
     "op9_quality_rules": "op9",
+    "op10_language_id": "op10",
 }
 
 
