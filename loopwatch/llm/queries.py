@@ -8,6 +8,7 @@ OPERATORS = {
     "op1_ngram_jaccard_join": "op1",
     "op3_sentencepiece": "op3",
     "op4_warc": "op4",
+    "op5_line_dedup": "op5",
     "op6_exact_top_k": "op6",
     "op7_license_scan": "op7",
     "op8_source_mixing": "op8",

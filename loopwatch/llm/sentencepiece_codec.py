@@ -265,7 +265,7 @@ def encode(spark: SparkSession, docs: DataFrame, text: str = "text", model: str
     """docs with ids, n_tokens and exact (whether decoding the ids gives the text back)."""
     shared = spark.sparkContext.broadcast(read_model(model))
     docs = docs.drop("ids", "n_tokens", "exact")
-    place = docs.columns.index(text)
+    names, place = docs.columns, docs.columns.index(text)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def run(batches):
@@ -287,7 +287,7 @@ def encode(spark: SparkSession, docs: DataFrame, text: str = "text", model: str
                     import pyarrow.compute as pc
 
                     lists = pc.if_else(nulls, pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes.astype(np.int64)), pa.array(exact)], names=[*docs.columns, "ids", "n_tokens", "exact"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(sizes.astype(np.int64)), pa.array(exact)], names=[*names, "ids", "n_tokens", "exact"])
 
     return docs.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_tokens long", "exact boolean"]))
 
@@ -296,13 +296,13 @@ def decode(spark: SparkSession, coded: DataFrame, ids: str = "ids", model: str =
     """coded with `decoded`, the text of its ids; null ids give a null text."""
     shared = spark.sparkContext.broadcast(read_model(model))
     coded = coded.drop("decoded")
-    place = coded.columns.index(ids)
+    names, place = coded.columns, coded.columns.index(ids)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields]
 
     def run(batches):
         m = load(shared.value)
         for b in batches:
             texts = [None if x is None else m.decode(np.array(x, np.int32)) for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*coded.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return coded.mapInArrow(run, ", ".join([*fields, "decoded string"]))
