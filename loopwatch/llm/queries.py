@@ -6,6 +6,7 @@ import importlib
 
 OPERATORS = {
     "op1_ngram_jaccard_join": "op1",
+    "op2_substring_dedup": "op2",
     "op3_sentencepiece": "op3",
     "op4_warc": "op4",
     "op5_line_dedup": "op5",
