@@ -166,8 +166,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, overlap long")
 
 
-#: Lists of so many nodes at most are compared whole in one round; of longer ones a quarter of the nodes are pivots.
-SMALL_LIST = 32
+#: Lists of so many nodes at most are compared whole in round 1; longer ones have about 4**k pivots in round k.
+SMALL_LIST = 16
 
 
 def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratch: common.Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
@@ -183,7 +183,7 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
                 if here:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*here, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "tokens"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(alive.select("doc_id", "node"), "doc_id").select("node", "text")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(alive.select("doc_id", "node").hint("merge"), "doc_id").select("node", "text")
     sets = scratch.save(texts.mapInArrow(tokens, "node long, n long, tokens binary"), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     lists = scratch.save(_prefixes(sets, percent, keys).withColumn("band", band), "lists_0")
@@ -199,7 +199,9 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
             pivots = named.groupBy("h", "band").agg(F.min(F.struct("node", "n", "pos", "comp")).alias("p")).select("h", "band", "p.*")
         else:
             live = scratch.save(live, f"live_{k}")
-            chosen = (F.col("size") <= SMALL_LIST) | (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(4)) == 0)
+            # by one order of all nodes, so that lists with much the same nodes have the same pivots
+            turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+            chosen = (F.col("size") <= SMALL_LIST) | (turn * F.col("size") < 4.0**k * (1 << 30))
             pivots = live.where(chosen).select("h", "band", "node", "n", "pos", "comp")
         near = pivots.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "pos", "comp")))
         need = F.expr(f"({percent} * (n + p_n) + {99 + percent}) div {100 + percent}")
