@@ -117,7 +117,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES) -> D
     starts = later.groupBy("doc", "th").agg(F.sort_array(F.collect_list("i")).alias("starts"), F.max("depth").alias("common_prefix"))
     starts = scratch.save(starts, "starts").withColumnRenamed("doc", "_doc").withColumnRenamed("th", "_th")
     # a text and its own starts meet; both are as long as the text
-    joined = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}).join(starts, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left")
+    joined = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}).join(starts.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left")
     joined = joined.drop("_d", "_t", "_doc", "_th")
     names, place = docs.columns, docs.columns.index("text")
     n = len(names)
