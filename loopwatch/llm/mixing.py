@@ -66,24 +66,26 @@ def plan(spark: SparkSession, docs: DataFrame, budget_ratio: float = 1.0, entrop
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")
     # counted once and kept: the decisions below read only these few columns
+    # the tables by source and block have at most `blocks` rows for each source: a few tasks write them
+    few = 8
     small = scratch.save(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), tokens.alias("n_tokens"), block.alias("block")), "tokens")
-    sums = scratch.save(small.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    sums = scratch.save(small.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).coalesce(few), "blocks")
     sources = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
-    shares = scratch.save(sources.select("source", "tokens", (F.col("tokens") / F.lit(max(total, 1))).alias("p")), "shares")
+    shares = scratch.save(sources.select("source", "tokens", (F.col("tokens") / F.lit(max(total, 1))).alias("p")).coalesce(few), "shares")
     t = temperature(shares.where("p > 0"), budget_ratio, entropy, most_repeats)
     z = shares.where("p > 0").agg(F.sum(F.pow("p", F.lit(t)))).first()[0] or 1.0
     weights = shares.withColumn("weight", F.when(F.col("p") > 0, F.pow("p", F.lit(t)) / z).otherwise(0.0))
     weights = weights.withColumn("budget", F.floor(F.col("weight") * budget_ratio * total).cast("long"))
     weights = weights.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(1).cast("long"))
-    weights = scratch.save(weights.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0)), "weights")
+    weights = scratch.save(weights.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0)).coalesce(few), "weights")
     # a source has `blocks` blocks at most, so its window stays small whatever the source holds
     same = F.col("source").eqNullSafe(F.col("w_source"))
     w = weights.withColumnRenamed("source", "w_source").drop("tokens")
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "passes", "block"), "block")
     laid = sums.join(w, same).drop("w_source").withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.select("source", "block", "weight", "passes", "rest", (F.col("upto") <= F.col("rest")).alias("whole"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("left"))
-    laid = scratch.save(laid.withColumn("part", ~F.col("whole") & (F.col("left") > 0)), "laid")
+    laid = scratch.save(laid.withColumn("part", ~F.col("whole") & (F.col("left") > 0)).coalesce(few), "laid")
     # the one block of each source that is taken in part
     b = laid.where("part").select(F.col("source").alias("w_source"), F.col("block").alias("w_block"), "left", "passes")
     cut = small.join(b, F.col("source").eqNullSafe(F.col("w_source")) & (F.col("block") == F.col("w_block")))
