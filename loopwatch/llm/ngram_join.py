@@ -166,8 +166,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, overlap long")
 
 
-#: Lists of so many nodes at most are compared whole in round 1; longer ones have about 4**k pivots in round k.
-SMALL_LIST = 16
+#: Lists of so many nodes at most are compared whole in round 1; longer ones have about 16**k pivots in round k.
+SMALL_LIST = 32
 
 
 def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratch: common.Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
@@ -191,8 +191,6 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
     comps, links, tried, k = None, None, None, 0
     while True:
         named = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if k:
-            named = scratch.save(named, f"named_{k}")
         open_lists = named.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "size")
         live = named.join(open_lists, "h")
         if k == 0:
@@ -201,7 +199,7 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
             live = scratch.save(live, f"live_{k}")
             # by one order of all nodes, so that lists with much the same nodes have the same pivots
             turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-            chosen = (F.col("size") <= SMALL_LIST) | (turn * F.col("size") < 4.0**k * (1 << 30))
+            chosen = (F.col("size") <= SMALL_LIST) | (turn * F.col("size") < 16.0**k * (1 << 30))
             pivots = live.where(chosen).select("h", "band", "node", "n", "pos", "comp")
         near = pivots.select("h", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "pos", "comp")))
         need = F.expr(f"({percent} * (n + p_n) + {99 + percent}) div {100 + percent}")
@@ -222,7 +220,7 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
             comps = scratch.save(common.components(scratch, links, f"stars_{k}"), f"comps_{k}")
         used = pivots.select("h", "node")
         rest = scratch.save(live.join(used, ["h", "node"], "left_anti").select("h", "node", "n", "pos", "band"), f"lists_{k + 1}")
-        scratch.drop(f"lists_{k}", f"named_{k}", f"live_{k}")
+        scratch.drop(f"lists_{k}", f"live_{k}")
         lists, k = rest, k + 1
         if lists.isEmpty():
             break
