@@ -3,7 +3,7 @@
 Components become floor(256 * x). Candidates are packed into blocks, queries too; a query block visits every candidate block.
 Within a block each query's terms (components it weighs) are split by score bounds: the essential ones are those without
 which no candidate could reach the query's k-th best score so far. Their postings are summed for all candidates of the block,
-then the other terms are probed only for the candidates still competitive. Each task keeps the k best of its blocks and the
+then the other terms are probed, in steps that double, only for the candidates still competitive. Each task keeps the k best of its blocks and the
 shards' results are merged by query. Bounds never cut a candidate that ties with the k-th best, so ties go by vec_id exactly.
 
 Vectors that are null or hold nulls or non-finite components, and rows with a null vec_id, take no part. Shorter vectors count
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, QUERY_BLOCK, BLOCK, SCALE = 5, 512, 4096, 256.0
+#: A task sends on its results when it holds so many queries; the final ranking merges them.
+MOST_QUERIES = 50_000
 PACKED = "block long, n int, dim int, ids binary, data binary"
 _EXACT = 1 << 53
 
@@ -65,10 +67,13 @@ def best_of_block(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np
     rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))  # the most that terms from here on can add
     if rest[0] < least:
         return np.zeros(0, np.int64), np.zeros(0)
-    # essential: half of the reach; probes go on in steps that double
+    # a row that gains nothing over the least contribution of the essential terms can't reach `least` by the others
+    reach = reach[order]
+    without = np.concatenate(([0.0], np.cumsum(bound - reach))) + rest
+    essential = int(np.searchsorted(-without, -least, side="right")) if np.isfinite(least) else len(terms)
     alive, score = None, None
     at = 0
-    step = max(1, len(terms) // 4)
+    step = min(max(1, essential), max(1, len(terms)))
     while at < len(terms):
         to = min(len(terms), at + step)
         part = (rows[:, terms[at:to]] if alive is None else rows[np.ix_(alive, terms[at:to])]) @ q[at:to]
@@ -88,6 +93,13 @@ def best_of_block(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def sent():
+        out = [(q, int(v), int(s)) for q, (ids, scores) in best.items() for v, s in zip(ids, scores, strict=True)]
+        best.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
         for row in b.to_pylist():
@@ -117,9 +129,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     own, score = own[score >= cut], score[score >= cut]
                 first = sorted(range(len(own)), key=lambda j: (-score[j], own[j]))[:k]
                 best[q_id] = own[first], score[first]
-    out = [(q, int(v), int(s)) for q, (ids, scores) in best.items() for v, s in zip(ids, scores, strict=True)]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            if len(best) >= MOST_QUERIES:
+                yield from sent()
+    yield from sent()
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = K, shards: int | None = None) -> DataFrame:
