@@ -70,7 +70,7 @@ def best_of_block(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np
     # a row that gains nothing over the least contribution of the essential terms can't reach `least` by the others
     reach = reach[order]
     without = np.concatenate(([0.0], np.cumsum(bound - reach))) + rest
-    essential = int(np.searchsorted(-without, -least, side="right")) if np.isfinite(least) else len(terms)
+    essential = int(np.searchsorted(-without, -least, side="right")) if least != -np.inf else len(terms)
     alive, score = None, None
     at = 0
     step = min(max(1, essential), max(1, len(terms)))
