@@ -33,7 +33,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNIGRAM, BPE = 1, 2
-#: Words that a task remembers.
+#: Words that a task remembers in each of two generations.
 MOST_WORDS = 250_000
 
 
@@ -95,6 +95,13 @@ class Model:
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else b"" if t == 3 else p.replace(SPACE, " ").encode() for p, _, t in self.pieces]
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Lengths of the pieces that end in three characters, longest first; two and one are always tried.
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.sizes = {end: tuple(sorted(x, reverse=True)) for end, x in sizes.items()}
 
     def merged(self, text: str) -> list[str]:
         """Parts of a short text after all merges: the best-ranked neighbours first, the left ones on ties."""
@@ -120,12 +127,15 @@ class Model:
 
     def _short_bpe(self, text: str) -> list[str]:
         """The search for a text that fits in one window: all boundaries are held, and the path is read at the end."""
-        n, longest, score, apart = len(text), self.longest, self.score, self.apart
+        n, sizes, score, apart = len(text), self.sizes, self.score, self.apart
         last: list[str] = [""] * (n + 1)
         for i in range(1, n + 1):
-            for lo in range(i - longest if i > longest else 0, i):
+            for size in sizes.get(text[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                lo = i - size
+                if lo < 0:
+                    continue
                 piece = text[lo:i]
-                if piece not in score and i - lo > 1:
+                if size > 1 and piece not in score:
                     continue
                 if lo:
                     ok = apart.get((last[lo], piece))
@@ -235,10 +245,11 @@ class Model:
         for part in self.words.findall(text):
             got = known.get(part)
             if got is None:
-                got = self.encode_part(part)
+                got = self.older.get(part) or self.encode_part(part)
                 if len(part) < 64:
-                    if len(known) >= MOST_WORDS:
-                        known.clear()
+                    if len(known) >= MOST_WORDS:  # words not met again since the last change go
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[part] = got
             out.append(got)
         return np.frombuffer(b"".join(out), "<i4")
