@@ -29,6 +29,17 @@ def class_f1(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return out.withColumn("f1", F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
+def spearman(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """by and rho: the correlation of ranks in each group, equal values sharing their mean rank; rows with a null don't count."""
+
+    def mean_rank(c: str) -> Column:
+        return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / 2
+
+    used = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    ranked = used.select(by, mean_rank(a).alias("_a"), mean_rank(b).alias("_b"))
+    return ranked.groupBy(by).agg(F.corr("_a", "_b").alias("rho"))
+
+
 def set_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 

@@ -155,7 +155,7 @@ QUERIES = {
         f"with sc as ({SCORED}), x as (select *, row_number() over (partition by kind order by doc_id) as seq from sc) select kind, (seq - 1) // 64 as window_id, count(*) as n, round(avg(conf), 6) as mean, round(stddev_pop(conf), 6) as dev from x group by 1, 2",
     ),
     "a_spearman": (
-        lambda s, d: panel(s, d).groupBy("device_id").agg(r6(F.corr("flow_rate", "pressure")).alias("corr")),
-        f"{WITH} select device_id, round(corr(flow_rate, pressure), 6) as corr from panel group by 1",
+        lambda s, d: m.spearman(panel(s, d), "device_id", "flow_rate", "pressure").select("device_id", r6("rho").alias("corr")),
+        f"{WITH}, x as (select device_id, rank() over (partition by device_id order by flow_rate) + (count(*) over (partition by device_id, flow_rate) - 1) / 2e0 as a, rank() over (partition by device_id order by pressure) + (count(*) over (partition by device_id, pressure) - 1) / 2e0 as b from panel where flow_rate is not null and pressure is not null) select device_id, round(corr(a, b), 6) as corr from x group by 1",
     ),
 }
