@@ -16,13 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their group's adaptive cutoffs. Rows are told apart by id and text."""
+    """Documents that pass the base rules and their group's adaptive cutoffs. Each row carries its own verdict."""
     scratch = common.Scratch(spark)
-    keyed = docs.select("doc_id", F.col("text"), "lang", "source")
-    measured = quality.metrics(scratch.save(quality.text_features(keyed), "features"))
+    measured = quality.metrics(scratch.save(quality.text_features(docs, ("text", "n_chars")), "features"))
     verdicts = quality.judge(measured, quality.cutoffs(quality.sketches(measured)))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    return verdicts.where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,18 +93,22 @@ def count_features(column: pa.Array) -> list[np.ndarray]:
     return [np.diff(w.first), chars, _per_text(_SYMBOL[buf], off), n_dup, repeat, n_lines, _per_text(_UPPER[buf], off), _per_text(_LETTER[buf], off), echo]
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and COUNTS of every row, over its whole text."""
+def text_features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns in carry and COUNTS of every row, over its whole text."""
 
     def run(batches):
         for b in batches:
             column = b.column(3)
             for lo, hi in pieces(column):
                 got = count_features(column.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), *(pa.array(x, pa.int64()) for x in got)], names=["doc_id", "lang", "source", *COUNTS])
-
-    used = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("binary").alias("text"))
-    return used.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+                own = [b.column(names.index(c)).slice(lo, hi - lo) for c in out]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in got)], names=[*out, *COUNTS])
+
+    used = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("binary").alias("text"), *(c for c in carry if c != "text"))
+    names, out = used.columns, ["doc_id", "lang", "source", *carry]
+    kinds = ", ".join(f"`{c}` {used.schema[c].dataType.simpleString()}" for c in out)
+    rows = used.mapInArrow(run, kinds + ", " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.withColumn("text", F.col("text").cast("string")) if "text" in carry else rows
 
 
 def metrics(features: DataFrame) -> DataFrame:

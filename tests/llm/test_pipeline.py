@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus."""
 
+from collections import Counter
+
 import pytest
 
 pytest.importorskip("corpus_pipeline")
@@ -20,3 +22,19 @@ def test_stages(spark):
     four = cp.mix_sources(spark, one, "")
     assert four.columns == cp.COLUMNS and four.count() == 4
     assert all(r.exact for r in cp.encode(spark, four, "").collect())
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(k, n=50):
+    return " ".join(f"v{k}y{i}" for i in range(n))
+
+
+def test_quality_judges_each_row(spark):
+    import corpus_pipeline as cp
+
+    texts = [(None, prose(1)), (None, "junk"), (None, None), (7, prose(2)), (7, "short"), (8, prose(3)), (8, prose(3))]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in texts], FIELDS)
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in cp.quality_rules(spark, docs, "").collect())
+    assert got == Counter((i, t, len(t)) for i, t in texts if t and len(t) > 10)
