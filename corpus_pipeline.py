@@ -31,10 +31,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
-    links = ngram_join.link_components(spark, docs)
-    first = links.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").select(COLUMNS)
+    """One row of each group of linked documents: the one with the smallest id, or without any if none has one.
+
+    Rows are numbered and written first, so that repeated rows are told apart when they are read again."""
+    scratch = common.Scratch(spark)
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("mark"), F.monotonically_increasing_id().alias("row"))
+    docs = scratch.save(docs, "numbered")
+    links = ngram_join.row_components(spark, docs, carry=("mark", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "row"))
+    kept = links.where("n > 0").groupBy("comp").agg(first.alias("first")).select("first.row")
+    kept = kept.unionByName(links.where("n = 0").select("row"))
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Prefix filtering with rare shingles first; length, positional and suffix filters
    component. It ends when no list is left, so no link between two components is lost and a list of k near copies costs k pairs.
 
 Every text counts, whole. Null and empty texts, and texts of white space, have no shingles and no links. Rows with a null
-doc_id keep their count and get a null component_id unless copies with an id exist. Repeated rows are copies like others.
-Extra columns are ignored. Two sets of n and m shingles are compared by 64-bit hashes: a wrong verdict needs two different
+doc_id link like others; a component gets a null component_id only if none of its rows has an id. Repeated rows are copies
+like others. A node's text is read again by its first row's doc_id and text hash. Extra columns are ignored. Two sets of n and m shingles are compared by 64-bit hashes: a wrong verdict needs two different
 shingles of one pair with equal hashes, and a wrong name needs two sets with equal 64-bit sums.
 """
 
@@ -53,18 +53,29 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int,
         yield lo, shingle_sets(words(texts.slice(lo, hi - lo), lower=True), width)
 
 
-def shingle_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (distinct shingles) and node (name of the set) of every row."""
+#: Stands for a null doc_id where rows are joined.
+NO_ID = -(1 << 63)
+
+
+def _texts(docs: DataFrame, *carry: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"), *carry)
+
+
+def shingle_counts(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, th (hash of the text), the columns in carry, n (distinct shingles) and node (name of the set) of every row."""
+    rows = _texts(docs, *carry)
+    own = ["doc_id", "th", *carry]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
 
     def run(batches):
         for b in batches:
             n, node = [], []
-            for _, sets in _sets(b, 1, width):
+            for _, sets in _sets(b, 2, width):
                 n += [len(s) for s in sets]
                 node += [_name(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[3:], pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=[*own, "n", "node"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, node long")
+    return rows.mapInArrow(run, kinds + ", n long, node long")
 
 
 def _survivors(docs: DataFrame, sizes: DataFrame, width: int, percent: int, keys: list[int]) -> DataFrame:
@@ -96,7 +107,7 @@ def _survivors(docs: DataFrame, sizes: DataFrame, width: int, percent: int, keys
     packed = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(post, common.PACKED)
     hits = common.exchange(packed, len(keys), ["u8", "i8"], shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     least = F.expr(f"greatest(1, ((n * {percent} + 99) div 100) div 10)")
-    return sizes.join(hits, "node").where(F.col("shared") >= least).select("node", "n", "doc_id")
+    return sizes.join(hits, "node").where(F.col("shared") >= least).select("node", "n", "doc", "th")
 
 
 def _prefixes(sets: DataFrame, percent: int, keys: list[int]) -> DataFrame:
@@ -173,17 +184,24 @@ SMALL_LIST = 32
 def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratch: common.Scratch, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
     """(node, comp) of every node with a link, and the verified links (a, b, overlap); None where no pair is a candidate."""
     keys = common.partition_keys(spark, common.n_partitions(spark))
-    sizes = counts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "th")
+    sizes = counts.where("n > 0").groupBy("node").agg(F.min(key).alias("key"), F.max("n").alias("n")).select("node", "n", "key.*")
     alive = scratch.save(_survivors(docs, sizes, width, percent, keys), "alive")
 
     def tokens(batches):
+        seen = set()  # equal rows meet in one task, and one of them is enough
         for b in batches:
             for lo, sets in _sets(b, 1, width):
-                here = [(node, len(s), s.tobytes()) for node, s in zip(b.column(0).slice(lo, len(sets)).to_pylist(), sets, strict=True) if _name(s) == node]
+                here = []
+                for node, s in zip(b.column(0).slice(lo, len(sets)).to_pylist(), sets, strict=True):
+                    if node not in seen and _name(s) == node:
+                        seen.add(node)
+                        here.append((node, len(s), s.tobytes()))
                 if here:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*here, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "tokens"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(alive.select("doc_id", "node").hint("merge"), "doc_id").select("node", "text")
+    rows = _texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "th", "text")
+    texts = rows.join(alive.select("doc", "th", "node").hint("merge"), ["doc", "th"]).select("node", "text")
     sets = scratch.save(texts.mapInArrow(tokens, "node long, n long, tokens binary"), "sets")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     lists = scratch.save(_prefixes(sets, percent, keys).withColumn("band", band), "lists_0")
@@ -227,17 +245,20 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
     return comps, links
 
 
-def link_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, the row's own included) of every row."""
+def row_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, th, the columns in carry, n, node and comp (name of its component; rows without shingles have none) of every row."""
     scratch = common.Scratch(spark)
-    counts = scratch.save(shingle_counts(docs, width), "counts")
+    counts = scratch.save(shingle_counts(docs, width, carry), "counts")
     comps, _ = linked_nodes(spark, docs, counts, scratch, width, percent)
-    # without shingles there is no set to share: such a row is its own component
-    own = counts.withColumn("alone", F.when(F.col("n") == 0, F.col("doc_id")))
     if comps is None:
-        own = own.withColumn("comp", F.col("node"))
-    else:
-        own = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return counts.withColumn("comp", F.when(F.col("n") > 0, F.col("node")))
+    return counts.join(comps, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
+
+
+def link_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach, the row's own included) of every row."""
+    # without shingles there is no set to share: such a row is its own component
+    own = row_components(spark, docs, width, percent)
     least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = own.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("alone").alias("component_id")))
+    return out.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

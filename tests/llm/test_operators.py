@@ -63,6 +63,13 @@ def test_join_components(spark, docs):
     assert len({c for *_, c in want}) < 60  # some link
 
 
+def test_join_links_through_rows_without_id(spark):
+    w = [f"q{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:54])), (None, " ".join(w[3:57])), (2, " ".join(w[6:]))]
+    got = ngram_join.link_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_join_empty(spark, docs):
     assert ngram_join.link_components(spark, docs.limit(0)).count() == 0
     assert ngram_join.link_components(spark, docs.where("text is null")).collect()[0].n_shingles == 0

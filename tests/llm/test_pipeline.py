@@ -38,3 +38,14 @@ def test_quality_judges_each_row(spark):
     docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in texts], FIELDS)
     got = Counter((r.doc_id, r.text, r.n_chars) for r in cp.quality_rules(spark, docs, "").collect())
     assert got == Counter((i, t, len(t)) for i, t in texts if t and len(t) > 10)
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline as cp
+
+    chain = prose(9, 60).split()
+    a, b, c = (" ".join(chain[k : k + 54]) for k in (0, 3, 6))  # a - b and b - c link, a - c doesn't
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (3, prose(3)), (3, prose(3)), (4, prose(4)), (4, prose(3)), (5, prose(4)), (6, a), (None, b), (7, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], FIELDS)
+    got = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, prose(1)), (None, prose(2)), (3, prose(3)), (4, prose(4)), (6, a)])
