@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,34 @@ def test_passages_found(spark):
     assert passages.near_repeats(spark, df.limit(0)).count() == 0
 
 
+def window_minima(words):
+    """For each hash function the places of the shingles that stand for a window, and their values."""
+    shingles, doc = passages._text_shingles(pa.array([" ".join(words).encode()]))
+    out = []
+    for j in range(passages.HASHES):
+        values = passages.mix(shingles + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1))
+        at = passages.compact_windows(values, doc, 46)[1]
+        out.append({int(values[c]): int(c) for c in at})
+    return out
+
+
+def test_passages_meet_behind_a_common_leader(spark):
+    rng = random.Random(11)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    while True:
+        shared = text(50)
+        own = window_minima(shared)
+        leader = text(30)
+        for m in own:
+            (c,) = m.values()
+            leader += shared[c : c + 5] + text(30)
+        if all(set(m) <= set(x) for m, x in zip(own, window_minima(leader), strict=True)):
+            break
+    rows = [(i, " ".join(w)) for i, w in ((1, leader), (2, shared), (3, shared))]
+    got = passages.near_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.ref_id, r.first_word, r.last_word) for r in got] == [(3, 2, 0, 49)]
+
+
 def test_sentencepiece_matches_library(spark):
     import sentencepiece
 
