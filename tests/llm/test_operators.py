@@ -121,6 +121,25 @@ def test_passages_meet_behind_a_common_leader(spark):
     assert [(r.doc_id, r.ref_id, r.first_word, r.last_word) for r in got] == [(3, 2, 0, 49)]
 
 
+def test_passage_spans_an_insertion():
+    old, put = list(range(1, 96)), list(range(901, 914))
+    x, y = (np.array([hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)], np.uint32) for w in (old, old[:47] + put + old[47:]))
+    windows = np.array([[0, 10, 90, 0, 10, 103, 0], [0, 60, 90, 0, 73, 103, 1]])
+    ((*span, similarity),) = passages.verified(1, 2, x, y, windows)
+    assert span == [2, 0, 107, 1, 0, 94] and similarity == 87 / 108
+
+
+def test_passage_on_one_of_many_diagonals():
+    rng = random.Random(3)
+    base = [rng.randrange(1 << 32) for _ in range(60)]
+    near = [rng.randrange(1 << 32) if i in (12, 25, 38, 51) else v for i, v in enumerate(base)]
+    x = np.array([v for k in range(7) for v in (*(rng.randrange(1 << 32) for _ in range(40)), *base)], np.uint32)
+    y = np.array(near, np.uint32)
+    windows = np.array([[100 * k + 40, 100 * k + 40 + c, 100 * k + 99, 0, c, 59, j] for j, c in ((0, 5), (1, 30)) for k in range(7)])
+    found = passages.verified(1, 2, x, y, windows)
+    assert [(r[1], r[2]) for r in found] == [(0, 63)] and found[0][6] == 56 / 64
+
+
 def test_sentencepiece_matches_library(spark):
     import sentencepiece
 
