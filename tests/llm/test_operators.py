@@ -121,6 +121,18 @@ def test_passages_meet_behind_a_common_leader(spark):
     assert [(r.doc_id, r.ref_id, r.first_word, r.last_word) for r in got] == [(3, 2, 0, 49)]
 
 
+def test_passage_with_one_common_function(spark):
+    rng = random.Random(21)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    while True:
+        old = text(50)
+        new = [*old[:25], *text(1), *old[26:]]  # Jaccard 41 / 51
+        if sum(set(a) == set(b) for a, b in zip(window_minima(old), window_minima(new), strict=True)) == 1:
+            break
+    got = passages.near_repeats(spark, spark.createDataFrame([(1, " ".join(old)), (2, " ".join(new))], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.ref_id, r.first_word, r.last_word, r.similarity) for r in got] == [(2, 1, 0, 49, 41 / 51)]
+
+
 def test_passage_spans_an_insertion():
     old, put = list(range(1, 96)), list(range(901, 914))
     x, y = (np.array([hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)], np.uint32) for w in (old, old[:47] + put + old[47:]))
