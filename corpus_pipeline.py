@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from loopwatch.llm import common, line_runs, mixing, ngram_join, quality, sentencepiece_codec
 
+#: A single line of so many words counts as a repeated run.
+LONG_WORDS = 50
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; one that loses every line goes."""
-    out = line_runs.dedup(spark, docs)
+    """Documents without later copies of repeated line runs and of long lines; one that loses every line goes."""
+    out = line_runs.dedup(spark, docs, long_words=LONG_WORDS)
     left = out.where(~((F.col("n_deleted") > 0) & (F.col("n_deleted") == F.col("n_lines"))))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

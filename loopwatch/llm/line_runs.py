@@ -6,6 +6,8 @@ positions with repeated ids enter the suffix array. Round j ranks the positions
 partitions and numbered in that order. Positions of equal rank form the suffix array's interval of longest common prefix
 2**j at least; rounds go on until no interval is left. A run of `min_lines` lines is read from two overlapping ranks.
 
+Where `long_words` is given, a single line of so many words or more is a run of its own.
+
 Of equal runs the first, by doc_id and line, stays; lines of the later ones are deleted. Runs that overlap in a text are
 deleted as one maximal run. Blank lines belong to no run and stay, except that a text that loses all its lines becomes empty.
 
@@ -29,8 +31,9 @@ MIN_LINES = 2
 KEY = ["doc", "th"]
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """doc, th, at (line of the text), i (line among those with a word) and id of every line with a word."""
+def line_ids(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """doc, th, at (line of the text), i (line among those with a word), id and, with long_words, whether it is long, of every
+    line with a word."""
 
     def run(batches):
         for b in batches:
@@ -59,11 +62,19 @@ def line_ids(docs: DataFrame) -> DataFrame:
                 doc, starts, ends, at = doc[real], starts[real], ends[real], at[real]
                 ids = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 i = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                more, names = [], ["doc", "th", "at", "i", "id"]
+                if long_words is not None:
+                    inside = IN_WORD[buf].astype(bool)
+                    # a text can begin inside a word of the one before
+                    begun = np.concatenate(([0], np.cumsum(inside[1:] & ~inside[:-1]))) if len(buf) else np.zeros(1, np.int64)
+                    begun = np.concatenate(([0], begun + (inside[:1].sum() if len(buf) else 0)))
+                    n_words = begun[ends] - begun[starts] + (inside[starts] & (starts > 0) & inside[np.maximum(starts - 1, 0)])
+                    more, names = [pa.array(n_words >= long_words)], [*names, "long"]
                 rows = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(ids.view(np.int64))], names=["doc", "th", "at", "i", "id"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(ids.view(np.int64)), *more], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc long, th long, at int, i int, id long")
+    return rows.mapInArrow(run, "doc long, th long, at int, i int, id long" + ("" if long_words is None else ", long boolean"))
 
 
 def _ranked(scratch: common.Scratch, positions: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -107,14 +118,26 @@ def later_runs(spark: SparkSession, lines: DataFrame, scratch: common.Scratch, m
     return later.join(deepest, ["doc", "th", "i"], "left").withColumn("depth", F.coalesce("depth", F.lit(min_lines)))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def later_lines(lines: DataFrame) -> DataFrame:
+    """doc, th and i of the long lines that occur earlier."""
+    places = lines.where("long").select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "th", "i", "id")
+    first = places.groupBy("id").agg(F.min(F.struct("doc", "th", "i")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return places.join(first, "id").where(F.struct("doc", "th", "i") != F.col("first")).select("doc", "th", "i")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with the text that is left, n_lines (with a word, before), n_deleted, longest_run (deleted in one run) and
     common_prefix (the greatest depth of a deleted run)."""
     scratch = common.Scratch(spark)
     docs = docs.drop("n_lines", "n_deleted", "longest_run", "common_prefix")
-    lines = scratch.save(line_ids(docs).dropDuplicates(["doc", "th", "i"]), "lines")
+    lines = scratch.save(line_ids(docs, long_words).dropDuplicates(["doc", "th", "i"]), "lines")
     later = later_runs(spark, lines, scratch, min_lines)
-    starts = later.groupBy("doc", "th").agg(F.sort_array(F.collect_list("i")).alias("starts"), F.max("depth").alias("common_prefix"))
+    later = later.withColumn("width", F.lit(min_lines))
+    if long_words is not None:
+        later = later.unionByName(later_lines(lines).withColumns({"depth": F.lit(1), "width": F.lit(1)}))
+    runs = F.struct("i", "width")
+    starts = later.groupBy("doc", "th").agg(F.sort_array(F.collect_list(runs)).alias("starts"), F.max("depth").alias("common_prefix"))
+    starts = starts.select("doc", "th", F.col("starts.i").alias("starts"), F.col("starts.width").alias("widths"), "common_prefix")
     starts = scratch.save(starts, "starts").withColumnRenamed("doc", "_doc").withColumnRenamed("th", "_th")
     # a text and its own starts meet; both are as long as the text
     joined = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}).join(starts.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left")
@@ -126,16 +149,17 @@ def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES) -> D
     def cut(batches):
         for b in batches:
             texts, total, gone, longest = [], [], [], []
-            for text, own in zip(b.column(place).to_pylist(), b.column(n).to_pylist(), strict=True):
+            for text, own, widths in zip(b.column(place).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
                 parts = (text or "").encode().split(b"\n")
                 worded = [k for k, p in enumerate(parts) if p.split()]
                 dead: set[int] = set()
                 run = best = 0
                 reach = -1
-                for s in own or ():
-                    run = s + min_lines - max(s, reach) + (run if s <= reach else 0)
-                    reach, best = s + min_lines, max(best, run)
-                    dead.update(range(s, s + min_lines))
+                for s, width in zip(own or (), widths or (), strict=True):
+                    end = max(s + width, reach)
+                    run = end - max(s, reach) + (run if s <= reach else 0)
+                    reach, best = end, max(best, run)
+                    dead.update(range(s, s + width))
                 total.append(len(worded))
                 gone.append(len(dead))
                 longest.append(best)
@@ -147,6 +171,6 @@ def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES) -> D
                     drop = {worded[i] for i in dead}
                     texts.append(b"\n".join(p for k, p in enumerate(parts) if k not in drop).decode())
             columns = [pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(n)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (total, gone, longest)), b.column(n + 1).cast(pa.int64())], names=[*names, "n_lines", "n_deleted", "longest_run", "common_prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (total, gone, longest)), b.column(n + 2).cast(pa.int64())], names=[*names, "n_lines", "n_deleted", "longest_run", "common_prefix"])
 
     return joined.mapInArrow(cut, ", ".join([*fields, "n_lines long", "n_deleted long", "longest_run long", "common_prefix long"]))

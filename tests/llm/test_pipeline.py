@@ -49,3 +49,13 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], FIELDS)
     got = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect())
     assert got == Counter([(None, prose(1)), (None, prose(2)), (3, prose(3)), (4, prose(4)), (6, a)])
+
+
+def test_long_single_lines_go(spark):
+    import corpus_pipeline as cp
+
+    long = prose(5, 50)
+    rows = [(1, "a b\n" + long + "\nc d"), (2, "e f\n" + long + "\n\ng h"), (3, long), (4, "a b\n" + prose(6, 49)), (5, prose(6, 49) + "\na b"), (6, "x y\n" + long + "\nc d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], FIELDS)
+    got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "e f\n\ng h", 4: rows[3][1], 5: rows[4][1], 6: "x y"}
