@@ -62,7 +62,7 @@ class Words:
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
-def pieces(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most: int = 600_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a binary column that hold about `most` bytes each; a longer text is a range of its own."""
     sizes = np.diff(_offsets(column))
     lo, held = 0, 0
