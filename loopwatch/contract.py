@@ -39,7 +39,27 @@ def coerce(df: DataFrame) -> DataFrame:
     return df.select(ts.alias("timestamp"), *(finite(c).alias(c) for c in CHANNELS), *(F.col(c).cast("string").alias(c) for c in LABELS))
 
 
-#: A sensor panel from lineitem, in SQL that Spark and DuckDB read alike. Rows arrive once a second for each device.
+def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A list of records as a frame of the contract: what is missing is null. Rows without a timestamp go."""
+    present = [c for c in REQUIRED if any(c in r for r in rows)]
+    text = [tuple(None if r.get(c) is None else str(r[c]) for c in present) for r in rows]
+    return fill_contract(spark.createDataFrame(text, ", ".join(f"{c} string" for c in present) or "timestamp string"))
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Doubles that are NaN or infinite become null and timestamps become text, as JSON can't hold them."""
+    out = {}
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("double", "float"):
+            out[f.name] = F.when(~F.isnan(f.name) & (F.abs(f.name) != float("inf")), F.col(f.name))
+        elif kind.startswith("timestamp") or kind == "date":
+            out[f.name] = F.col(f.name).cast("string")
+    return df.withColumns(out) if out else df
+
+
+#: A sensor panel from lineitem, in SQL that Spark and DuckDB read alike. Rows arrive once a second for each device. A device
+#: is 25 suppliers, so more data means more devices and not longer series.
 PANEL = """
 select device_id, seq as arrival_seq, seq as t,
   22e0 + 200e0 * l_tax + 1e-1 * l_quantity as inlet_temp,
@@ -57,8 +77,8 @@ select device_id, seq as arrival_seq, seq as t,
   case l_returnflag when 'A' then 'melting' when 'N' then 'holding' else 'idle' end as operating_condition,
   case when l_quantity > 40 and l_discount > 5e-2 then '线圈结垢' when l_quantity < 8 then '过滤器堵塞' else 'none' end as fault_label
 from (
-  select *, l_suppkey % 4 as device_id, cast(row_number() over (
-    partition by l_suppkey % 4
+  select *, cast((l_suppkey - l_suppkey % 25) / 25 as bigint) as device_id, cast(row_number() over (
+    partition by l_suppkey - l_suppkey % 25
     order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
   ) - 1 as bigint) as seq
   from lineitem

@@ -45,9 +45,58 @@ def heating_rate_per_power(span: int = 600) -> Column:
     return F.when(F.col("electric_power") >= 500, F.try_divide(rate, F.col("electric_power")))
 
 
-def seasonal_inlet_threshold(span: int = 86400, least: int = 3600) -> Column:
-    w = trailing(span)
-    return F.when(F.count("inlet_temp").over(w) >= least, 35.0 + F.greatest(F.lit(0.0), F.avg("inlet_temp").over(w) - 28.0))
+#: Readings of a device that one task takes at a time.
+BLOCK = 4096
+
+
+def running(df: DataFrame, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """df with each named sum over a device's readings up to and with each. Blocks of time are summed first, so a device's
+    readings are spread over tasks; what meets in one is a row for each block."""
+    df = df.withColumn("_b", F.floor(F.col("t") / block))
+    whole = df.groupBy("device_id", "_b").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    before = Window.partitionBy("device_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("device_id", "_b", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    here = Window.partitionBy("device_id", "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(whole, ["device_id", "_b"]).withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(here), F.lit(0)) for n, c in sums.items()})
+    return out.drop("_b", *(f"_{n}" for n in sums))
+
+
+def seasonal_inlet_threshold(df: DataFrame, span: int = 86400, least: int = 3600) -> DataFrame:
+    """df with `threshold`: the inlet limit raised by what the trailing day's mean lies above 28; null with too few readings.
+
+    The day's sum is the running sum less that of the reading a day before, so no frame of 86,400 readings is summed anew."""
+    sums = running(df, {"_k": F.lit(1), "_n": F.when(F.col("inlet_temp").isNotNull(), 1).otherwise(0), "_s": F.coalesce("inlet_temp", F.lit(0.0))})
+    old = sums.select("device_id", (F.col("_k") + span).alias("_k"), F.col("_n").alias("_n0"), F.col("_s").alias("_s0"))
+    both = sums.join(old, ["device_id", "_k"], "left")
+    n, total = F.col("_n") - F.coalesce("_n0", F.lit(0)), F.col("_s") - F.coalesce("_s0", F.lit(0.0))
+    limit = F.when(n >= least, 35.0 + F.greatest(F.lit(0.0), total / n - 28.0))
+    return both.withColumn("threshold", limit).drop("_k", "_n", "_s", "_n0", "_s0")
+
+
+def halo_blocks(df: DataFrame, k: str, before: int, after: int = 0, block: int = BLOCK) -> DataFrame:
+    """df with `_b`, the blocks of the running number k that need each row: its own, and those that look back or ahead to it.
+    A window over (device_id, _b) sees whole frames for the rows whose own block it is; `_own` marks those."""
+    lo, hi = F.floor((F.col(k) - after) / block), F.floor((F.col(k) + before) / block)
+    return df.withColumn("_b", F.explode(F.sequence(F.greatest(F.lit(0), lo), hi))).withColumn("_own", F.col("_b") == F.floor(F.col(k) / block))
+
+
+def rolling_detrended_std(df: DataFrame, y: str, span: int = 60, least: int = 10) -> DataFrame:
+    """device_id, t and osc of the readings that have y: the population deviation of what a line leaves of the last `span` such
+    readings, by place; null with fewer than `least`. Sums of a block grow row by row, and a frame is the difference of two."""
+    have = running(df.where(F.col(y).isNotNull()).select("device_id", "t", F.col(y).alias("y")), {"k": F.lit(1)}).withColumn("k", F.col("k") - 1)
+    rows = halo_blocks(have, "k", span)
+    w = Window.partitionBy("device_id", "_b").orderBy("k")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    # places and values from the block's first on keep the sums small
+    rows = rows.withColumns({"_x": (F.row_number().over(w) - 1).cast("double"), "_y": F.col("y") - F.first("y").over(up)})
+    grown = rows.withColumns({"_sy": F.sum("_y").over(up), "_sxy": F.sum(F.col("_x") * F.col("_y")).over(up), "_syy": F.sum(F.col("_y") * F.col("_y")).over(up)})
+    past = {c: F.col(c) - F.coalesce(F.lag(c, span).over(w), F.lit(0.0)) for c in ("_sy", "_sxy", "_syy")}
+    f = grown.withColumns(past).where("_own").withColumn("_n", F.least(F.col("k") + 1, F.lit(span)).cast("double"))
+    mid = F.col("_x") - (F.col("_n") - 1) / 2
+    sxy, syy = F.col("_sxy") - mid * F.col("_sy"), F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("_n")
+    sxx = F.col("_n") * (F.col("_n") * F.col("_n") - 1) / 12
+    left = F.sqrt(F.greatest(F.lit(0.0), (syy - sxy * sxy / sxx) / F.col("_n")))
+    return f.select("device_id", "t", F.when(F.col("_n") >= least, left).alias("osc"))
 
 
 def expected_heat_kw(flow: Column, delta: Column) -> Column:
@@ -79,6 +128,11 @@ def detrended_std(y: str, x: str = "t", w=None, least: int = 10) -> Column:
     return F.when(n >= least, F.sqrt(F.greatest(F.lit(0.0), (syy - sxy * sxy / sxx) / n)))
 
 
+def swing(y: str, x: str = "t") -> Column:
+    """detrended_std of a group; with fewer than ten readings their plain population deviation."""
+    return F.coalesce(detrended_std(y, x), F.stddev_pop(y))
+
+
 def trend_eta(current: Column, slope_: Column, threshold: float, horizon: float) -> Column:
     """Seconds until a rising trend meets the threshold: 0 if it has, null if not within the horizon."""
     eta = (threshold - current) / slope_

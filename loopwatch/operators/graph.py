@@ -15,11 +15,10 @@ HANDLED_BY = [
     ("过滤器堵塞", "清洗过滤器"), ("过滤器堵塞", "切换备用泵"), ("水泵气蚀", "切换备用泵"), ("管道泄漏", "测漏仪检查管路"), ("管道泄漏", "备件DN50密封圈"),
     ("线圈结垢", "弱酸循环清洗除垢"), ("水质恶化", "更换去离子水"), ("线圈烧穿", "紧急倾炉"),
 ]
-# Spare parts and level of a fault; channels and receivers of a level; emergency plans.
+# Spare parts and level of a fault; channels and receivers of a level.
 SPARE_PARTS = [("管道泄漏", ["DN50密封圈", "检漏仪"]), ("过滤器堵塞", ["Y型滤网", "清洗剂"]), ("水泵气蚀", ["备用泵机封", "轴承"]), ("线圈结垢", ["弱酸清洗剂", "除垢剂"]), ("水质恶化", ["去离子水", "离子交换树脂"]), ("电气柜凝露", ["除湿机", "绝缘干燥剂"])]
 FAULT_LEVEL = [("管道泄漏", "red"), ("线圈结垢", "orange"), ("过滤器堵塞", "orange"), ("水泵气蚀", "orange"), ("水质恶化", "orange"), ("电气柜凝露", "yellow")]
 PUSH = [("red", ["sound_light_alarm", "sms", "phone"], ["厂长", "安全主管", "运维班长"]), ("orange", ["mobile_app", "sms"], ["运维班长", "维修工"]), ("yellow", ["mobile_app"], ["值班运维"])]
-PLANS = [("EP-001", "线圈烧穿"), ("EP-002", "管道泄漏")]
 # Bounds of physical plausibility, wider than those of quality control.
 LIMITS = {"outlet_temp": (0.0, 100.0), "inlet_temp": (0.0, 60.0), "pressure": (0.0, 1000.0), "flow_rate": (0.0, 50.0), "tank_level": (0.0, 500.0), "conductivity": (0.0, 3000.0), "cabinet_humidity": (0.0, 100.0), "furnace_temp": (0.0, 2000.0)}
 
@@ -53,8 +52,8 @@ def confidence_gate(conf: Column) -> Column:
 
 
 def cascade_gate(reached: Column, parsed: Column, passed: Column, cause: Column, candidates_: Column) -> Column:
-    """Why a case goes on to the second model; null if it doesn't. Confidence plays no part."""
-    return F.when(~reached, "endpoint").when(~parsed, "parse").when(~passed, "check").when(~F.array_contains(candidates_, cause), "candidate")
+    """Why a case goes on to the second model; null if it doesn't. Confidence plays no part, nor does an empty list."""
+    return F.when(~reached, "endpoint").when(~parsed, "parse").when(~passed, "check").when((F.size(candidates_) > 0) & ~F.coalesce(F.array_contains(candidates_, cause), F.lit(False)), "candidate")
 
 
 def precheck(hum: Column, dh: Column, p: Column, ps: Column, q: Column, pq: Column, dt: Column) -> Column:
@@ -67,7 +66,9 @@ def precheck(hum: Column, dh: Column, p: Column, ps: Column, q: Column, pq: Colu
 
 
 def fallback(hum: Column, dh: Column, p: Column, ps: Column, q: Column, dt: Column, top: Column) -> Column:
-    """The cause without a model: the first rule that holds; a rule whose inputs are missing doesn't."""
+    """The cause without a model: the first rule that holds; a rule whose inputs are missing doesn't. A missing humidity rise or
+    pressure deviation counts as 0."""
+    dh, ps = F.coalesce(dh, F.lit(0.0)), F.coalesce(ps, F.lit(0.0))
     is_ = lambda c: F.coalesce(c, F.lit(False))
     return (
         F.when(is_(hum > 70), "管道泄漏")
@@ -83,6 +84,8 @@ def fallback(hum: Column, dh: Column, p: Column, ps: Column, q: Column, dt: Colu
 
 def arbitrate(df: DataFrame) -> DataFrame:
     """df (model, conf, candidates, extras, hum, dh, ps, pq) with cause and confidence: model against graph, then corrections in order."""
+    # what is missing or 0 takes the normal value
+    df = df.withColumns({"hum": F.when((F.col("hum") != 0) & F.col("hum").isNotNull(), F.col("hum")).otherwise(50.0), **{x: F.coalesce(x, F.lit(0.0)) for x in ("dh", "ps", "pq")}})
     top, model, c = F.get("candidates", F.lit(0)), F.col("model"), F.col("conf")
     held = F.coalesce(F.array_contains("candidates", model), F.lit(False)) & (c >= 0.8)
     clipped = lambda x: F.greatest(F.least(x, F.lit(0.85)), F.lit(0.7))

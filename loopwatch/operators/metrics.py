@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The value at the rounded rank (half to even) of each group: no interpolation and no sketch."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_k") == F.bround(F.lit(share) * (F.col("_n") - 1))).groupBy(*by).agg(F.min(value).alias("value"))
+    """The value at the rounded rank (half to even) of each group: no interpolation and no sketch.
+
+    Equal values are counted before the exchange, so a group's window holds its distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(up)).join(totals, by).withColumn("_k", F.bround(F.lit(share) * (F.col("_n") - 1)))
+    return ranked.where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c"))).select(*by, F.col(value).alias("value"))
 
 
 def calibration(df: DataFrame, by: list[str], conf: str = "conf", correct: str = "correct", bins: int = 10) -> DataFrame:
@@ -48,16 +52,27 @@ def error_class(valid: Column, sets_match: Column, flag_match: Column) -> Column
     return F.when(~valid, "invalid").when(sets_match & flag_match, "correct").when(~sets_match & flag_match, "set_only").when(sets_match, "uncertainty_only").otherwise("both")
 
 
-def bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """2.5 % and 97.5 % bounds of the mean under resampling of clusters. Draws are hashes, so any engine can repeat them.
-
-    Clusters are summed first; what is crossed with the draws is one row for each cluster, not each reading.
-    """
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    # a resample weighs each cluster by how often a hash of the draw and a slot picks it
-    ids = sums.select(cluster, F.row_number().over(Window.orderBy(cluster)).alias("k"), "s", "n")
-    slots = ids.select(F.col("k").alias("slot"), F.count(F.lit(1)).over(Window.partitionBy()).alias("e"))
-    picks = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.withColumn("k", 1 + F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("e"))
-    means = picks.join(ids, "k").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg("m").alias("mean"))
+def cluster_numbers(sums: DataFrame, cluster: str) -> DataFrame:
+    """sums with k from 1 on, in the order of two digits of the cluster's MD5 and then of the cluster: counted by digits first, so
+    that no task holds all clusters."""
+    own = sums.withColumn("_d", F.substring(F.md5(F.col(cluster).cast("string")), 1, 2))
+    sizes = own.groupBy("_d").agg(F.count(F.lit(1)).alias("_c"))  # 256 rows at most
+    before = sizes.select("_d", (F.sum("_c").over(Window.orderBy("_d")) - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("e"))
+    return own.join(F.broadcast(before), "_d").withColumn("k", F.row_number().over(Window.partitionBy("_d").orderBy(cluster)) + F.col("_o")).drop("_d", "_o")
+
+
+def bootstrap(df: DataFrame, cluster: str, values: str | list[str], draws: int = 200, seed: int = 7) -> DataFrame:
+    """method, mean, lo and hi (2.5 % and 97.5 %) of each value's mean under resampling of clusters, and of its difference to the
+    first's (method a-b). All take the same draws. Draws are hashes, so any engine can repeat them.
+
+    Clusters are summed first; what is crossed with the draws is one row for each cluster, not each reading."""
+    values = [values] if isinstance(values, str) else values
+    sums = df.groupBy(cluster).agg(*(F.sum(v).alias(v) for v in values), F.count(F.lit(1)).alias("n"))
+    ids = cluster_numbers(sums, cluster)
+    picks = ids.select(F.col("k").alias("slot"), "e").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    digits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    picks = picks.select("draw", (1 + digits % F.col("e")).alias("k"))
+    means = picks.join(ids, "k").groupBy("draw").agg(*((F.sum(v) / F.sum("n")).alias(v) for v in values))
+    named = [(v, F.col(v)) for v in values] + [(f"{v}-{values[0]}", F.col(v) - F.col(values[0])) for v in values[1:]]
+    long = means.select(F.explode(F.array(*(F.struct(F.lit(n).alias("method"), x.alias("m")) for n, x in named))).alias("r")).select("r.*")
+    return long.groupBy("method").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg("m").alias("mean"))

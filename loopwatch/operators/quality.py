@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwatch.contract import CHANNELS, LABELS
-from loopwatch.functions.features import centred, ordered
+from loopwatch.functions.features import halo_blocks, ordered
 
 # Credible range of each channel, and the most it can change in a second.
 BOUNDS = {
@@ -56,67 +57,128 @@ def mask_bounds(df: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).between(*BOUNDS[c]), F.col(c)) for c in channels})
 
 
-def hampel_flag(df: DataFrame, channel: str) -> DataFrame:
-    """df with med, mad_sigma and is_outlier: the distance to the rolling median against the rolling deviation, with a floor."""
-    w = centred(HAMPEL_SPAN)
-    enough = F.count(channel).over(w) >= HAMPEL_LEAST
-    with_med = df.withColumn("med", F.when(enough, F.percentile(channel, F.lit(0.5)).over(w)))
-    dev = with_med.withColumn("dev", F.abs(F.col(channel) - F.col("med")))
-    scale = dev.groupBy("device_id").agg(F.percentile(F.when(F.abs(channel) > 1e-6, F.abs(channel)), F.lit(0.5)).alias("level"))
-    mad = F.when(F.count("dev").over(w) >= HAMPEL_LEAST, F.percentile("dev", F.lit(0.5)).over(w))
-    sigma = F.greatest(1.4826 * F.col("mad"), F.greatest(F.lit(0.2), 0.02 * F.col("level")))
-    out = dev.withColumn("mad", mad).join(scale, "device_id").withColumn("mad_sigma", sigma)
-    return out.withColumn("is_outlier", F.coalesce(F.col("dev") > HAMPEL_SIGMAS * F.col("mad_sigma"), F.lit(False))).drop("dev", "mad", "level")
+def rolling_medians(df: DataFrame, channels: list[str], span: int = HAMPEL_SPAN, least: int = HAMPEL_LEAST) -> DataFrame:
+    """df, a row for each second, with med_ and mad_ of each channel: the centred median of `span` readings, and that of the
+    distances to it. Null with fewer than `least` readings. Blocks of time go to tasks with what their frames reach beyond."""
+    names = [f"{x}_{c}" for c in channels for x in ("med", "mad")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{n} double" for n in names])
+    columns, half = df.columns, span // 2
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        for c in channels:
+            y = pdf[c].astype(float)
+            med = y.rolling(span, center=True, min_periods=least).median()
+            mad = (y - med).abs().rolling(span, center=True, min_periods=least).median()
+            pdf[f"med_{c}"], pdf[f"mad_{c}"] = med, mad
+        return pdf.loc[pdf["_own"], columns + names]
 
-def rate_flag(df: DataFrame, channel: str) -> DataFrame:
-    """df with is_jump: the change from the reading before is beyond the limit, or the next one's is."""
-    jump = F.coalesce(F.abs(F.col(channel) - F.lag(channel).over(ordered())) > RATES[channel], F.lit(False))
-    return df.withColumn("_jump", jump).withColumn("is_jump", F.col("_jump") | F.lead("_jump", 1, False).over(ordered())).drop("_jump")
+    blocks = halo_blocks(df, "t", 4 * half, 4 * half).groupBy("device_id", "_b")
+    out = blocks.applyInPandas(run, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in [*channels, *names]})
 
 
-def condition_fill(df: DataFrame, channel: str) -> DataFrame:
-    """df with `filled`: missing readings take the nearest valid ones of the same condition, weighted by closeness."""
-    w = Window.partitionBy("device_id", "operating_condition").orderBy("t")
-    pair = F.when(F.col(channel).isNotNull(), F.struct(F.col("t").alias("at"), F.col(channel).alias("v")))
-    before, after = F.last(pair, True).over(w.rowsBetween(*BEFORE)), F.last(pair, True).over(falling("device_id", "operating_condition").rowsBetween(*BEFORE))
-    near = df.withColumns({"_p": before, "_n": after})
-    wp, wn = 1.0 / (F.col("t") - F.col("_p.at")), 1.0 / (F.col("_n.at") - F.col("t"))
-    both = (wp * F.col("_p.v") + wn * F.col("_n.v")) / (wp + wn)
-    return near.withColumn("filled", F.coalesce(F.col(channel), both, F.col("_p.v"), F.col("_n.v"))).drop("_p", "_n")
+def hampel_flags(df: DataFrame, channels: list[str]) -> DataFrame:
+    """df, a row for each second, with med_, sigma_ and is_outlier_ of each channel: whether the distance to the rolling median is
+    beyond five rolling deviations, which have a floor. Without a deviation nothing is one."""
+    levels = df.groupBy("device_id").agg(*(F.percentile(F.when(F.abs(c) > 1e-6, F.abs(c)), F.lit(0.5)).alias(f"level_{c}") for c in channels))
+    out = rolling_medians(df, channels).join(levels, "device_id")
+    floor = lambda c: F.greatest(F.lit(0.2), 0.02 * F.coalesce(f"level_{c}", F.lit(1.0)))
+    out = out.withColumns({f"sigma_{c}": F.when(F.col(f"mad_{c}").isNotNull(), F.greatest(1.4826 * F.col(f"mad_{c}"), floor(c))) for c in channels})
+    out = out.withColumns({f"is_outlier_{c}": F.coalesce(F.abs(F.col(c) - F.col(f"med_{c}")) > HAMPEL_SIGMAS * F.col(f"sigma_{c}"), F.lit(False)) for c in channels})
+    return out.drop(*(f"{x}_{c}" for c in channels for x in ("mad", "level")))
 
 
-def linear_fill(df: DataFrame, channel: str) -> DataFrame:
-    """df with `filled`: a line between the neighbours; the edges hold the nearest reading."""
-    pair = F.when(F.col(channel).isNotNull(), F.struct(F.col("t").alias("at"), F.col(channel).alias("v")))
-    near = df.withColumns({"_p": F.last(pair, True).over(ordered().rowsBetween(*BEFORE)), "_n": F.last(pair, True).over(falling("device_id").rowsBetween(*BEFORE))})
-    share = (F.col("t") - F.col("_p.at")) / (F.col("_n.at") - F.col("_p.at"))
-    line = F.col("_p.v") + share * (F.col("_n.v") - F.col("_p.v"))
-    return near.withColumn("filled", F.coalesce(F.col(channel), line, F.col("_p.v"), F.col("_n.v"))).drop("_p", "_n")
+def rate_flags(df: DataFrame, channels: list[str]) -> DataFrame:
+    """df with is_jump_ of each channel: the change from the reading before is beyond the limit, or the next one's is."""
+    jumps = {f"_jump_{c}": F.coalesce(F.abs(F.col(c) - F.lag(c).over(ordered())) > RATES[c], F.lit(False)) for c in channels}
+    return df.withColumns(jumps).withColumns({f"is_jump_{c}": F.col(f"_jump_{c}") | F.lead(f"_jump_{c}", 1, False).over(ordered()) for c in channels}).drop(*jumps)
+
+
+def _neighbours(df: DataFrame, channels: list[str], *by: str) -> DataFrame:
+    """df with the time and value of the nearest readings before (_p_) and after (_n_) of each channel, within `by`."""
+    pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("at"), F.col(c).alias("v")))
+    ahead = Window.partitionBy(*by).orderBy("t").rowsBetween(*BEFORE)
+    back = falling(*by).rowsBetween(*BEFORE)
+    return df.withColumns({f"_p_{c}": F.last(pair(c), True).over(ahead) for c in channels}).withColumns({f"_n_{c}": F.last(pair(c), True).over(back) for c in channels})
+
+
+def condition_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
+    """Missing readings take the nearest valid ones of the same condition, weighted by closeness. Of one channel, given by its
+    name, the result is added as `filled`; several are replaced."""
+    if isinstance(channels, str):
+        return condition_fill(df.withColumn("filled", F.col(channels)), ["filled"])
+    near = _neighbours(df, channels, "device_id", "operating_condition")
+
+    def fill(c: str):
+        wp, wn = 1.0 / (F.col("t") - F.col(f"_p_{c}.at")), 1.0 / (F.col(f"_n_{c}.at") - F.col("t"))
+        both = (wp * F.col(f"_p_{c}.v") + wn * F.col(f"_n_{c}.v")) / (wp + wn)
+        return F.coalesce(F.col(c), both, F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v"))
+
+    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"_{x}_{c}" for x in "pn" for c in channels))
+
+
+def linear_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
+    """Missing readings lie on a line between their neighbours; the edges hold the nearest reading. One channel as above."""
+    if isinstance(channels, str):
+        return linear_fill(df.withColumn("filled", F.col(channels)), ["filled"])
+    near = _neighbours(df, channels, "device_id")
+
+    def fill(c: str):
+        share = (F.col("t") - F.col(f"_p_{c}.at")) / (F.col(f"_n_{c}.at") - F.col(f"_p_{c}.at"))
+        line = F.col(f"_p_{c}.v") + share * (F.col(f"_n_{c}.v") - F.col(f"_p_{c}.v"))
+        return F.coalesce(F.col(c), line, F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v"))
+
+    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"_{x}_{c}" for x in "pn" for c in channels))
 
 
 def report(raw: DataFrame) -> DataFrame:
-    """Per device: rows, duplicates, gaps on the grid, late readings, missing and impossible values, completeness, status."""
-    first = dedup_keep_first(raw)
+    """Per device, before cleaning: rows, duplicates, gaps on the grid, late readings, missing and impossible values, completeness,
+    status. One pass gives the first arrival of each time and how many came."""
+    first = raw.groupBy("device_id", "t").agg(F.min_by(F.struct(*CHANNELS), "arrival_seq").alias("r"), F.count(F.lit(1)).alias("_c")).select("device_id", "t", "r.*", "_c")
     bad = sum((F.when(~F.col(c).between(*BOUNDS[c]), 1).otherwise(0) for c in CHANNELS), F.lit(0))
     nulls = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in CHANNELS), F.lit(0))
     whole = F.avg(F.when(nulls == 0, 1.0).otherwise(0.0))
     kept = first.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("n_rows"), (F.max("t") - F.min("t") + 1 - F.count(F.lit(1))).alias("n_gaps"),
-        F.sum(bad).alias("n_bad"), F.sum(nulls).alias("n_missing"), F.round(whole, 6).alias("completeness"),
+        F.sum(bad).alias("n_bad"), F.sum(nulls).alias("n_missing"), F.round(whole, 6).alias("completeness"), (F.sum("_c") - F.count(F.lit(1))).alias("n_duplicates"),
     )
-    seen = raw.groupBy("device_id").agg((F.count(F.lit(1)) - F.count_distinct("t")).alias("n_duplicates"))
-    out = kept.join(seen, "device_id").join(out_of_order(raw), "device_id")
-    return out.withColumn("status", F.when(F.col("completeness") >= 0.99, "ok").otherwise("degraded"))
+    return kept.join(out_of_order(raw), "device_id").withColumn("status", status(F.col("completeness")))
+
+
+def status(completeness: Column) -> Column:
+    return F.when(completeness >= 0.99, "ok").otherwise("degraded")
+
+
+def masked(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
+    """First arrivals on the grid, labels filled, impossible values and outliers of each channel masked; n_out, how many of a row
+    were."""
+    df = fill_labels(to_grid(dedup_keep_first(raw)))
+    inside = {c: F.coalesce(F.col(c).between(*BOUNDS[c]), F.lit(True)) for c in channels}
+    df = df.withColumn("n_out", sum((F.when(~x, 1).otherwise(0) for x in inside.values()), F.lit(0)))
+    df = rate_flags(hampel_flags(mask_bounds(df, channels), channels), channels)
+    out = {c: F.col(f"is_outlier_{c}") | F.col(f"is_jump_{c}") for c in channels}
+    df = df.withColumn("n_out", F.col("n_out") + sum((F.when(x, 1).otherwise(0) for x in out.values()), F.lit(0)))
+    df = df.withColumns({c: F.when(~x, F.col(c)) for c, x in out.items()})
+    return df.drop(*(f"{x}_{c}" for c in channels for x in ("med", "sigma", "is_outlier", "is_jump")))
 
 
 def clean(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
-    """The whole chain for the channels given: first arrivals on the grid, labels filled, outliers masked, gaps imputed, rounded."""
-    df = mask_bounds(fill_labels(to_grid(dedup_keep_first(raw))), channels)
-    for c in channels:
-        flagged = rate_flag(hampel_flag(df, c), c)
-        df = flagged.withColumn(c, F.when(~(F.col("is_outlier") | F.col("is_jump")), F.col(c))).drop("med", "mad_sigma", "is_outlier", "is_jump")
-        filled = condition_fill(df, c).withColumn("_half", F.col("filled")).drop("filled")
-        filled = linear_fill(filled, "_half")
-        df = filled.withColumn(c, F.bround("filled", 1)).drop("filled", "_half")
-    return df
+    """The whole chain for the channels given: masked, gaps imputed, and channels of a device that had any rounded to a tenth."""
+    df = masked(raw, channels)
+    gaps = df.groupBy("device_id").agg(*(F.max(F.col(c).isNull()).alias(f"_gap_{c}") for c in channels))
+    full = linear_fill(condition_fill(df, channels), channels).join(gaps, "device_id")
+    return full.withColumns({c: F.when(F.col(f"_gap_{c}"), F.rint(F.col(c) * 10) / 10).otherwise(F.col(c)) for c in channels}).drop("n_out", *(f"_gap_{c}" for c in channels))
+
+
+def clean_report(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
+    """Per device the counters of the whole chain: rows in and out, duplicates, late readings, gaps, values imputed, values masked,
+    and the share of rows out that lack nothing."""
+    df = masked(raw, channels)
+    n_null = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in channels), F.lit(0))
+    # imputing leaves a channel empty only where the device has no reading of it at all
+    empty = sum((F.when(F.count(c) == 0, 1).otherwise(0) for c in channels), F.lit(0))
+    out = df.groupBy("device_id").agg(F.count(F.lit(1)).alias("total_out"), F.sum(n_null).alias("missing_filled"), F.sum("n_out").alias("outliers_removed"), F.when(empty == 0, 1.0).otherwise(0.0).alias("completeness"))
+    seen = raw.groupBy("device_id", "t").agg(F.count(F.lit(1)).alias("c")).groupBy("device_id").agg(F.sum("c").alias("total_in"), (F.sum("c") - F.count(F.lit(1))).alias("duplicates_removed"), F.count(F.lit(1)).alias("_d"))
+    both = out.join(seen, "device_id").join(out_of_order(raw), "device_id").withColumnRenamed("n_out_of_order", "out_of_order_fixed")
+    return both.withColumn("gaps_filled", F.col("total_out") - F.col("_d")).drop("_d").withColumn("status", status(F.col("completeness")))

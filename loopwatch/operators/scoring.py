@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwatch.functions.features import ordered, trailing
+from loopwatch.functions.features import halo_blocks, ordered, trailing
 
 
 def zscore(df: DataFrame, channel: str) -> DataFrame:
@@ -41,3 +41,102 @@ def persistence_backtest(df: DataFrame, channel: str, window: int, horizon: int)
     last = F.max(F.when(F.col("t") % block == window - 1, F.col(channel))).over(w)
     scored = df.withColumn("_last", last).where((F.col("t") % block >= window) & F.col("_last").isNotNull())
     return scored.groupBy("device_id").agg(F.avg(F.abs(F.col(channel) - F.col("_last")) / F.greatest(F.abs(channel), F.lit(1e-6))).alias("mape"))
+
+
+def zscore_pop(df: DataFrame, channel: str) -> DataFrame:
+    """The form with the population deviation and a millionth added, as scorers of tensors use it."""
+    base = df.groupBy("device_id").agg(F.avg(channel).alias("_m"), F.stddev_pop(channel).alias("_s"))
+    return df.join(base, "device_id").withColumn("z", (F.col(channel) - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_m", "_s")
+
+
+def window_tensors(df: DataFrame, channels: list[str], width: int) -> DataFrame:
+    """device_id, t and x (width arrays of the channels' values) of each reading that `width` readings end with.
+
+    The frame is held once for each row, so a scorer gets its windows in Arrow batches and no device is gathered."""
+    rows = halo_blocks(df.select("device_id", "t", *channels), "t", width - 1)
+    w = Window.partitionBy("device_id", "_b").orderBy("t").rowsBetween(-(width - 1), 0)
+    out = rows.withColumn("x", F.collect_list(F.array(*channels)).over(w))
+    return out.where(F.col("_own") & (F.size("x") == width)).select("device_id", "t", "x")
+
+
+def training_pairs(df: DataFrame, channel: str, window: int, horizon: int, stride: int, keep: int = 1) -> DataFrame:
+    """device_id, start, x (every keep-th reading of the window) and y (the horizon's readings less the window's last).
+
+    Windows start at each multiple of stride and lie whole within the series, with one reading to spare as the range excludes it."""
+    span = window + horizon
+    first, last = F.ceil((F.col("t") - span + 1) / stride), F.floor(F.col("t") / stride)
+    placed = df.select("device_id", "t", F.col(channel).alias("v"), F.explode(F.sequence(F.greatest(F.lit(0), first), last)).alias("start")).withColumn("start", F.col("start") * stride)
+    ends = df.groupBy("device_id").agg((F.max("t") + 1).alias("n"))
+    at = F.col("t") - F.col("start")
+    seq = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(at.alias("i"), F.col("v").alias("v"))))), lambda z: z["v"])
+    g = placed.groupBy("device_id", "start").agg(seq((at < window) & (at % keep == 0)).alias("x"), seq(at >= window).alias("_y"), F.max(F.when(at == window - 1, F.col("v"))).alias("_base"), F.count(F.lit(1)).alias("_n"))
+    whole = g.where(F.col("_n") == span).join(ends, "device_id").where(F.col("start") < F.col("n") - span)
+    return whole.select("device_id", "start", "x", F.transform("_y", lambda v: v - F.col("_base")).alias("y"))
+
+
+def decomposed(df: DataFrame, channel: str, period: int, span: int = 120) -> DataFrame:
+    """df with trend (the mean of `span` readings around), seasonal (the mean of what the trend leaves at each place of the period) and
+    resid."""
+    w = ordered().rowsBetween(-(span // 2), span - span // 2 - 1)
+    out = df.withColumn("trend", F.avg(channel).over(w)).withColumn("_k", F.col("t") % period)
+    left = out.groupBy("device_id", "_k").agg(F.avg(F.col(channel) - F.col("trend")).alias("seasonal"))
+    return out.join(left, ["device_id", "_k"]).withColumn("resid", F.col(channel) - F.col("trend") - F.col("seasonal")).drop("_k")
+
+
+def forecast_summary(series: Column) -> Column:
+    """End, greatest and least of a forecast and every n // 30-th point of it, to two decimals; null for an empty one."""
+    step = F.greatest(F.lit(1), F.floor(F.size(series) / 30))
+    two = lambda x: F.bround(x, 2)
+    brief = F.transform(F.filter(series, lambda x, i: i % step == 0), two)
+    return F.when(F.size(series) > 0, F.struct(two(F.element_at(series, -1)).alias("end"), two(F.array_max(series)).alias("max"), two(F.array_min(series)).alias("min"), brief.alias("series")))
+
+
+def routed(track: Column, precise: Column, fast: Column, horizon: Column, limit: int = 600) -> Column:
+    """The forecast a case gets: the precise one where it is wanted and there; else the fast one, cut to its reach and marked."""
+    degraded = (track == "precise") & precise.isNull()
+    kept = F.when(degraded, F.least(horizon, F.lit(limit))).otherwise(horizon)
+    used = F.slice(F.when((track == "precise") & ~degraded, precise).otherwise(fast), F.lit(1), kept.cast("int"))
+    return F.struct(F.when(degraded, "fast_degraded").otherwise(track).alias("track"), used.alias("series"), kept.alias("horizon"), degraded.alias("degraded"))
+
+
+def archived(windows: DataFrame, limit: float = 0.6) -> DataFrame:
+    """windows (device_id, window_id, n_alerts, score, n) with filtered (no alert and a low score) and ratio, the share of readings that
+    were filtered up to there."""
+    out = windows.withColumn("filtered", (F.col("n_alerts") == 0) & (F.coalesce("score", F.lit(0.0)) < limit))
+    up = Window.partitionBy("device_id").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("ratio", F.sum(F.when(F.col("filtered"), F.col("n")).otherwise(0)).over(up) / F.sum("n").over(up))
+
+
+class Scorer:
+    """What a model that scores readings gives: the readings a score needs, the limit it is held against, how often it is taken, and
+    a function of a DataFrame with window tensors (`window_tensors`) that adds `score`. Models plug in; none is shipped."""
+
+    window, threshold, stream_stride = 60, 0.6, 1
+
+    def score(self, windows: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+
+class DistanceScorer(Scorer):
+    """A plain stand-in: the root mean square of the window's last values, meant for z-scores. Not any published model."""
+
+    def score(self, windows: DataFrame) -> DataFrame:
+        last = F.element_at("x", -1)
+        return windows.withColumn("score", F.sqrt(F.aggregate(last, F.lit(0.0), lambda a, v: a + v * v) / F.size(last)))
+
+
+class Forecaster:
+    """What a model that looks ahead gives: the readings it needs, its reach, and a function of training_pairs-like rows (device_id,
+    t, x) that adds `forecast`, an array."""
+
+    window, horizon = 600, 600
+
+    def forecast(self, windows: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+
+class Persistence(Forecaster):
+    """Holds the last value."""
+
+    def forecast(self, windows: DataFrame) -> DataFrame:
+        return windows.withColumn("forecast", F.array_repeat(F.get(F.element_at("x", -1), F.lit(0)), self.horizon))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loopwatch.contract import CHANNELS
 from loopwatch.operators import datasets as ds
 from loopwatch.operators import scoring as sc
 from loopwatch.operators import stream_rules as st
 from loopwatch.plans.common import WITH, panel, r6, table
 from loopwatch.plans.sensors import ALERTS, W, trailing
-from loopwatch.sources import simulator, store
+from loopwatch.sources import store
 
 CONDITION = "case l_returnflag when 'A' then 'melting' end"
-LOCK_SQL = f"{WITH}, c as (select *, coalesce(operating_condition <> lag(operating_condition) {W}, false) as changed from panel), l as (select device_id, t, coalesce(t - max(case when changed then t end) over (partition by device_id order by t rows between unbounded preceding and current row) < 600, false) as locked from c)"
+KNOWN, FRAME = "nullif(operating_condition, '')", "over (partition by device_id order by t rows between 29 preceding and current row)"
+LOCK_SQL = f"{WITH}, c as (select *, coalesce(count({KNOWN}) {FRAME} >= 5 and min({KNOWN}) {FRAME} <> max({KNOWN}) {FRAME}, false) as changing from panel), l as (select device_id, t, coalesce(t - max(case when changing then t end) over (partition by device_id order by t rows between unbounded preceding and current row) < 600, false) as locked from c)"
 
 
 def turns(s, d):
@@ -21,28 +23,18 @@ def turns(s, d):
 
 
 def stream_run(s, d):
-    """The processor over files of the panel's first readings, to completion, in the session's checkpoint folder or a new one."""
-    import tempfile
+    """The processor over all readings of the panel, to completion: files of a stretch of time each, a few for each batch."""
+    from loopwatch.streaming.processor import over_files
 
-    from loopwatch.streaming.processor import live
-
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loopwatch-stream-')}"
-    import uuid
-
-    base = f"{root.rstrip('/')}/loopwatch-stream/{uuid.uuid4().hex}"
-    rows = panel(s, d).where("t < 1200").select("device_id", "t", "operating_condition", (F.col("pressure") > 300).alias("high"))
-    rows.select(F.col("device_id").cast("long"), "t", "operating_condition", "high").repartition(1).sortWithinPartitions("t").write.parquet(f"{base}/in")
-    stream = s.readStream.schema("device_id long, t long, operating_condition string, high boolean").parquet(f"{base}/in")
-    q = live(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.parquet(f"{base}/out")
+    rows = panel(s, d).select("device_id", "t", "operating_condition", (F.col("pressure") > 300).alias("high"))
+    return over_files(s, rows)
 
 
 QUERIES = {
     "l_zscore": (lambda s, d: sc.zscore(panel(s, d), "pressure").select("device_id", "t", F.round("z", 5).alias("z")), f"{WITH}, b as (select device_id, avg(pressure) as m, stddev_samp(pressure) as s from panel group by 1) select p.device_id, t, round((pressure - m) / s, 5) as z from panel p join b on p.device_id = b.device_id"),
     "l_diff_energy": (
-        lambda s, d: sc.difference_energy(panel(s, d), ["pressure", "flow_rate"], 60).select("device_id", "t", F.round("energy", 5).alias("energy")),
-        f"{WITH}, e as (select *, (abs(pressure - lag(pressure) {W}) + abs(flow_rate - lag(flow_rate) {W})) / 2e0 as e from panel), f as (select *, coalesce(e, lead(e) {W}) as e2 from e) select device_id, t, round(avg(e2) {trailing(60)}, 5) as energy from f",
+        lambda s, d: sc.difference_energy(panel(s, d), CHANNELS, 60).select("device_id", "t", F.round("energy", 7).alias("energy")),
+        f"{WITH}, e as (select *, ({" + ".join(f"abs({c} - lag({c}) {W})" for c in CHANNELS)}) / 12e0 as e from panel), f as (select *, coalesce(e, lead(e) {W}) as e2 from e) select device_id, t, round(avg(e2) {trailing(60)}, 7) as energy from f",
     ),
     "l_fusion": (lambda s, d: panel(s, d).select("device_id", "t", r6(sc.fuse(F.col("pressure") / 100, F.col("flow_rate") / 10 - 1)).alias("score")), f"{WITH} select device_id, t, round(5e-1 * greatest(0e0, least(1e0, pressure / 100 / 3e0)) + 5e-1 * greatest(0e0, least(1e0, -(flow_rate / 10 - 1))), 6) as score from panel"),
     "l_router": (lambda s, d: panel(s, d).groupBy(sc.route(F.col("pressure") / 500, F.col("t") % 5, F.when(F.col("t") % 3 == 0, 1800).otherwise(600)).alias("route")).agg(F.count(F.lit(1)).alias("n")), f"{WITH} select case when pressure / 500 > 6e-1 or t % 5 > 3 or t % 3 = 0 then 'precise' else 'fast' end as route, count(*) as n from panel group by 1"),
@@ -51,12 +43,12 @@ QUERIES = {
         f"{WITH}, b as (select *, max(case when t % 660 = 599 then outlet_temp end) over (partition by device_id, t // 660) as last from panel) select device_id, round(avg(abs(outlet_temp - last) / greatest(abs(outlet_temp), 1e-6)), 6) as mape from b where t % 660 >= 600 and last is not null group by 1",
     ),
     "l_far_stable": (
-        lambda s, d: st.transition_lock(panel(s, d), 5).groupBy("device_id").agg(r6(F.avg(F.when((F.col("fault_label") == "none") & ~F.col("locked"), (F.col("pressure") > 300).cast("double")))).alias("far"), r6(F.avg(F.when(F.col("fault_label") != "none", (F.col("pressure") > 300).cast("double")))).alias("detection")),
-        LOCK_SQL.replace("< 600", "< 5") + " select p.device_id, round(avg(cast(pressure > 300 as integer)) filter (where fault_label = 'none' and not locked), 6) as far, round(avg(cast(pressure > 300 as integer)) filter (where fault_label <> 'none'), 6) as detection from panel p join l on p.device_id = l.device_id and p.t = l.t group by 1",
+        lambda s, d: st.stable(panel(s, d).withColumn("operating_condition", F.when(F.col("t") % 4000 < 2000, "melting").otherwise("idle"))).groupBy("device_id").agg(r6(F.avg(F.when((F.col("fault_label") == "none") & F.col("stable"), (F.col("pressure") > 300).cast("double")))).alias("far_stable"), r6(F.avg(F.when(F.col("fault_label") == "none", (F.col("pressure") > 300).cast("double")))).alias("far"), r6(F.avg(F.when(F.col("fault_label") != "none", (F.col("pressure") > 300).cast("double")))).alias("detection")),
+        f"{WITH}, a as (select *, case when t % 4000 < 2000 then 'melting' else 'idle' end as c from panel), c as (select *, cast(coalesce(c <> lag(c) {W}, false) as integer) as changed from a), l as (select *, max(changed) {trailing(600)} = 0 as stable from c) select device_id, round(avg(cast(pressure > 300 as integer)) filter (where fault_label = 'none' and stable), 6) as far_stable, round(avg(cast(pressure > 300 as integer)) filter (where fault_label = 'none'), 6) as far, round(avg(cast(pressure > 300 as integer)) filter (where fault_label <> 'none'), 6) as detection from l group by 1",
     ),
     "l_lead_time": (
-        lambda s, d: panel(s, d).groupBy("device_id").agg((F.min(F.when(F.col("outlet_temp") > 70, F.col("t"))) - F.min(F.when((F.col("outlet_temp") > 60) & (F.col("t") % 10 == 0), F.col("t")))).alias("lead")),
-        f"{WITH} select device_id, min(t) filter (where outlet_temp > 70) - min(t) filter (where outlet_temp > 60 and t % 10 = 0) as lead from panel group by 1",
+        lambda s, d: panel(s, d).groupBy("device_id").agg((F.min(F.when(F.col("outlet_temp") > 70, F.col("t"))) - F.min(F.when((F.col("outlet_temp") > 60) & (F.col("t") >= 1200) & (F.col("t") % 300 == 0), F.col("t")))).alias("lead")),
+        f"{WITH} select device_id, min(t) filter (where outlet_temp > 70) - min(t) filter (where outlet_temp > 60 and t >= 1200 and t % 300 = 0) as lead from panel group by 1",
     ),
     "l_peak_per_fault": (lambda s, d: panel(s, d).where(F.col("fault_label").contains("结垢")).groupBy("device_id").agg(r6(F.max("outlet_temp")).alias("peak")), f"{WITH} select device_id, round(max(outlet_temp), 6) as peak from panel where contains(fault_label, '结垢') group by 1"),
     "s_range_scan": (lambda s, d: store.range_scan(panel(s, d), 1000, 2000, "melting", ["device_id", "t", "pressure"]).select("device_id", "t", r6("pressure").alias("pressure")), f"{WITH} select device_id, t, round(pressure, 6) as pressure from panel where t between 1000 and 2000 and operating_condition = 'melting'"),
@@ -68,10 +60,6 @@ QUERIES = {
         lambda s, d: ds.sliding_windows(panel(s, d).select("device_id", "t", "fault_label"), 1200, 600).groupBy("device_id", "start").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fault_label").alias("n_labels")).where("n = 1200"),
         f"{WITH}, s as (select distinct device_id, (t // 600) * 600 as start from panel) select s.device_id, s.start, count(*) as n, count(distinct fault_label) as n_labels from s join panel p on p.device_id = s.device_id and p.t >= s.start and p.t < s.start + 1200 group by 1, 2 having count(*) = 1200",
     ),
-    "b_transition_windows": (
-        lambda s, d: st.transition_lock(panel(s, d), 120).where("t % 60 = 0").groupBy("device_id").agg(F.count_if("locked").alias("n_transition"), F.count(F.lit(1)).alias("n")),
-        LOCK_SQL.replace("< 600", "< 120") + " select device_id, count(*) filter (where locked) as n_transition, count(*) as n from l where t % 60 = 0 group by 1",
-    ),
     "b_stratified_split": (lambda s, d: ds.stratified_split(table(s, d, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 0.1), "with x as (select doc_id, lang, row_number() over (partition by lang order by md5('split|' || cast(doc_id as varchar)), doc_id) as k, count(*) over (partition by lang) as n from documents) select doc_id, lang, case when k <= ceil(n * 1e-1) then 'val' else 'train' end as split from x"),
     "k_quota_take": (lambda s, d: ds.quota(table(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 7), "with x as (select doc_id, source, row_number() over (partition by source order by md5('quota|' || cast(doc_id as varchar)), doc_id) as k from documents) select doc_id, source from x where k <= 7"),
     "u_split_leakage": (
@@ -84,10 +72,6 @@ QUERIES = {
         r"with b as (select distinct item_id, unnest(regexp_split_to_array(text, '\s+')) as word from benchmark), c as (select distinct unnest(regexp_split_to_array(text, '\s+')) as word from conversations) select item_id, count(*) as n from b where word in (select word from c) group by 1",
     ),
     "b_messages_build": (turns, "select conv_id, count(*) as n, sha256(string_agg(role || ':' || text, chr(10) order by turn)) as mark from conversations group by 1"),
-    "b_audit_checks": (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.filter(F.array(F.when(F.length("text") < 50, "short"), F.when(F.col("text").rlike("[#$%&]"), "symbols"), F.when(F.length("text") != F.col("n_chars"), "length")), lambda x: x.isNotNull())).alias("failed")),
-        "select doc_id, unnest(list_filter([case when length(text) < 50 then 'short' end, case when regexp_matches(text, '[#$%&]') then 'symbols' end, case when length(text) <> n_chars then 'length' end], lambda v: v is not null)) as failed from documents",
-    ),
     "a_conflicting_labels": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(ds.fingerprint(F.col("text")).alias("mark")).agg(F.count_distinct("quality").alias("n")).where("n > 1").groupBy().agg(F.count(F.lit(1)).alias("n_conflicts")), "select count(*) as n_conflicts from (select text from documents d join labels l on d.doc_id = l.doc_id group by text having count(distinct quality) > 1)"),
     "f_numbers_in": (lambda s, d: table(s, d, "events").select("event_id", F.size(F.regexp_extract_all("props", F.lit(r"-?\d+\.?\d*"), F.lit(0))).cast("long").alias("n"), F.element_at(F.regexp_extract_all("props", F.lit(r"-?\d+\.?\d*"), F.lit(0)), 1).cast("double").alias("first")), r"select event_id, cast(len(regexp_extract_all(props, '-?\d+\.?\d*')) as bigint) as n, cast(regexp_extract(props, '-?\d+\.?\d*') as double) as first from events"),
     "t_score_throttle": (lambda s, d: panel(s, d).select("device_id", "t", F.coalesce(st.throttled_at(100), F.lit(-1)).alias("taken")), f"{WITH} select device_id, t, case when t >= 100 then 100 + (t - 100) // 10 * 10 else -1 end as taken from panel"),
@@ -99,6 +83,4 @@ QUERIES = {
         "with g as (select user_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 3600000000, true) as gap from events) select user_id, count(*) filter (where gap) as n_sessions from g group by 1",
     ),
     "t_stateful_run": (stream_run, None),
-    "sim_episode": (lambda s, d: simulator.episodes(s, 4, 1800), None),
-    "sim_fault_ramp": (lambda s, d: s.range(0, 3000, 10).select(F.col("id").alias("t"), r6(simulator.ramp(F.col("id"), 600.0, 900.0, 0.5)).alias("progress"), simulator.phase_at(F.col("id") * 3).alias("phase")), "select t, round(greatest(0e0, least(1e0, (t - 600e0) / 900e0)) * 5e-1, 6) as progress, case when t * 3 % 8400 < 3600 then 'startup' when t * 3 % 8400 < 5400 then 'melting' when t * 3 % 8400 < 7200 then 'holding' when t * 3 % 8400 < 7800 then 'tapping' else 'idle' end as phase from (select unnest(range(0, 3000, 10)) as t)"),
 }

@@ -17,7 +17,7 @@ SCHEDULE = [(0, 3600, "startup", 1.0), (3600, 5400, "melting", 1.0), (5400, 7200
 #: Stand-in scores: labels of documents against a rule on their length.
 SCORED = "select l.doc_id, l.quality as gold, case when d.n_chars > 400 then 1 else 0 end as pred, d.lang as kind, (d.doc_id % 100) / 100e0 as conf, case when d.n_chars > 400 then 1 else 0 end = l.quality as correct from labels l join documents d on l.doc_id = d.doc_id"
 SETS = "select l.doc_id, case when l.quality = 1 then ['good'] else ['bad'] end || case when l.toxic = 1 then ['toxic'] else [] end as gold, case when d.n_chars > 400 then ['good'] else ['bad'] end || case when d.n_chars % 9 = 0 then ['toxic'] else [] end as pred from labels l join documents d on l.doc_id = d.doc_id"
-STATS = "select o_orderkey as case_id, case when o_orderkey % 7 = 0 then null else 40e0 + o_orderkey % 45 end as hum, o_orderkey % 9 - 2e0 as dh, 140e0 + o_orderkey % 130 as p, o_orderkey % 5 + 5e-1 as ps, 5e0 + (o_orderkey % 40) / 10e0 as q, o_orderkey % 20 - 5e0 as pq, o_orderkey % 30 + 0e0 as dt from orders"
+STATS = "select o_orderkey as case_id, case when o_orderkey % 7 = 0 then null else 40e0 + o_orderkey % 45 end as hum, o_orderkey % 9 - 2e0 as dh, 140e0 + o_orderkey % 130 as p, case when o_orderkey % 11 = 3 then null else o_orderkey % 5 + 5e-1 end as ps, 5e0 + (o_orderkey % 40) / 10e0 as q, o_orderkey % 20 - 5e0 as pq, o_orderkey % 30 + 0e0 as dt from orders"
 N = ", ".join(f"'{x}'" for x in SENSOR_NAMES)
 
 
@@ -47,13 +47,13 @@ def stats(s, d):
 
 C = lambda *names: [F.col(n) for n in names]
 ARB = """select case_id, ['管道泄漏', '线圈结垢', '过滤器堵塞', '水泵气蚀'][case_id % 4 + 1] as model, (case_id % 50) / 50e0 as conf,
- ['过滤器堵塞', '管道泄漏', '线圈结垢'][case_id % 3 + 1] as top, ['水泵气蚀', '线圈结垢', '管道泄漏'][case_id % 3 + 1] as second, case_id % 5 = 0 as has_extra, coalesce(hum, 5e1) as hum, dh, ps, pq from st"""
+ ['过滤器堵塞', '管道泄漏', '线圈结垢'][case_id % 3 + 1] as top, ['水泵气蚀', '线圈结垢', '管道泄漏'][case_id % 3 + 1] as second, case_id % 5 = 0 as has_extra, coalesce(hum, 5e1) as hum, dh, coalesce(ps, 0) as ps, pq from st"""
 
 
 def arbitrated(s, d):
     st = stats(s, d)
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("case_id") % n + 1).cast("int"))
-    df = st.select("case_id", pick(["管道泄漏", "线圈结垢", "过滤器堵塞", "水泵气蚀"], 4).alias("model"), ((F.col("case_id") % 50) / 50.0).alias("conf"), F.array(pick(["过滤器堵塞", "管道泄漏", "线圈结垢"], 3), pick(["水泵气蚀", "线圈结垢", "管道泄漏"], 3)).alias("candidates"), F.when(F.col("case_id") % 5 == 0, F.array(F.lit("水质恶化"))).otherwise(F.expr("cast(array() as array<string>)")).alias("extras"), F.coalesce("hum", F.lit(50.0)).alias("hum"), "dh", "ps", "pq")
+    df = st.select("case_id", pick(["管道泄漏", "线圈结垢", "过滤器堵塞", "水泵气蚀"], 4).alias("model"), ((F.col("case_id") % 50) / 50.0).alias("conf"), F.array(pick(["过滤器堵塞", "管道泄漏", "线圈结垢"], 3), pick(["水泵气蚀", "线圈结垢", "管道泄漏"], 3)).alias("candidates"), F.when(F.col("case_id") % 5 == 0, F.array(F.lit("水质恶化"))).otherwise(F.expr("cast(array() as array<string>)")).alias("extras"), "hum", "dh", "ps", "pq")
     return g.arbitrate(df).select("case_id", "cause", r6("confidence").alias("confidence"))
 
 
@@ -66,12 +66,12 @@ f as (select *, case when dry and ps > 3 then '水泵气蚀' when not dry and we
 select case_id, case when c3 = '过滤器堵塞' and dh <= 4 and ps <= 3 and pq >= 10 then '线圈结垢' else c3 end as cause, round(case when c3 = '过滤器堵塞' and dh <= 4 and ps <= 3 and pq >= 10 then {CLIP('f3')} else f3 end, 6) as confidence from f"""
 PRE = f"""with st as ({STATS}), x as (select case_id, coalesce(hum, 50) > 70 or (dh > 4 and (q < 78e-1 or p < 240)) as leak, * exclude (case_id) from st)
 select case_id, coalesce(array_to_string(list_filter([case when leak then '管道泄漏' when ps > 3 then '水泵气蚀' end, case when q < 64e-1 and not leak then case when pq >= 10 then '线圈结垢' else '过滤器堵塞' end when q >= 64e-1 and dt > 20 and dh <= 4 then '线圈结垢' end], lambda v: v is not null), ','), '') as causes from x"""
-FALLBACK = f"""with st as ({STATS}) select case_id, case when hum > 70 then '管道泄漏' when dh > 4 and (q < 78e-1 or p < 240) then '管道泄漏' when ps > 3 and (hum is null or hum <= 65) then '水泵气蚀'
- when q < 64e-1 and p > 230 then '线圈结垢' when q < 64e-1 and (hum is null or hum <= 70) and ps < 3 then '过滤器堵塞' when dt > 20 and p > 200 then '线圈结垢' when p >= 150 and p < 200 and q < 75e-1 then '水泵气蚀' else '未知故障' end as cause from st"""
+FALLBACK = f"""with st as ({STATS}) select case_id, case when hum > 70 then '管道泄漏' when dh > 4 and (q < 78e-1 or p < 240) then '管道泄漏' when coalesce(ps, 0) > 3 and (hum is null or hum <= 65) then '水泵气蚀'
+ when q < 64e-1 and p > 230 then '线圈结垢' when q < 64e-1 and (hum is null or hum <= 70) and coalesce(ps, 0) < 3 then '过滤器堵塞' when dt > 20 and p > 200 then '线圈结垢' when p >= 150 and p < 200 and q < 75e-1 then '水泵气蚀' else '未知故障' end as cause from st"""
 PHYS = " + ".join(f"(case when {c} < {lo!r} or {c} > {hi!r} then 1 else 0 end)" for c, (lo, hi) in g.LIMITS.items()) + " + (case when outlet_temp < inlet_temp - 1 then 1 else 0 end)"
-BOOT = f"""with sc as ({SCORED}), c as (select kind, cast(sum(cast(correct as integer)) as double) as s, count(*) as n, row_number() over (order by kind) as k from sc group by kind),
+BOOT = f"""with sc as ({SCORED}), c as (select kind, cast(sum(cast(correct as integer)) as double) as a, cast(sum(cast(conf > 5e-1 as integer)) as double) as b, count(*) as n, row_number() over (order by substr(md5(kind), 1, 2), kind) as k from sc group by kind),
 p as (select d.draw, c.k as slot, 1 + cast(('0x' || substr(md5('7-' || cast(draw as varchar) || '-' || cast(c.k as varchar)), 1, 8)) as bigint) % (select count(*) from c) as pick from c, (select unnest(range(200)) as draw) d),
-m as (select draw, sum(c.s) / sum(c.n) as m from p join c on p.pick = c.k group by draw) select round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(avg(m), 6) as mean from m"""
+m as (select draw, sum(c.a) / sum(c.n) as a, sum(c.b) / sum(c.n) as b from p join c on p.pick = c.k group by draw), x as (select 'a' as method, a as m from m union all select 'b', b from m union all select 'b-a', b - a from m) select method, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi, round(avg(m), 6) as mean from x group by 1"""
 LEVELS = "select o_orderkey as order_id, ['red', 'orange', 'yellow', 'blue'][o_orderkey % 4 + 1] as level from orders"
 
 
@@ -103,10 +103,10 @@ QUERIES = {
         lambda s, d: g.unsupported(cases(s, d).distinct().join(faults(s, d).withColumnRenamed("order_id", "case_id"), "case_id"), values(s, IND, "ord, fault, sensor")).select("case_id", "fault", "sensor"),
         f"with c as ({CASE_SQL}), a as (select distinct case_id, [{N}][k + 1] as sensor from c), f as ({FAULTS}), i as (select * from {inline(IND, 'ord, fault, sensor')}) select case_id, fault, sensor from a join f on a.case_id = f.order_id where sensor in (select sensor from i) and not exists (select 1 from i where i.fault = f.fault and i.sensor = a.sensor)",
     ),
-    "g_physics": (lambda s, d: panel(s, d).select("device_id", "t", F.size(g.physics_violations()).cast("long").alias("n")).where("n > 0 or t % 100 = 0"), f"{WITH}, x as (select device_id, t, cast({PHYS} as bigint) as n from panel) select * from x where n > 0 or t % 100 = 0"),
+    "g_physics": (lambda s, d: panel(s, d).select("device_id", "t", F.size(g.physics_violations()).cast("long").alias("n")), f"{WITH} select device_id, t, cast({PHYS} as bigint) as n from panel"),
     "g_conf_gate": (lambda s, d: scored(s, d).groupBy(g.confidence_gate(F.col("conf")).alias("gate")).agg(F.count(F.lit(1)).alias("n")), f"with sc as ({SCORED}) select case when conf >= 9e-1 then 'direct' when conf >= 7e-1 then 'candidates' else 'manual' end as gate, count(*) as n from sc group by 1"),
     "g_cascade_gate": (
-        lambda s, d: stats(s, d).select("case_id", g.cascade_gate(F.col("case_id") % 11 != 0, F.col("case_id") % 7 != 1, F.col("case_id") % 5 != 2, F.lit("a"), F.when(F.col("case_id") % 3 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("reason")),
+        lambda s, d: stats(s, d).select("case_id", g.cascade_gate(F.col("case_id") % 11 != 0, F.col("case_id") % 7 != 1, F.col("case_id") % 5 != 2, F.lit("a"), F.when(F.col("case_id") % 3 == 0, F.array(F.lit("b"))).when(F.col("case_id") % 3 == 1, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("a")))).alias("reason")),
         "select o_orderkey as case_id, case when o_orderkey % 11 = 0 then 'endpoint' when o_orderkey % 7 = 1 then 'parse' when o_orderkey % 5 = 2 then 'check' when o_orderkey % 3 = 0 then 'candidate' end as reason from orders",
     ),
     "g_precheck": (lambda s, d: stats(s, d).select("case_id", F.array_join(g.precheck(*C("hum", "dh", "p", "ps", "q", "pq", "dt")), ",").alias("causes")), PRE),
@@ -120,13 +120,9 @@ QUERIES = {
         lambda s, d: g.fan_out(levels(s, d), values(s, g.PUSH, "level, channels, receivers")).select("order_id", "level", "channel", "receiver"),
         f"with o as ({LEVELS}), p as (select * from {inline([(a, x, y) for a, b, c in g.PUSH for x in b for y in c], 'route, channel, receiver')}) select order_id, level, channel, receiver from o join p on p.route = case when level in ('red', 'orange', 'yellow') then level else 'yellow' end",
     ),
-    "j_emergency": (
-        lambda s, d: faults(s, d).join(levels(s, d), "order_id").join(F.broadcast(values(s, g.PLANS, "plan_id, fault")), "fault", "left").select("order_id", F.when(F.col("level") == "red", F.col("plan_id")).alias("plan_id")),
-        f"with f as ({FAULTS}), o as ({LEVELS}) select f.order_id, case when level = 'red' then plan_id end as plan_id from f join o on f.order_id = o.order_id left join {inline(g.PLANS, 'plan_id, fault')} on f.fault = v.fault",
-    ),
     "j_schedule_interval": (
-        lambda s, d: g.interval_lookup(panel(s, d).select("device_id", "t").where("t % 50 = 0"), values(s, SCHEDULE, "start, end, phase, load"), "t").select("device_id", "t", "phase", F.col("load").cast("double").alias("load")),
-        f'{WITH}, j as (select device_id, t, phase, load, row_number() over (partition by device_id, t order by "start") as k from panel left join (values ' + ", ".join(f"({a}, {b}, '{c}', {e!r})" for a, b, c, e in SCHEDULE) + ') as v("start", "end", phase, load) on t between "start" and "end" where t % 50 = 0) select device_id, t, phase, cast(load as double) as load from j where k = 1',
+        lambda s, d: g.interval_lookup(panel(s, d).select("device_id", "t"), values(s, SCHEDULE, "start, end, phase, load"), "t").select("device_id", "t", "phase", F.col("load").cast("double").alias("load")),
+        f'{WITH}, j as (select device_id, t, phase, load, row_number() over (partition by device_id, t order by "start") as k from panel left join (values ' + ", ".join(f"({a}, {b}, '{c}', {e!r})" for a, b, c, e in SCHEDULE) + ') as v("start", "end", phase, load) on t between "start" and "end") select device_id, t, phase, cast(load as double) as load from j where k = 1',
     ),
     "a_accuracy_by_kind": (lambda s, d: scored(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("correct").cast("double"))).alias("accuracy")), f"with sc as ({SCORED}) select kind, count(*) as n, round(avg(cast(correct as integer)), 6) as accuracy from sc group by 1"),
     "a_confusion": (lambda s, d: scored(s, d).groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")), f"with sc as ({SCORED}) select gold, pred, count(*) as n from sc group by 1, 2"),
@@ -145,14 +141,10 @@ QUERIES = {
         lambda s, d: table(s, d, "documents").select(F.explode(F.filter(F.array(F.when(F.col("n_chars") < 500, "short"), F.when(F.col("lang") == "en", "english"), F.when(F.col("doc_id") % 2 == 0, "even")), lambda x: x.isNotNull())).alias("stratum"), "n_chars").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_chars")).alias("mean")),
         "with x as (select unnest(list_filter([case when n_chars < 500 then 'short' end, case when lang = 'en' then 'english' end, case when doc_id % 2 = 0 then 'even' end], lambda v: v is not null)) as stratum, n_chars from documents) select stratum, count(*) as n, round(avg(n_chars), 6) as mean from x group by 1",
     ),
-    "a_cluster_bootstrap": (lambda s, d: m.bootstrap(scored(s, d).withColumn("hit", F.col("correct").cast("int")), "kind", "hit").select(*(r6(c).alias(c) for c in ("lo", "hi", "mean"))), BOOT),
-    "a_paired_diff": (
-        lambda s, d: scored(s, d).groupBy("kind").agg(F.count_if(F.col("correct") & (F.col("conf") < 0.5)).alias("only_first"), F.count_if(~F.col("correct") & (F.col("conf") >= 0.5)).alias("only_second")),
-        f"with sc as ({SCORED}) select kind, count(*) filter (where correct and conf < 5e-1) as only_first, count(*) filter (where not correct and conf >= 5e-1) as only_second from sc group by 1",
-    ),
+    "a_cluster_bootstrap": (lambda s, d: m.bootstrap(scored(s, d).withColumns({"a": F.col("correct").cast("int"), "b": (F.col("conf") > 0.5).cast("int")}), "kind", ["a", "b"]).select("method", *(r6(c).alias(c) for c in ("lo", "hi", "mean"))), BOOT),
     "a_reward_monitor": (
-        lambda s, d: scored(s, d).withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))).groupBy("kind", F.floor((F.col("seq") - 1) / 64).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("mean"), r6(F.stddev_pop("conf")).alias("dev")),
-        f"with sc as ({SCORED}), x as (select *, row_number() over (partition by kind order by doc_id) as seq from sc) select kind, (seq - 1) // 64 as window_id, count(*) as n, round(avg(conf), 6) as mean, round(stddev_pop(conf), 6) as dev from x group by 1, 2",
+        lambda s, d: scored(s, d).withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))).groupBy("kind", F.floor((F.col("seq") - 1) / 256).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("mean"), r6(F.stddev_pop("conf")).alias("dev")),
+        f"with sc as ({SCORED}), x as (select *, row_number() over (partition by kind order by doc_id) as seq from sc) select kind, (seq - 1) // 256 as window_id, count(*) as n, round(avg(conf), 6) as mean, round(stddev_pop(conf), 6) as dev from x group by 1, 2",
     ),
     "a_spearman": (
         lambda s, d: m.spearman(panel(s, d), "device_id", "flow_rate", "pressure").select("device_id", r6("rho").alias("corr")),

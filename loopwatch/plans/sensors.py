@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loopwatch.contract import CHANNELS
 from loopwatch.functions import features as f
 from loopwatch.operators import quality as q
 from loopwatch.operators import rules as r
@@ -33,7 +34,7 @@ def trailing(n: int) -> str:
     return f"over (partition by device_id order by t rows between {n - 1} preceding and current row)"
 
 
-OSC = f"{WITH}, o as (select device_id, t, regr_count(pressure, t) {trailing(60)} as n, regr_syy(pressure, t) {trailing(60)} as syy, regr_sxy(pressure, t) {trailing(60)} as sxy, regr_sxx(pressure, t) {trailing(60)} as sxx from panel), osc as (select device_id, t, case when n >= 10 then sqrt(greatest(0e0, (syy - sxy * sxy / sxx) / n)) end as osc from o)"
+OSC = f"{WITH}, ok as (select device_id, t, pressure, row_number() over (partition by device_id order by t) as k from panel where pressure is not null), o as (select device_id, t, regr_count(pressure, k) {trailing(60)} as n, regr_syy(pressure, k) {trailing(60)} as syy, regr_sxy(pressure, k) {trailing(60)} as sxy, regr_sxx(pressure, k) {trailing(60)} as sxx from ok), osc as (select device_id, t, case when n >= 10 then sqrt(greatest(0e0, (syy - sxy * sxy / sxx) / n)) end as osc from o)"
 HEAT = f"{WITH}, h as (select *, case when electric_power >= 500 then (furnace_temp - lag(furnace_temp, 600) {W}) / 10e0 / electric_power end as ratio from panel)"
 
 
@@ -49,7 +50,12 @@ def contract_coerce(s, d):
 
 
 def clean_condition(s, d):
-    return q.condition_fill(q.fill_labels(q.to_grid(q.dedup_keep_first(dirty(s, d)))), "outlet_temp").select("device_id", "t", r6("filled").alias("filled"))
+    """All twelve channels, each missing reading filled."""
+    return sixes(q.condition_fill(q.fill_labels(q.to_grid(q.dedup_keep_first(dirty(s, d)))), CHANNELS))
+
+
+def sixes(df):
+    return df.select("device_id", "t", *(r6(c).alias(c) for c in CHANNELS))
 
 
 NEAR = "last_value(case when {c} is not null then {x} end ignore nulls) over (partition by {p} order by t rows between unbounded preceding and 1 preceding) as p{y}, first_value(case when {c} is not null then {x} end ignore nulls) over (partition by {p} order by t rows between 1 following and unbounded following) as n{y}"
@@ -59,6 +65,35 @@ def near(c: str, p: str) -> str:
     return NEAR.format(c=c, x="t", y="t", p=p) + ", " + NEAR.format(c=c, x=c, y="v", p=p)
 
 
+def per_channel(form: str, sep: str = ", ", channels=CHANNELS) -> str:
+    return sep.join(form.replace("@r", repr(q.RATES[c])).replace("@lo", repr(q.BOUNDS[c][0])).replace("@hi", repr(q.BOUNDS[c][1])).replace("@", c) for c in channels)
+
+
+AROUND = "(partition by device_id order by t rows between 60 preceding and 60 following)"
+LABEL = "coalesce(last_value({c} ignore nulls) over (partition by device_id order by t rows between unbounded preceding and current row), first_value({c} ignore nulls) over (partition by device_id order by t rows between current row and unbounded following)) as {c}"
+#: The whole chain in the order of the operators: grid, labels, bounds, rolling medians, jumps, both fills.
+MASKED = f"""{GRID}, lab as (select * replace ({LABEL.format(c='operating_condition')}, {LABEL.format(c='fault_label')}) from grid),
+bounded as (select * replace ({per_channel('case when @ between @lo and @hi then @ end as @')}), {per_channel('case when @ < @lo or @ > @hi then 1 else 0 end', ' + ')} as n_bad from lab),
+meds as (select *, {per_channel('case when count(@) over w >= 5 then quantile_cont(@, 0.5) over w end as med_@')} from bounded window w as {AROUND}),
+devs as (select *, {per_channel('abs(@ - med_@) as dev_@')} from meds),
+mads as (select *, {per_channel('case when count(dev_@) over w >= 5 then quantile_cont(dev_@, 0.5) over w end as mad_@')}, {per_channel(f'coalesce(abs(@ - lag(@) {W}) > @r, false) as jump_@')} from devs window w as {AROUND}),
+levels as (select device_id, {per_channel('coalesce(quantile_cont(abs(@), 0.5) filter (where abs(@) > 1e-6), 1e0) as level_@')} from bounded group by 1),
+flags as (select mads.*, {per_channel('case when mad_@ is not null then greatest(14826e-4 * mad_@, greatest(2e-1, 2e-2 * level_@)) end as sigma_@')}, {per_channel(f'coalesce(lead(jump_@) over (partition by mads.device_id order by t), false) as next_@')} from mads join levels on mads.device_id = levels.device_id),
+outs as (select *, {per_channel('coalesce(dev_@ > 5 * sigma_@, false) or jump_@ or next_@ as out_@')} from flags),
+masked as (select * replace ({per_channel('case when not out_@ then @ end as @')}), n_bad + {per_channel('cast(out_@ as integer)', ' + ')} as n_out from outs)"""
+
+
+def filled(src: str, by: str, into: str, line: bool) -> str:
+    """A common table that fills each channel of src from its neighbours within `by`."""
+    at = lambda c: near(c, by).replace(" as p", f" as {c}_p").replace(" as n", f" as {c}_n")
+    both = "(1e0 / (t - @_pt) * @_pv + 1e0 / (@_nt - t) * @_nv) / (1e0 / (t - @_pt) + 1e0 / (@_nt - t))" if not line else "@_pv + (t - @_pt) / cast(@_nt - @_pt as double) * (@_nv - @_pv)"
+    return f"{into}_b as (select *, {', '.join(at(c) for c in CHANNELS)} from {src}), {into} as (select device_id, t, operating_condition, {per_channel(f'coalesce(@, {both}, @_pv, @_nv) as @')} from {into}_b)"
+
+
+CLEAN = f"{MASKED}, {filled('masked', 'device_id, operating_condition', 'half', False)}, {filled('half', 'device_id', 'whole', True)}, gaps as (select device_id, {per_channel('bool_or(@ is null) as gap_@')} from masked group by 1)"
+SIX = per_channel("round(@, 6) as @")
+
+
 def tail_stats(s, d):
     w = Window.partitionBy("device_id").orderBy(F.desc("t"))
     last = panel(s, d).withColumn("k", F.row_number().over(w)).where("k <= 240")
@@ -106,23 +141,20 @@ QUERIES = {
         f"{WITH} select device_id, " + ", ".join(f"count(*) filter (where {c} is not null and not {BOUND_SQL[c]}) as {c}" for c in q.BOUNDS) + " from dirty group by 1",
     ),
     "q_hampel": (
-        lambda s, d: q.hampel_flag(q.dedup_keep_first(dirty(s, d)), "pressure").select("device_id", "t", r6("med").alias("med"), r6("mad_sigma").alias("mad_sigma"), "is_outlier"),
-        FIRST + """, m as (select *, case when count(pressure) over w >= 5 then quantile_cont(pressure, 0.5) over w end as med from firsts window w as (partition by device_id order by t rows between 60 preceding and 60 following)),
- v as (select *, abs(pressure - med) as dev from m), s as (select device_id, quantile_cont(abs(pressure), 0.5) filter (where abs(pressure) > 1e-6) as level from v group by 1),
- a as (select *, case when count(dev) over w >= 5 then quantile_cont(dev, 0.5) over w end as mad from v window w as (partition by device_id order by t rows between 60 preceding and 60 following))
-select a.device_id, t, round(med, 6) as med, round(greatest(1.4826e0 * mad, greatest(2e-1, 2e-2 * level)), 6) as mad_sigma, coalesce(dev > 5 * greatest(1.4826e0 * mad, greatest(2e-1, 2e-2 * level)), false) as is_outlier from a join s on a.device_id = s.device_id""",
+        lambda s, d: q.hampel_flags(q.mask_bounds(q.to_grid(q.dedup_keep_first(dirty(s, d)))), CHANNELS).select("device_id", "t", *(x for c in CHANNELS for x in (r6(f"med_{c}").alias(f"med_{c}"), r6(f"sigma_{c}").alias(f"sigma_{c}"), F.col(f"is_outlier_{c}").cast("int").alias(f"out_{c}")))),
+        f"{MASKED} select device_id, t, {per_channel('round(med_@, 6) as med_@, round(sigma_@, 6) as sigma_@, cast(coalesce(dev_@ > 5 * sigma_@, false) as integer) as out_@')} from outs",
     ),
     "q_rate_limit": (
-        lambda s, d: q.rate_flag(q.dedup_keep_first(dirty(s, d)), "pressure").select("device_id", "t", "is_jump"),
-        f"{FIRST}, j as (select *, coalesce(abs(pressure - lag(pressure) {W}) > 50, false) as jump from firsts) select device_id, t, jump or coalesce(lead(jump) {W}, false) as is_jump from j",
+        lambda s, d: q.rate_flags(q.mask_bounds(q.to_grid(q.dedup_keep_first(dirty(s, d)))), CHANNELS).select("device_id", "t", *(F.col(f"is_jump_{c}").cast("int").alias(f"jump_{c}") for c in CHANNELS)),
+        f"{MASKED} select device_id, t, {per_channel('cast(jump_@ or next_@ as integer) as jump_@')} from outs",
     ),
     "q_condition_fill": (
         clean_condition,
-        f"{FILLED}, b as (select *, {near('outlet_temp', 'device_id, operating_condition')} from labelled) select device_id, t, round(coalesce(outlet_temp, (1e0 / (t - pt) * pv + 1e0 / (nt - t) * nv) / (1e0 / (t - pt) + 1e0 / (nt - t)), pv, nv), 6) as filled from b",
+        f"{FILLED}, {filled('labelled', 'device_id, operating_condition', 'half', False)} select device_id, t, {SIX} from half",
     ),
     "q_linear_fill": (
-        lambda s, d: q.linear_fill(q.to_grid(q.dedup_keep_first(dirty(s, d))), "outlet_temp").select("device_id", "t", r6("filled").alias("filled")),
-        f"{GRID}, b as (select *, {near('outlet_temp', 'device_id')} from grid) select device_id, t, round(coalesce(outlet_temp, pv + (t - pt) / cast(nt - pt as double) * (nv - pv), pv, nv), 6) as filled from b",
+        lambda s, d: sixes(q.linear_fill(q.to_grid(q.dedup_keep_first(dirty(s, d))), CHANNELS)),
+        f"{GRID}, {filled('grid', 'device_id', 'whole', True)} select device_id, t, {SIX} from whole",
     ),
     "q_report": (
         lambda s, d: q.report(dirty(s, d)),
@@ -131,15 +163,19 @@ select a.device_id, t, round(med, 6) as med, round(greatest(1.4826e0 * mad, grea
  u as (select device_id, count(*) - count(distinct t) as n_duplicates from dirty group by 1), o as (select device_id, count(*) filter (where t < p) as n_out_of_order from (select device_id, t, lag(t) over (partition by device_id order by arrival_seq) as p from dirty) group by 1)
 select k.*, n_duplicates, n_out_of_order, case when completeness >= 99e-2 then 'ok' else 'degraded' end as status from k join u on k.device_id = u.device_id join o on k.device_id = o.device_id""",
     ),
-    "q_clean_chain": (lambda s, d: q.clean(dirty(s, d), ["outlet_temp"]).select("device_id", "t", "outlet_temp"), None),
+    "q_clean_chain": (lambda s, d: sixes(q.clean(dirty(s, d))), f"{CLEAN} select whole.device_id, t, {per_channel('round(case when gap_@ then round_even(@, 1) else @ end, 6) as @')} from whole join gaps on whole.device_id = gaps.device_id"),
+    "q_clean_report": (
+        lambda s, d: q.clean_report(dirty(s, d)),
+        f"{MASKED}, o as (select device_id, count(*) as total_out, cast(sum({per_channel('(case when @ is null then 1 else 0 end)', ' + ')}) as bigint) as missing_filled, cast(sum(n_out) as bigint) as outliers_removed, case when {per_channel('count(@) > 0', ' and ')} then 1e0 else 0e0 end as completeness from masked group by 1), i as (select device_id, count(*) as total_in, count(*) - count(distinct t) as duplicates_removed, count(distinct t) as n from dirty group by 1), l as (select device_id, count(*) filter (where t < p) as out_of_order_fixed from (select device_id, t, lag(t) over (partition by device_id order by arrival_seq) as p from dirty) group by 1) select o.*, total_in, duplicates_removed, out_of_order_fixed, total_out - n as gaps_filled, case when completeness >= 99e-2 then 'ok' else 'degraded' end as status from o join i on o.device_id = i.device_id join l on o.device_id = l.device_id",
+    ),
     "f_dew_margin": (lambda s, d: panel(s, d).select("device_id", "t", r6(f.dew_margin()).alias("margin")), f"{WITH_G} select device_id, t, round(margin, 6) as margin from dm"),
     "f_heat_rate": (lambda s, d: panel(s, d).select("device_id", "t", F.round(f.heating_rate_per_power(), 9).alias("ratio")), f"{HEAT} select device_id, t, round(ratio, 9) as ratio from h"),
     "f_pq_offset": (lambda s, d: panel(s, d).select("device_id", "t", r6(f.pq_offset()).alias("pq")), f"{WITH} select device_id, t, round((pressure - (120e0 + 22e-1 * flow_rate * flow_rate)) / (120e0 + 22e-1 * flow_rate * flow_rate), 6) + 0e0 as pq from panel"),
     "f_seasonal_threshold": (
-        lambda s, d: panel(s, d).select("device_id", "t", F.round(f.seasonal_inlet_threshold(86400, 600), 9).alias("threshold")),
-        f"{WITH} select device_id, t, round(case when count(inlet_temp) {trailing(86400)} >= 600 then 35 + greatest(0e0, avg(inlet_temp) {trailing(86400)} - 28) end, 9) as threshold from panel",
+        lambda s, d: f.seasonal_inlet_threshold(panel(s, d), 7200).select("device_id", "t", r6("threshold").alias("threshold")),
+        f"{WITH} select device_id, t, round(case when count(inlet_temp) {trailing(7200)} >= 3600 then 35 + greatest(0e0, avg(inlet_temp) {trailing(7200)} - 28) end, 6) as threshold from panel",
     ),
-    "f_detrended_std": (lambda s, d: panel(s, d).select("device_id", "t", r6(f.detrended_std("pressure", "t", f.trailing(60))).alias("osc")), f"{OSC} select device_id, t, round(osc, 6) as osc from osc"),
+    "f_detrended_std": (lambda s, d: f.rolling_detrended_std(panel(s, d), "pressure").select("device_id", "t", r6("osc").alias("osc")), f"{OSC} select device_id, t, round(osc, 6) as osc from osc"),
     "f_trend_eta": (
         lambda s, d: f.sampled_windows(panel(s, d).select("device_id", "t", "outlet_temp"), 600, 60).groupBy("device_id", "due").agg(f.slope("outlet_temp").alias("m"), F.max_by("outlet_temp", "t").alias("now"), F.count(F.lit(1)).alias("n")).where("n = 600").select("device_id", F.col("due").alias("t"), F.round(f.trend_eta(F.col("now"), F.col("m"), 60.0, 600.0), 3).alias("eta")),
         f"{WITH}, x as (select *, regr_slope(outlet_temp, t) {trailing(600)} as m from panel) select device_id, t, round(case when outlet_temp >= 60 then 0e0 when m > 1e-6 and (60 - outlet_temp) / m <= 600 then (60 - outlet_temp) / m end, 3) as eta from x where t >= 599 and (t + 1) % 60 = 0",
@@ -166,7 +202,7 @@ select k.*, n_duplicates, n_out_of_order, case when completeness >= 99e-2 then '
     "r_pq_offset": (lambda s, d: r.pq_alerts(panel(s, d)).groupBy("device_id", "rule_id").agg(F.count(F.lit(1)).alias("n")), f"{WITH} select device_id, 'PQ_OFFSET' as rule_id, count(*) as n from panel where abs((pressure - (120e0 + 22e-1 * flow_rate * flow_rate)) / (120e0 + 22e-1 * flow_rate * flow_rate)) > 1e-1 group by 1"),
     "r_dew_predict": (
         lambda s, d: r.dew_predict(panel(s, d)).select("device_id", "t"),
-        f"{WITH_G}, m as (select device_id, t, margin, regr_slope(margin, t) {trailing(600)} as s, row_number() {W} as k from dm) select device_id, t from m where k >= 600 and (k - 600) % 60 = 0 and s < 0 and margin >= 3 and (margin - 3) / -s <= 600",
+        f"{WITH_G}, m as (select device_id, t, margin, regr_slope(margin, t) {trailing(600)} as s, row_number() {W} as k from dm) select device_id, t from m join (select device_id as d, count(*) as n_rows from dm group by 1) on d = device_id where k >= 600 and (k - 600) % 60 = 0 and k < n_rows and s < 0 and margin >= 3 and (margin - 3) / -s <= 600",
     ),
     "r_sensor_map": (
         lambda s, d: r.sensors_of(r.row_alerts(panel(s, d)), values(s, SENSORS, "rule_id, sensor")).groupBy("device_id", "sensor").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules")),
@@ -176,5 +212,28 @@ select k.*, n_duplicates, n_out_of_order, case when completeness >= 99e-2 then '
         lambda s, d: r.row_alerts(panel(s, d)).groupBy("device_id").agg(F.count(F.lit(1)).alias("n")).join(panel(s, d).groupBy("device_id").agg(F.count(F.lit(1)).alias("rows")), "device_id").select("device_id", r6(F.col("n") / F.col("rows")).alias("rate")),
         f"{ALERTS} select device_id, round(n / cast(c as double), 6) as rate from (select device_id, count(*) as n from row_alerts group by 1) join (select device_id, count(*) as c from panel group by 1) using (device_id)",
     ),
-    "r_all_alerts": (lambda s, d: counts(r.all_alerts(panel(s, d))), None),
+    "r_all_alerts": (
+        lambda s, d: counts(r.all_alerts(panel(s, d), 7200)),
+        f"""{WITH_G}, season as (select *, case when count(inlet_temp) {trailing(7200)} >= 3600 then 35 + greatest(0e0, avg(inlet_temp) {trailing(7200)} - 28) else 35 end as lim, lag(furnace_temp, 600) {W} as f0 from dm),
+rows_ as ({" union all ".join(f"select device_id, '{n}' as rule_id, {v} as v from season where {c}" for n, c, v in [(n, "inlet_temp > lim" if n == "INLET_TEMP_HIGH" else c, v) for n, c, v in RULE_CASES])}),
+{OSC.removeprefix(WITH).removeprefix(', ')}, h as (select *, case when electric_power >= 500 then (furnace_temp - f0) / 10e0 / electric_power end as ratio from season),
+st as (select * from h where operating_condition in ('melting', 'holding') and ratio is not null), b as (select device_id, quantile_cont(ratio, 0.5) as base from st group by 1),
+m as (select device_id, t, margin, regr_slope(margin, t) {trailing(600)} as s, row_number() {W} as k, count(*) over (partition by device_id) as n_rows from dm),
+pq as (select device_id, (pressure - (120e0 + 22e-1 * flow_rate * flow_rate)) / (120e0 + 22e-1 * flow_rate * flow_rate) as v from panel),
+every as (select * from rows_ union all select device_id, 'PRESSURE_OSC', osc from osc where osc > 3 union all select st.device_id, 'HEAT_RATE_DRIFT', ratio from st join b on st.device_id = b.device_id where abs(base) > 1e-6 and abs(ratio - base) / abs(base) > 15e-2
+ union all select device_id, 'PQ_OFFSET', v from pq where abs(v) > 1e-1 union all select device_id, 'DEW_PREDICT', margin from m where k >= 600 and (k - 600) % 60 = 0 and k < n_rows and s < 0 and margin >= 3 and (margin - 3) / -s <= 600)
+select device_id, rule_id, count(*) as n, round(sum(round_even(v, 2)), 6) as total from every group by 1, 2""",
+    ),
+    "r_latest_alerts": (
+        lambda s, d: r.latest_alerts(r.row_alerts(panel(s, d))).select("device_id", F.array_join("rules", ",").alias("rules"), F.array_join("last", ",").alias("last")),
+        f"{ALERTS}, k as (select *, row_number() over (partition by device_id order by t desc, rule_id) as k from row_alerts) select device_id, (select string_agg(distinct rule_id, ',' order by rule_id) from row_alerts r where r.device_id = k.device_id) as rules, string_agg(rule_id || '@' || t, ',' order by k) as last from k where k <= 10 group by 1",
+    ),
+    "r_sensors_or_default": (
+        lambda s, d: r.sensors_or_default(r.row_alerts(panel(s, d).where("device_id % 2 = 0")), panel(s, d).select("device_id").distinct(), values(s, SENSORS, "rule_id, sensor")).select("device_id", F.array_join("sensors", ",").alias("sensors")),
+        f"{ALERTS}, x as (select device_id, string_agg(distinct sensor, ',' order by sensor) as s from row_alerts a join {inline(SENSORS, 'rule_id, sensor')} on a.rule_id = v.rule_id where device_id % 2 = 0 group by 1) select p.device_id, coalesce(s, '出水温度,压力,流量,湿度') as sensors from (select distinct device_id from panel) p left join x on p.device_id = x.device_id",
+    ),
+    "r_rule_nodes": (
+        lambda s, d: r.nodes_of(r.all_alerts(panel(s, d).where("device_id % 2 = 0"), 7200), values(s, r.RULE_NODE, "rule_id, node, note")).groupBy("device_id", "node", "note").agg(F.count(F.lit(1)).alias("n")),
+        None,
+    ),
 }

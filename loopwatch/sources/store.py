@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loopwatch.contract import REQUIRED, fill_contract, validate
+
 BUCKET = 3600
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where the session names none, one process may take a
+    new temporary folder; a cluster may not."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='loopwatch-')}"
+    return f"{root.rstrip('/')}/loopwatch"
+
+
 def append(df: DataFrame, path: str) -> None:
     df.withColumn("bucket", F.floor(F.col("t") / BUCKET).cast("bigint")).write.mode("append").partitionBy("bucket").parquet(path)
 
@@ -26,9 +41,10 @@ def latest(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("t"), "device_id").limit(n)
 
 
-def insert_ignore(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The new rows whose key the store doesn't hold, the first of each key."""
-    return new.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+def insert_ignore(stored: DataFrame, new: DataFrame, key: list[str], arrival: str = "arrival_seq") -> DataFrame:
+    """The new rows whose key the store doesn't hold; of rows with one key the first by `arrival`."""
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*(c for c in new.columns if c not in key)), arrival).alias("_r")).select(*key, "_r.*")
+    return first.select(*new.columns).join(stored.select(*key), key, "left_anti")
 
 
 def partition_stats(df: DataFrame) -> DataFrame:
@@ -37,9 +53,58 @@ def partition_stats(df: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Rows of JSON lines. Blank and malformed lines are passed over, or raise if strict."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r"), "value")
-    return parsed.where("r is not null and value rlike '^\\\\s*\\\\{.*\\\\}\\\\s*$'").select("r.*")
+    return parse_jsonl(spark.read.text(path), schema, strict)
+
+
+def parse_jsonl(lines: DataFrame, schema: str, strict: bool = False) -> DataFrame:
+    lines = lines.where(F.trim("value") != "")
+    options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = lines.select(F.from_json("value", schema if strict else f"{schema}, _bad string", options).alias("r"))
+    return parsed.select("r.*") if strict else parsed.where("r is not null and r._bad is null").select("r.*").drop("_bad")
+
+
+def strict_json(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON lines; one with a bare NaN or Infinity, which Spark would read, counts as malformed and goes."""
+    bare = F.regexp_replace("value", r'"(?:[^"\\\\]|\\\\.)*"', '""').rlike(r"NaN|Infinity")
+    return parse_jsonl(lines.where(~bare), schema)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file of the contract: all columns must be there, what can't be read becomes null."""
+    return validate(spark.read.option("header", True).csv(path))
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """An uploaded file, JSON by its ending, else CSV: missing columns are null, rows without a timestamp go, an empty one raises."""
+    lines = path.rstrip("/").endswith(".jsonl")
+    raw = spark.read.option("multiLine", not lines).json(path) if lines or path.rstrip("/").endswith(".json") else spark.read.option("header", True).csv(path)
+    out = fill_contract(raw)
+    if out.isEmpty():
+        raise ValueError(f"no readable rows in {path}")
+    return out
+
+
+def replay(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """A stream over a folder of CSV files in the order they came, `files` for each batch."""
+    schema = ", ".join(f"{c} string" for c in REQUIRED)
+    return fill_contract(spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files).csv(path))
+
+
+def count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and SHA-256 of each file of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def latest_series(df: DataFrame, channels: list[str], n: int = 600) -> DataFrame:
+    """Per device its last n readings as one array for each channel, in time order."""
+    w = Window.partitionBy("device_id").orderBy(F.desc("t"))
+    last = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    held = F.array_sort(F.collect_list(F.struct("t", *channels)))
+    return last.groupBy("device_id").agg(held.alias("s")).select("device_id", *(F.col(f"s.{c}").alias(c) for c in ("t", *channels)))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

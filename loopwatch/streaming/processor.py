@@ -1,44 +1,77 @@
 """The live path: keyed state over a stream of readings, equal to the batch form of the same rules.
 
-Each device keeps its last condition, the time of its last change and its last readings' high flags. Rows of a device must
-arrive in order of t; the state is of bounded size and survives restarts through the query's checkpoint.
+Each device keeps its last conditions, the time it last was in transition, and its last readings' high flags. Rows of a device
+must arrive in order of t from batch to batch; within a batch they are put in order. The state is of bounded size and survives
+restarts through the query's checkpoint. A new session is a new key and so starts with an empty state; readings that only fill
+the state (a preload) come with `shown` false and give no rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loopwatch.operators.rules import row_alerts
-from loopwatch.operators.stream_rules import LOCK, SPAN, SUSTAIN
+from loopwatch.operators.stream_rules import LOCK, RECENT, RECENT_LEAST, SPAN, SUSTAIN
 
 OUT = "device_id long, t long, locked boolean, sustained boolean"
-STATE = "condition string, changed long, flags string"
+STATE = "conditions string, changing long, flags string"
+#: Seconds of readings in a batch of `over_files`.
+STRETCH = 4096
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    condition, changed, flags = state.get if state.exists else (None, -1, "")
-    for pdf in batches:
-        out = []
-        for t, now, high in pdf.sort_values("t")[["t", "operating_condition", "high"]].itertuples(index=False):
-            if condition is not None and now is not None and now != condition:
-                changed = int(t)
-            condition = now
-            flags = (flags + ("1" if high else "0"))[-SPAN:]
-            out.append((int(key[0]), int(t), changed >= 0 and t - changed < LOCK, flags.count("1") >= SUSTAIN))
-        yield pd.DataFrame(out, columns=["device_id", "t", "locked", "sustained"])
-    state.update((condition, changed, flags))
+    held, changing, flags = state.get if state.exists else ("[]", -LOCK, "")
+    pdf = pd.concat(list(batches)).sort_values("t")  # a device's readings of one batch
+    t, n = pdf["t"].to_numpy(np.int64), len(pdf)
+    conditions = json.loads(held) + [c if isinstance(c, str) and c else None for c in pdf["operating_condition"]]
+    known = np.array([c is not None for c in conditions])
+    codes = pd.factorize(np.array([c or "" for c in conditions], object))[0]
+    ahead = RECENT - 1 - (len(conditions) - n)
+    pad = lambda x, v: np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(ahead, v), x)), RECENT)
+    seen = pad(known.astype(np.int64), 0).sum(axis=1)
+    low, high = pad(np.where(known, codes, 1 << 30), 1 << 30).min(axis=1), pad(np.where(known, codes, -1), -1).max(axis=1)
+    last = np.maximum.accumulate(np.concatenate(([changing], np.where((seen >= RECENT_LEAST) & (low != high), t, -LOCK))))[1:]
+    high_flags = np.concatenate((np.array(list(flags), np.int64) if flags else np.zeros(0, np.int64), pdf["high"].fillna(False).to_numpy(bool).astype(np.int64)))
+    sums, at = np.concatenate(([0], np.cumsum(high_flags))), len(flags) + 1 + np.arange(n)
+    recent = sums[at] - sums[np.maximum(at - SPAN, 0)]
+    state.update((json.dumps(conditions[-(RECENT - 1) :]), int(last[-1]), "".join(map(str, high_flags[-(SPAN - 1) :]))))
+    out = pd.DataFrame({"device_id": np.full(n, int(key[0])), "t": t, "locked": t - last < LOCK, "sustained": recent >= SUSTAIN})
+    yield out[pdf["shown"].to_numpy(bool)]
 
 
 def live(readings: DataFrame) -> DataFrame:
-    """device_id, t, locked and sustained of each reading of a stream with a boolean column `high`."""
+    """device_id, t, locked and sustained of each shown reading of a stream with boolean columns `high` and, if not all are shown, `shown`."""
+    if "shown" not in readings.columns:
+        readings = readings.withColumn("shown", F.lit(True))
     return readings.groupBy("device_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def over_files(spark: SparkSession, rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """live over all rows (device_id, t, operating_condition, high): a stretch of time after the other is written in many files, in
+    the folder of spark.checkpoint.dir, and taken as one batch of a query that goes on where it stopped."""
+    from loopwatch.sources.store import shared_folder
+
+    base = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
+    rows = rows.select(F.col("device_id").cast("long"), "t", "operating_condition", "high", F.lit(True).alias("shown"), F.floor(F.col("t") / stretch).alias("part"))
+    rows.repartition("part", "device_id").write.partitionBy("part").parquet(f"{base}/all")
+    every = spark.read.parquet(f"{base}/all")
+    schema = "device_id long, t long, operating_condition string, high boolean, shown boolean"
+    for (part,) in every.select("part").distinct().orderBy("part").collect():  # as many as stretches of time
+        every.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        query = live(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{base}/out")
+
+
 def alert_stream(readings: DataFrame) -> DataFrame:
     """The row rules on a stream: stateless, so the batch expressions serve as they are."""
     return row_alerts(readings)

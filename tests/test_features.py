@@ -1,5 +1,6 @@
 """Hand-computable cases of features, rules, quality, decisions and metrics."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from loopwatch.operators import quality as q
 from loopwatch.operators import rules as r
 from loopwatch.operators import scoring as sc
 from loopwatch.operators import stream_rules as st
+from loopwatch.operators import text as tx
 from loopwatch.sources import store
 
 
@@ -92,10 +94,84 @@ def test_bootstrap_of_equal_clusters_is_a_point(spark):
 
 
 def test_lock_lasts_as_long_as_stated(spark):
-    rows = [(1, t, "a" if t < 5 else "b") for t in range(20)]
+    # each reading whose last thirty name two conditions sets the lock anew: a change at 100 locks 100 to 727
+    rows = [(1, t, "a" if t < 100 else "b") for t in range(900)]
     df = spark.createDataFrame(rows, "device_id int, t long, operating_condition string")
-    locked = [x.t for x in st.transition_lock(df, 4).where("locked").orderBy("t").collect()]
-    assert locked == [5, 6, 7, 8]
+    locked = [x.t for x in st.transition_lock(df).where("locked").orderBy("t").collect()]
+    assert locked == list(range(100, 728))
+
+
+def test_unknown_conditions_hide_no_change(spark):
+    known = {0: "a", 1: "a", 2: "a", 9: "b", 10: "b"}
+    df = spark.createDataFrame([(1, t, known.get(t, None if t % 2 else "")) for t in range(60)], "device_id int, t long, operating_condition string")
+    out = df.withColumn("changing", st.in_transition())
+    assert [x.t for x in out.where("changing").orderBy("t").collect()] == list(range(10, 30))  # five are known from 10 on
+
+
+def test_oscillation_counts_read_pressures(spark):
+    rng = np.random.default_rng(1)
+    v = [None if t % 7 == 3 else float(250 + 0.1 * t + 5 * rng.standard_normal()) for t in range(9000)]
+    df = spark.createDataFrame([(1, t, x) for t, x in enumerate(v)], "device_id int, t long, pressure double")
+    got = {x.t: x.osc for x in f.rolling_detrended_std(df, "pressure").collect()}
+    held = []
+    for t, x in enumerate(v):
+        if x is None:
+            assert t not in got
+            continue
+        held = [*held, x][-60:]
+        if len(held) < 10:
+            assert got[t] is None
+        elif t % 17 == 0 or t > 8990 or 4700 < t < 4900:
+            k = np.arange(len(held))
+            assert abs(got[t] - np.std(np.array(held) - np.polyval(np.polyfit(k, held, 1), k))) < 1e-6
+
+
+def test_fallback_and_gates_with_nulls(spark):
+    row = "select cast(null as double) hum, cast(null as double) dh, 200e0 p, cast(null as double) ps, 5e0 q, cast(null as double) dt"
+    df = spark.sql(row).select(g.fallback(*(F.col(c) for c in ("hum", "dh", "p", "ps", "q", "dt")), F.lit(None).cast("string")).alias("cause"))
+    assert df.first().cause == "过滤器堵塞"
+    gate = lambda c: spark.sql("select 1 x").select(g.cascade_gate(F.lit(True), F.lit(True), F.lit(True), F.lit("a"), F.expr(c)).alias("r")).first().r
+    assert gate("cast(array() as array<string>)") is None and gate("cast(null as array<string>)") is None and gate("array('b')") == "candidate"
+    arb = spark.sql("select '管道泄漏' model, 0.9D conf, array('管道泄漏') candidates, cast(array() as array<string>) extras, cast(null as double) hum, cast(null as double) dh, cast(null as double) ps, cast(null as double) pq")
+    assert g.arbitrate(arb).first().confidence == 0.75  # a missing humidity counts as 50, which is dry
+
+
+def test_only_channels_with_gaps_are_rounded(spark):
+    rows = [(1, t, t, *(10.123 + 0.001 * t if c != "pressure" else (None if t == 5 else 200.123) for c in q.CHANNELS), "melting", "none") for t in range(20)]
+    df = spark.createDataFrame(rows, "device_id int, t long, arrival_seq long, " + ", ".join(f"{c} double" for c in q.CHANNELS) + ", operating_condition string, fault_label string")
+    out = {x.t: x for x in q.clean(df).collect()}
+    assert out[3].inlet_temp == 10.126 and out[5].pressure == 200.1 and out[6].pressure == 200.1
+
+
+def test_first_arrival_wins_and_malformed_lines_go(spark):
+    new = spark.createDataFrame([(1, 5, 2, "late"), (1, 5, 1, "first"), (1, 6, 3, "held")], "device_id int, t long, arrival_seq long, v string")
+    held = spark.createDataFrame([(1, 6)], "device_id int, t long")
+    assert [x.v for x in store.insert_ignore(held, new, ["device_id", "t"]).collect()] == ["first"]
+    lines = spark.createDataFrame([('{"a": }',), ('{"a": 1, oops}',), ('{"a": 1}',), ("",), ('{"b": "NaN"}',), ('{"a": NaN}',)], "value string")
+    assert sorted(x.a or 0 for x in store.parse_jsonl(lines.limit(5), "a double").collect()) == [0, 1]
+    assert sorted(x.a or 0 for x in store.strict_json(lines, "a double").collect()) == [0, 1]
+
+
+def test_windows_that_end_with_the_series_are_left_out(spark):
+    rows = lambda n: spark.createDataFrame([(1, t, 35.0, 55.0 + 30 * t / 1800) for t in range(n)], "device_id int, t long, cabinet_temp double, cabinet_humidity double")
+    assert max(x.t for x in r.dew_predict(rows(1201)).collect()) == 1199
+    assert max((x.t for x in r.dew_predict(rows(1200)).collect()), default=0) < 1199
+
+
+def test_evidence_is_traced_by_sensor(spark):
+    seen = [("湿度", 71.25, 0.5, 0.1), ("压力", 240.0, 3.21, -1.5)]
+    df = spark.createDataFrame([(seen,)], "observed array<struct<name:string,mean:double,deviation:double,slope:double>>")
+    ok = lambda *items, lacking="": df.select(tx.traceable(F.array(*map(F.lit, items)) if items else F.expr("cast(array() as array<string>)"), F.col("observed"), F.lit(lacking), ["湿度", "压力"]).alias("x")).first().x
+    assert ok("湿度均值71.3，压力标准差3.21") and ok("湿度71.25", "缺失通道：流量", lacking="流量")
+    assert not ok("湿度240") and not ok("压力") and not ok() and not ok("缺失通道：流量", lacking="流量") and not ok("共3项，湿度71.3")
+
+
+def test_corruptions_change_what_they_name(spark):
+    text = '分析 {"root_cause": "管道泄漏", "confidence": 0.8, "evidence": ["湿度 71.2"], "sop": ["查漏"]} 完'
+    df = spark.createDataFrame([(1, text, "管道泄漏", k) for k in tx.CORRUPTIONS] + [(2, "没有", "管道泄漏", "broken_json")], "id long, text string, gold string, kind string")
+    out = {(x.id, x.kind): x.bad for x in tx.corrupted(df, "kind", "text", "gold", "id", ["管道泄漏", "线圈结垢"]).collect()}
+    assert "线圈结垢" in out[1, "wrong_root_cause"] and "0.95" in out[1, "overconfident_wrong"] and out[1, "wrong_root_cause"].endswith(" 完")
+    assert "71.2" not in out[1, "fabricated_evidence"] and '"sop"' not in out[1, "broken_json"] and out[2, "broken_json"] is None
 
 
 def test_store_round_trip_prunes(spark, tmp_path):
