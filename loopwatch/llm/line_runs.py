@@ -6,10 +6,15 @@ positions with repeated ids enter the suffix array. Round j ranks the positions
 partitions and numbered in that order. Positions of equal rank form the suffix array's interval of longest common prefix
 2**j at least; rounds go on until no interval is left. A run of `min_lines` lines is read from two overlapping ranks.
 
+In each interval the first place keeps its lines; each other place is a later copy of as many lines as the interval's prefix is
+long. A place's deepest interval in which it is not the first decides, and a maximal run of n lines is the union of two places'
+intervals of the greatest power of two in n, so what is deleted are the later copies of maximal repeated runs, whole.
+
 Where `long_words` is given, a single line of so many words or more is a run of its own.
 
-Of equal runs the first, by doc_id and line, stays; lines of the later ones are deleted. Runs that overlap in a text are
-deleted as one maximal run. Blank lines belong to no run and stay, except that a text that loses all its lines becomes empty.
+Of equal runs the first, by doc_id and line, stays; lines of the later ones are deleted. A later copy may overlap the first one:
+its lines go all the same, so of three equal lines the first stays (the run of lines 2 and 3 repeats that of 1 and 2), while of
+two equal lines both stay, as no run of two lines occurs twice. Runs that overlap in a text are deleted as one. Blank lines belong to no run and stay, except that a text that loses all its lines becomes empty.
 
 A null text has no lines and stays null. Rows with null doc_id come first in the order. Repeated rows (equal doc_id and text)
 count as one and get equal texts. Ties can't occur: places are distinct. Extra columns are carried; columns named n_lines,
@@ -93,29 +98,24 @@ def _shifted(level: DataFrame, by: int) -> DataFrame:
 
 
 def later_runs(spark: SparkSession, lines: DataFrame, scratch: common.Scratch, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, th, i and depth: starts of runs of min_lines lines that occur earlier; depth is the longest prefix, a power of two
-    or min_lines, that the position shares with another."""
+    """doc, th, i and width: places that share a prefix of min_lines lines or more with an earlier one, and how many lines their
+    deepest such interval's prefix has (a power of two, or min_lines)."""
     j = 0
     level = _ranked(scratch, lines.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "th", "i", "id"), ["id"], "level_0")
-    depths, later = None, None
+    later = []
     while True:
         width = 1 << j
-        if width <= min_lines < 2 * width:
-            runs = level if min_lines == width else _ranked(scratch, _shifted(level, min_lines - width), ["a", "b"], "runs")
-            later = scratch.save(runs.where(F.struct("doc", "th", "i") != F.col("first")).select("doc", "th", "i"), "later")
-        if width >= min_lines:
-            own = level.select("doc", "th", "i", F.lit(width).alias("depth"))
-            depths = own if depths is None else depths.unionByName(own)
+        intervals = [(level, width)] if width >= min_lines else []
+        if width < min_lines < 2 * width:
+            intervals.append((_ranked(scratch, _shifted(level, min_lines - width), ["a", "b"], "runs"), min_lines))
+        later += [x.where(F.struct("doc", "th", "i") != F.col("first")).select("doc", "th", "i", F.lit(w).alias("width")) for x, w in intervals]
         if level.isEmpty():
             break
         level = _ranked(scratch, _shifted(level, width), ["a", "b"], f"level_{j + 1}")
         j += 1
-    if later is None:
-        later = level.select("doc", "th", "i").limit(0)
-    if depths is None:
-        return later.withColumn("depth", F.lit(min_lines))
-    deepest = depths.groupBy("doc", "th", "i").agg(F.max("depth").alias("depth"))
-    return later.join(deepest, ["doc", "th", "i"], "left").withColumn("depth", F.coalesce("depth", F.lit(min_lines)))
+    if not later:
+        return level.select("doc", "th", "i", F.lit(min_lines).alias("width"))  # no line occurs twice
+    return common.union(later).groupBy("doc", "th", "i").agg(F.max("width").alias("width"))
 
 
 def later_lines(lines: DataFrame) -> DataFrame:
@@ -132,16 +132,14 @@ def dedup(spark: SparkSession, docs: DataFrame, min_lines: int = MIN_LINES, long
     docs = docs.drop("n_lines", "n_deleted", "longest_run", "common_prefix")
     lines = scratch.save(line_ids(docs, long_words).dropDuplicates(["doc", "th", "i"]), "lines")
     later = later_runs(spark, lines, scratch, min_lines)
-    later = later.withColumn("width", F.lit(min_lines))
     if long_words is not None:
-        later = later.unionByName(later_lines(lines).withColumns({"depth": F.lit(1), "width": F.lit(1)}))
+        later = later.unionByName(later_lines(lines).withColumn("width", F.lit(1)))
     runs = F.struct("i", "width")
-    starts = later.groupBy("doc", "th").agg(F.sort_array(F.collect_list(runs)).alias("starts"), F.max("depth").alias("common_prefix"))
-    starts = starts.select("doc", "th", F.col("starts.i").alias("starts"), F.col("starts.width").alias("widths"), "common_prefix")
-    starts = scratch.save(starts, "starts").withColumnRenamed("doc", "_doc").withColumnRenamed("th", "_th")
-    # a text and its own starts meet; both are as long as the text
-    joined = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}).join(starts.hint("merge"), (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_th")), "left")
-    joined = joined.drop("_d", "_t", "_doc", "_th")
+    starts = later.groupBy("doc", "th").agg(F.sort_array(F.collect_list(runs)).alias("starts"), F.max("width").alias("common_prefix"))
+    starts = scratch.save(starts.select("doc", "th", F.struct(F.col("starts.i"), F.col("starts.width"), "common_prefix").alias("runs")), "starts")
+    # a text and its own starts meet; both are as long as the text. The row travels whole, so no name of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("th"))
+    joined = rows.join(starts.hint("merge"), ["doc", "th"], "left").select("row.*", "runs.*")
     names, place = docs.columns, docs.columns.index("text")
     n = len(names)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
