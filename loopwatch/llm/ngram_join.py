@@ -13,8 +13,9 @@ Prefix filtering with rare shingles first; length, positional and suffix filters
 
 Every text counts, whole. Null and empty texts, and texts of white space, have no shingles and no links. Rows with a null
 doc_id link like others; a component gets a null component_id only if none of its rows has an id. Repeated rows are copies
-like others. A node's text is read again by its first row's doc_id and text hash. Extra columns are ignored. Two sets of n and m shingles are compared by 64-bit hashes: a wrong verdict needs two different
-shingles of one pair with equal hashes, and a wrong name needs two sets with equal 64-bit sums.
+like others. A node's text is read again by its first row's doc_id and text hash. Extra columns are ignored. Two sets of n and m
+shingles are compared by 64-bit hashes: a wrong verdict needs two different shingles of one pair with equal hashes, and a wrong
+name needs two sets with equal 64-bit sums.
 """
 
 from __future__ import annotations
@@ -245,9 +246,9 @@ def linked_nodes(spark: SparkSession, docs: DataFrame, counts: DataFrame, scratc
     return comps, links
 
 
-def row_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+def row_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, carry: tuple[str, ...] = (), scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, th, the columns in carry, n, node and comp (name of its component; rows without shingles have none) of every row."""
-    scratch = common.Scratch(spark)
+    scratch = scratch or common.Scratch(spark)
     counts = scratch.save(shingle_counts(docs, width, carry), "counts")
     comps, _ = linked_nodes(spark, docs, counts, scratch, width, percent)
     if comps is None:
@@ -257,8 +258,14 @@ def row_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, per
 
 def link_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach, the row's own included) of every row."""
+    scratch = common.Scratch(spark)
+    own = row_components(spark, docs, width, percent, scratch=scratch)
+    # minima combine before the exchange. Both are written, so that a node or component with a third of the rows meets a plain
+    # table and its rows can be split over tasks
+    nodes = scratch.save(own.where("n > 0").groupBy("node", "comp").agg(F.min("doc_id").alias("first")), "nodes")
+    least = scratch.save(nodes.groupBy("comp").agg(F.min("first").alias("component_id")), "least")
+    ids = scratch.save(nodes.join(least, "comp").select("node", "component_id"), "ids")
+    counts = spark.read.parquet(scratch.path("counts")).select("doc_id", "n", "node")
+    out = counts.where("n > 0").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     # without shingles there is no set to share: such a row is its own component
-    own = row_components(spark, docs, width, percent)
-    least = own.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = own.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return out.unionByName(counts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
