@@ -8,10 +8,9 @@ A source's budget is its weight times the token budget. Its rows lie in blocks b
 takes its blocks in another order; passes are whole while the budget lasts, the last takes whole blocks in its order and
 the rows of one more block in theirs, up to and with the row that reaches the budget. Only that one block is ever sorted.
 
-A null text has no tokens; rows without tokens are kept once when their source is, as they cost nothing: they appear in whole
-passes and with their block. A null source is a source of its own. Repeated rows share a block and are each taken. Ties of
+A null text has no tokens; rows without tokens cost nothing and appear in whole passes only; a source of such rows has one. A null source is a source of its own. Repeated rows share a block and are each taken. Ties of
 order break by doc_id and then by row contents. An empty table gives an empty result. Columns named like the added ones
-(n_tokens, weight, copies) are replaced.
+(n_tokens, weight, copies, place) are replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -60,9 +59,10 @@ def temperature(shares: DataFrame, budget_ratio: float, entropy: float = ENTROPY
 
 
 def plan(spark: SparkSession, docs: DataFrame, budget_ratio: float = 1.0, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, seed: int = 17, blocks: int = BLOCKS, scratch: common.Scratch | None = None) -> DataFrame:
-    """docs with n_tokens, weight (of the source) and copies (how often the row is read, 0 or more)."""
+    """docs with n_tokens, weight (of the source), copies (how often the row is read, 0 or more) and place (its block and the number
+    of whole passes, from which `realise` tells the order)."""
     scratch = scratch or common.Scratch(spark)
-    docs = docs.drop("n_tokens", "weight", "copies")
+    docs = docs.drop("n_tokens", "weight", "copies", "place")
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")
     # counted once and kept: the decisions below read only these few columns
@@ -84,7 +84,7 @@ def plan(spark: SparkSession, docs: DataFrame, budget_ratio: float = 1.0, entrop
     w = weights.withColumnRenamed("source", "w_source").drop("tokens")
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "passes", "block"), "block")
     laid = sums.join(w, same).drop("w_source").withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    laid = laid.select("source", "block", "weight", "passes", "rest", (F.col("upto") <= F.col("rest")).alias("whole"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("left"))
+    laid = laid.select("source", "block", "weight", "passes", "rest", ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).alias("whole"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("left"))
     laid = scratch.save(laid.withColumn("part", ~F.col("whole") & (F.col("left") > 0)).coalesce(few), "laid")
     # the one block of each source that is taken in part
     b = laid.where("part").select(F.col("source").alias("w_source"), F.col("block").alias("w_block"), "left", "passes")
@@ -92,15 +92,23 @@ def plan(spark: SparkSession, docs: DataFrame, budget_ratio: float = 1.0, entrop
     inside = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "passes", "doc_id"), "doc_id", "h")
     cut = cut.withColumn("before", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     taken = cut.where("before < left").groupBy("source", "doc_id", "h").agg(F.count(F.lit(1)).alias("extra"))
-    out = docs.withColumns({"n_tokens": tokens, "_block": block, "_h": F.xxhash64("text")})
-    l = laid.select(F.col("source").alias("_source"), F.col("block").alias("_b"), "weight", "passes", F.col("whole").cast("long").alias("more"))
-    out = out.join(l, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-    x = taken.select(F.col("source").alias("_xs"), F.col("doc_id").alias("_xd"), F.col("h").alias("_xh"), F.least("extra", F.lit(1)).cast("long").alias("extra"))
-    out = out.join(x, F.col("source").eqNullSafe(F.col("_xs")) & F.col("doc_id").eqNullSafe(F.col("_xd")) & F.col("_h").eqNullSafe(F.col("_xh")), "left")
-    copies = F.col("passes") + F.col("more") + F.coalesce("extra", F.lit(0))
-    return out.select(*docs.columns, "n_tokens", "weight", copies.cast("long").alias("copies"))
-
-
-def realise(planned: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of the mix: each as often as it is read."""
-    return planned.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    # the row travels whole, so no name of it can clash
+    out = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", tokens.alias("n"), block.alias("b"), F.xxhash64("text").alias("h"))
+    l = laid.select(F.col("source").alias("l_source"), F.col("block").alias("l_block"), "weight", "passes", F.col("whole").cast("long").alias("more"))
+    out = out.join(l, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("b") == F.col("l_block")))
+    x = taken.select(F.col("source").alias("x_source"), F.col("doc_id").alias("x_doc"), F.col("h").alias("x_h"), F.lit(1).cast("long").alias("extra"))
+    out = out.join(x, F.col("source").eqNullSafe(F.col("x_source")) & F.col("doc_id").eqNullSafe(F.col("x_doc")) & F.col("h").eqNullSafe(F.col("x_h")), "left")
+    copies = F.col("passes") + F.when(F.col("n") > 0, F.col("more") + F.coalesce("extra", F.lit(0))).otherwise(0)
+    place = F.struct(F.lit(seed).alias("seed"), F.col("b").alias("block"), F.col("passes").cast("long").alias("passes"))
+    return out.select("row.*", F.col("n").alias("n_tokens"), "weight", copies.cast("long").alias("copies"), place.alias("place"))
+
+
+def realise(planned: DataFrame, columns: list[str], ordered: bool = False) -> DataFrame:
+    """The rows of the mix: each as often as it is read. ordered: with `order`, the pass, and what the pass's permutation of blocks
+    and of rows within a block puts this reading at; a reader that sorts a shard of a source by it reads block after block."""
+    rows = planned.where("copies > 0").select(F.struct(*columns).alias("row"), "doc_id", "place", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("k"))
+    if not ordered:
+        return rows.select("row.*")
+    n = F.least(F.col("k").cast("long"), F.col("place.passes"))
+    key = lambda c: F.xxhash64(F.col("place.seed"), n, c)
+    return rows.select("row.*", F.struct(n.alias("pass"), key(F.col("place.block")).alias("block"), key(F.col("doc_id")).alias("row")).alias("order"))
