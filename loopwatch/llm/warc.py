@@ -159,7 +159,8 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes, digests = [], []
-        for stated, block in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+        for stated, parts in zip(b.column(4), b.column(5), strict=True):
+            stated, block = stated.as_py(), b"".join(parts.as_py())
             head, _, body = block.partition(b"\r\n\r\n")
             payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
             digest = hashlib.sha256(payload).hexdigest()
@@ -175,7 +176,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parsed = parse(spark, path)
     one = F.col("number").isNull()
     cols = ["id", "page_id", "refers", "to_page", "stated", "block"]
-    plain = parsed.where(one & (F.col("type") == "response")).select(*cols)
+    plain = parsed.where(one & (F.col("type") == "response")).select(*cols).withColumn("block", F.array("block"))
     parts = parsed.where(~one).withColumn("origin", F.coalesce("origin", "id"))
     # a group is one record, as long as the page it came from
     joined = parts.groupBy("origin").agg(
@@ -184,13 +185,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
     )
     whole = (F.col("held") == F.col("total")) & (F.element_at("parts", -1)["number"] == F.size("parts")) & (F.element_at("parts", 1)["number"] == 1)
-    block = F.when(whole, F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))).otherwise(F.raise_error(F.lit("segments of a record are missing or too long")).cast("binary"))
+    # segments are joined in the task that decodes them, once
+    block = F.when(whole, F.col("parts.block")).otherwise(F.raise_error(F.lit("segments of a record are missing or too long")).cast("array<binary>"))
     segmented = joined.select(F.col("origin").alias("id"), "page_id", "refers", "to_page", "stated", block.alias("block"))
     schema = "id string, page_id long, refers string, to_page long, payload_digest string, payload_bytes long"
     found = plain.unionByName(segmented).mapInArrow(_payloads, schema)
     responses = found.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     revisits = parsed.where(one & (F.col("type") == "revisit")).select("page_id", F.col("refers").alias("id"), "to_page")
-    lent = revisits.join(found.select("id", "payload_bytes", "payload_digest"), "id")
+    # a revisit whose response is not there is an error and not a row less
+    lent = revisits.join(found.select("id", "payload_bytes", F.col("payload_digest").alias("found")), "id", "left")
+    lent = lent.withColumn("payload_digest", F.coalesce("found", F.raise_error(F.concat(F.lit("no response for a revisit of "), F.col("id"))).cast("string")))
     return responses.unionByName(lent.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("to_page").alias("refers_to")))
 
 
