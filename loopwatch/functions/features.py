@@ -148,3 +148,12 @@ def sampled_windows(df: DataFrame, span: int, every: int) -> DataFrame:
     first = F.ceil((F.col("t") + 1) / every).cast("bigint")
     last = F.floor((F.col("t") + span) / every).cast("bigint")
     return df.withColumn("due", F.explode(F.sequence(first, last))).withColumn("due", F.col("due") * every - 1)
+
+
+def condensation(df: DataFrame, span: int = 600, every: int = 60, limit: float = 3.0, horizon: float = 600.0) -> DataFrame:
+    """device_id, t, margin, at_risk, eta and predicted at every minute: the dew margin, whether it is below the limit, and when the
+    slope of the last `span` margins (ten at least) takes it there, if it falls and isn't there yet."""
+    w = sampled_windows(df.select("device_id", "t", dew_margin().alias("m")), span, every).groupBy("device_id", "due").agg(slope("m").alias("s"), F.max_by("m", "t").alias("margin"), F.count("m").alias("n"), F.max("t").alias("t"))
+    at_risk = F.col("margin") < limit
+    eta = F.when((F.col("s") < 0) & (F.col("n") >= 10) & ~at_risk, (F.col("margin") - limit) / -F.col("s"))
+    return w.where("t = due").select("device_id", "t", "margin", at_risk.alias("at_risk"), eta.alias("eta"), F.coalesce(eta <= horizon, F.lit(False)).alias("predicted"))

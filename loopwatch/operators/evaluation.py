@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwatch.operators import text as t
+from loopwatch.operators.graph import contradicted
 from loopwatch.operators.metrics import nearest_rank, set_f1
 
 # Weights of a composite reward's parts; kinds of cases with a fault and of those near a limit; answers without a fault.
@@ -25,11 +26,6 @@ def sop_score(cause: Column, sop: Column, faults: list[str], actions: dict[str,
     return F.when(F.size(sop) == 0, 0.0).when(free, 1.0).otherwise(F.size(hit) / F.size(sop))
 
 
-def contradicted(evidence: Column) -> Column:
-    """Claims that call an outlet below the inlet normal."""
-    return F.exists(evidence, lambda c: F.contains(c, F.lit("出水温度")) & F.contains(c, F.lit("低于进水")) & F.contains(c, F.lit("正常")))
-
-
 def unsupported_evidence(cause: Column, evidence: Column, indicates: list[tuple[str, str]], sensors: list[str]) -> Column:
     """Whether the evidence names a sensor that the graph knows but not as a sign of the cause. Causes outside it are not judged."""
     pairs = F.array(*(F.lit(f"{f}|{s}") for f, s in indicates))

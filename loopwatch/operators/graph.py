@@ -40,10 +40,22 @@ def unsupported(claims: DataFrame, indicates: DataFrame) -> DataFrame:
     return known.join(F.broadcast(indicates.select("fault", "sensor")), ["fault", "sensor"], "left_anti")
 
 
-def physics_violations() -> Column:
-    """Names of the channels beyond their limits, and of an outlet colder than the inlet."""
+def contradicted(claims: Column) -> Column:
+    """Claims that call an outlet below the inlet normal."""
+    return F.exists(claims, lambda c: F.contains(c, F.lit("出水温度")) & F.contains(c, F.lit("低于进水")) & F.contains(c, F.lit("正常")))
+
+
+def unknown_causes(claims: DataFrame, faults: DataFrame) -> DataFrame:
+    """Claims (case_id, fault) whose fault the graph doesn't hold."""
+    return claims.join(F.broadcast(faults.select("fault").distinct()), "fault", "left_anti")
+
+
+def physics_violations(claims: Column | None = None) -> Column:
+    """Names of the channels beyond their limits, of an outlet colder than the inlet, and of claims that contradict it."""
     out = [F.when((F.col(c) < lo) | (F.col(c) > hi), F.lit(c)) for c, (lo, hi) in LIMITS.items()]
     out.append(F.when(F.col("outlet_temp") < F.col("inlet_temp") - 1, F.lit("outlet_below_inlet")))
+    if claims is not None:
+        out.append(F.when(contradicted(claims), F.lit("claim")))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 

@@ -9,9 +9,11 @@ from loopwatch.contract import CHANNELS
 from loopwatch.operators import datasets as ds
 from loopwatch.operators import scoring as sc
 from loopwatch.operators import stream_rules as st
+from loopwatch.operators import text as tx
 from loopwatch.plans.common import WITH, panel, r6, table
 from loopwatch.plans.sensors import ALERTS, W, trailing
 from loopwatch.sources import store
+from loopwatch.streaming.processor import sampled
 
 CONDITION = "case l_returnflag when 'A' then 'melting' end"
 KNOWN, FRAME = "nullif(operating_condition, '')", "over (partition by device_id order by t rows between 29 preceding and current row)"
@@ -55,7 +57,7 @@ QUERIES = {
     "s_latest_n": (lambda s, d: store.latest(panel(s, d), 100).select("device_id", "t"), f"{WITH} select device_id, t from panel order by t desc, device_id limit 100"),
     "s_partition_stats": (lambda s, d: store.partition_stats(panel(s, d)), f"{WITH} select t // 3600 as bucket, count(*) as n_rows from panel group by 1"),
     "s_insert_ignore": (lambda s, d: store.insert_ignore(panel(s, d).where("t % 3 = 0"), panel(s, d).where("t % 2 = 0"), ["device_id", "t"]).select("device_id", "t"), f"{WITH} select device_id, t from panel where t % 2 = 0 and t % 3 <> 0"),
-    "s_sampled_persist": (lambda s, d: panel(s, d).where("t % 10 = 0").groupBy("device_id").agg(F.count(F.lit(1)).alias("n")), f"{WITH} select device_id, count(*) as n from panel where t % 10 = 0 group by 1"),
+    "s_sampled_persist": (lambda s, d: sampled(panel(s, d)).groupBy("device_id").agg(F.count(F.lit(1)).alias("n")), f"{WITH} select device_id, count(*) as n from panel where t % 10 = 0 group by 1"),
     "b_sliding_windows": (
         lambda s, d: ds.sliding_windows(panel(s, d).select("device_id", "t", "fault_label"), 1200, 600).groupBy("device_id", "start").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fault_label").alias("n_labels")).where("n = 1200"),
         f"{WITH}, s as (select distinct device_id, (t // 600) * 600 as start from panel) select s.device_id, s.start, count(*) as n, count(distinct fault_label) as n_labels from s join panel p on p.device_id = s.device_id and p.t >= s.start and p.t < s.start + 1200 group by 1, 2 having count(*) = 1200",
@@ -73,7 +75,10 @@ QUERIES = {
     ),
     "b_messages_build": (turns, "select conv_id, count(*) as n, sha256(string_agg(role || ':' || text, chr(10) order by turn)) as mark from conversations group by 1"),
     "a_conflicting_labels": (lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy(ds.fingerprint(F.col("text")).alias("mark")).agg(F.count_distinct("quality").alias("n")).where("n > 1").groupBy().agg(F.count(F.lit(1)).alias("n_conflicts")), "select count(*) as n_conflicts from (select text from documents d join labels l on d.doc_id = l.doc_id group by text having count(distinct quality) > 1)"),
-    "f_numbers_in": (lambda s, d: table(s, d, "events").select("event_id", F.size(F.regexp_extract_all("props", F.lit(r"-?\d+\.?\d*"), F.lit(0))).cast("long").alias("n"), F.element_at(F.regexp_extract_all("props", F.lit(r"-?\d+\.?\d*"), F.lit(0)), 1).cast("double").alias("first")), r"select event_id, cast(len(regexp_extract_all(props, '-?\d+\.?\d*')) as bigint) as n, cast(regexp_extract(props, '-?\d+\.?\d*') as double) as first from events"),
+    "f_numbers_in": (
+        lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.transform(tx.numbers_in(F.concat("props", F.lit(" -1.5, x2"))), lambda x: x.cast("int").cast("string")), ",").alias("numbers")),
+        r"select event_id, array_to_string(list_transform(regexp_extract_all(props || ' -1.5, x2', '-?\d+\.?\d*'), lambda x: cast(trunc(cast(x as double)) as integer)), ',') as numbers from events",
+    ),
     "t_score_throttle": (lambda s, d: panel(s, d).select("device_id", "t", F.coalesce(st.throttled_at(100), F.lit(-1)).alias("taken")), f"{WITH} select device_id, t, case when t >= 100 then 100 + (t - 100) // 10 * 10 else -1 end as taken from panel"),
     "t_transition_lock": (lambda s, d: st.transition_lock(panel(s, d)).select("device_id", "t", "locked"), f"{LOCK_SQL} select * from l"),
     "t_sustained": (lambda s, d: st.sustained(panel(s, d), F.col("pressure") > 300).select("device_id", "t", "sustained"), f"{WITH} select device_id, t, coalesce(sum(cast(pressure > 300 as integer)) {trailing(60)} >= 25, false) as sustained from panel"),

@@ -92,9 +92,14 @@ QUERIES = {
         f"with c as ({CASE_SQL}), a as (select distinct case_id, [{N}][k + 1] as sensor from c), h as (select case_id, fault, count(*) as hits, min(ord) as ord from a join {inline(IND, 'ord, fault, sensor')} on a.sensor = v.sensor group by 1, 2), r as (select *, cast(row_number() over (partition by case_id order by hits desc, ord) as integer) as rank from h) select case_id, fault, hits, rank from r where rank <= 3",
     ),
     "j_causal_path": (
-        lambda s, d: faults(s, d).join(F.broadcast(values(s, g.CAUSES, "fault, effect")), "fault", "left_semi"),
-        f"with f as ({FAULTS}) select fault, order_id from f where fault in (select fault from {inline(g.CAUSES, 'fault, effect')})",
+        lambda s, d: cases(s, d).distinct().join(faults(s, d).withColumnRenamed("order_id", "case_id"), "case_id").join(F.broadcast(values(s, g.INDICATES, "fault, sensor")), ["fault", "sensor"], "left_semi").select("case_id", "fault", "sensor"),
+        f"with c as ({CASE_SQL}), a as (select distinct case_id, [{N}][k + 1] as sensor from c), f as ({FAULTS}), i as (select * from {inline(g.INDICATES, 'fault, sensor')}) select case_id, fault, sensor from a join f on a.case_id = f.order_id where exists (select 1 from i where i.fault = f.fault and i.sensor = a.sensor)",
     ),
+    "j_effects": (
+        lambda s, d: faults(s, d).join(F.broadcast(values(s, g.CAUSES, "fault, effect")), "fault").select("order_id", "effect"),
+        f"with f as ({FAULTS}) select order_id, effect from f join {inline(g.CAUSES, 'fault, effect')} on f.fault = v.fault",
+    ),
+    "j_unknown_cause": (lambda s, d: g.unknown_causes(faults(s, d), values(s, g.INDICATES, "fault, sensor")).select("order_id", "fault"), f"with f as ({FAULTS}) select order_id, fault from f where fault = '其他'"),
     "j_actions": (
         lambda s, d: faults(s, d).join(F.broadcast(values(s, HB, "ord, fault, action").groupBy("fault").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "action"))), lambda x: x["action"]), ",").alias("actions"))), "fault", "left"),
         f"with f as ({FAULTS}), a as (select fault, string_agg(action, ',' order by ord) as actions from {inline(HB, 'ord, fault, action')} group by 1) select f.fault, order_id, actions from f left join a on f.fault = a.fault",
@@ -103,7 +108,7 @@ QUERIES = {
         lambda s, d: g.unsupported(cases(s, d).distinct().join(faults(s, d).withColumnRenamed("order_id", "case_id"), "case_id"), values(s, IND, "ord, fault, sensor")).select("case_id", "fault", "sensor"),
         f"with c as ({CASE_SQL}), a as (select distinct case_id, [{N}][k + 1] as sensor from c), f as ({FAULTS}), i as (select * from {inline(IND, 'ord, fault, sensor')}) select case_id, fault, sensor from a join f on a.case_id = f.order_id where sensor in (select sensor from i) and not exists (select 1 from i where i.fault = f.fault and i.sensor = a.sensor)",
     ),
-    "g_physics": (lambda s, d: panel(s, d).select("device_id", "t", F.size(g.physics_violations()).cast("long").alias("n")), f"{WITH} select device_id, t, cast({PHYS} as bigint) as n from panel"),
+    "g_physics": (lambda s, d: panel(s, d).select("device_id", "t", F.size(g.physics_violations(F.array(F.when(F.col("t") % 50 == 0, "出水温度低于进水属正常").otherwise("正常")))).cast("long").alias("n")), f"{WITH} select device_id, t, cast({PHYS} as bigint) + case when t % 50 = 0 then 1 else 0 end as n from panel"),
     "g_conf_gate": (lambda s, d: scored(s, d).groupBy(g.confidence_gate(F.col("conf")).alias("gate")).agg(F.count(F.lit(1)).alias("n")), f"with sc as ({SCORED}) select case when conf >= 9e-1 then 'direct' when conf >= 7e-1 then 'candidates' else 'manual' end as gate, count(*) as n from sc group by 1"),
     "g_cascade_gate": (
         lambda s, d: stats(s, d).select("case_id", g.cascade_gate(F.col("case_id") % 11 != 0, F.col("case_id") % 7 != 1, F.col("case_id") % 5 != 2, F.lit("a"), F.when(F.col("case_id") % 3 == 0, F.array(F.lit("b"))).when(F.col("case_id") % 3 == 1, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("a")))).alias("reason")),

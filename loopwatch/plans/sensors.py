@@ -27,6 +27,7 @@ RULE_CASES = [
 ROW_RULES = " union all ".join(f"select device_id, t, '{n}' as rule_id, {v} as v from dm where {c}" for n, c, v in RULE_CASES)
 ALERTS = f"{WITH_G}, row_alerts as ({ROW_RULES})"
 SENSORS = list(r.RULE_SENSOR.items())
+LAST = ["outlet_temp", "inlet_temp", "pressure", "flow_rate", "tank_level", "cabinet_humidity", "conductivity"]
 W = "over (partition by device_id order by t)"
 
 
@@ -96,20 +97,25 @@ SIX = per_channel("round(@, 6) as @")
 
 def tail_stats(s, d):
     w = Window.partitionBy("device_id").orderBy(F.desc("t"))
-    last = panel(s, d).withColumn("k", F.row_number().over(w)).where("k <= 240")
+    last = panel(s, d).withColumns({"k": F.row_number().over(w), "n_rows": F.count(F.lit(1)).over(Window.partitionBy("device_id"))}).where("k <= 240")
     now = lambda c: F.avg(F.when(F.col("k") <= 120, F.col(c)))
     before = F.avg(F.when(F.col("k") > 120, F.col("cabinet_humidity")))
     return last.groupBy("device_id").agg(
         r6(now("pressure")).alias("pressure"), r6(now("cabinet_humidity")).alias("humidity"), r6(now("flow_rate")).alias("flow"), r6(now("tank_level")).alias("level"),
         r6(F.when(F.count(F.lit(1)) >= 240, now("cabinet_humidity") - before)).alias("humidity_rise"), r6(now("outlet_temp") - now("inlet_temp")).alias("delta_t"),
+        r6(f.detrended_std("case when k <= 120 then pressure end")).alias("swing"), r6(F.avg(F.when(F.col("k") <= 120, f.pq_offset())) * 100).alias("pq"),
+        F.round(F.when((F.count(F.when(F.col("k") <= 120, 1)) >= 20) & (now("electric_power") > 500), (F.max(F.when(F.col("k") == 1, F.col("furnace_temp"))) - F.max(F.when(F.col("k") == F.least(F.lit(120), F.col("n_rows")), F.col("furnace_temp")))) / (F.count(F.when(F.col("k") <= 120, 1)) / 60.0) / now("electric_power")), 8).alias("heating"),
     )
 
 
-TAIL = f"""{WITH}, l as (select *, row_number() over (partition by device_id order by t desc) as k from panel)
+LATE, PQ_SQL = "case when k <= 120 then pressure end", "(pressure - (120e0 + 22e-1 * flow_rate * flow_rate)) / (120e0 + 22e-1 * flow_rate * flow_rate)"
+TAIL = f"""{WITH}, l as (select *, row_number() over (partition by device_id order by t desc) as k, count(*) over (partition by device_id) as n_rows from panel)
 select device_id, round(avg(pressure) filter (where k <= 120), 6) as pressure, round(avg(cabinet_humidity) filter (where k <= 120), 6) as humidity,
  round(avg(flow_rate) filter (where k <= 120), 6) as flow, round(avg(tank_level) filter (where k <= 120), 6) as level,
  round(case when count(*) >= 240 then avg(cabinet_humidity) filter (where k <= 120) - avg(cabinet_humidity) filter (where k > 120) end, 6) as humidity_rise,
- round(avg(outlet_temp) filter (where k <= 120) - avg(inlet_temp) filter (where k <= 120), 6) as delta_t
+ round(avg(outlet_temp) filter (where k <= 120) - avg(inlet_temp) filter (where k <= 120), 6) as delta_t,
+ round(case when count({LATE}) >= 10 then sqrt(greatest(0e0, (regr_syy({LATE}, t) - regr_sxy({LATE}, t) * regr_sxy({LATE}, t) / regr_sxx({LATE}, t)) / count({LATE}))) end, 6) as swing, round(avg({PQ_SQL}) filter (where k <= 120) * 100, 6) as pq,
+ round(case when count(*) filter (where k <= 120) >= 20 and avg(electric_power) filter (where k <= 120) > 500 then (max(furnace_temp) filter (where k = 1) - max(furnace_temp) filter (where k = least(120, n_rows))) / (count(*) filter (where k <= 120) / 60e0) / avg(electric_power) filter (where k <= 120) end, 8) as heating
 from l where k <= 240 group by device_id"""
 
 
@@ -177,8 +183,8 @@ select k.*, n_duplicates, n_out_of_order, case when completeness >= 99e-2 then '
     ),
     "f_detrended_std": (lambda s, d: f.rolling_detrended_std(panel(s, d), "pressure").select("device_id", "t", r6("osc").alias("osc")), f"{OSC} select device_id, t, round(osc, 6) as osc from osc"),
     "f_trend_eta": (
-        lambda s, d: f.sampled_windows(panel(s, d).select("device_id", "t", "outlet_temp"), 600, 60).groupBy("device_id", "due").agg(f.slope("outlet_temp").alias("m"), F.max_by("outlet_temp", "t").alias("now"), F.count(F.lit(1)).alias("n")).where("n = 600").select("device_id", F.col("due").alias("t"), F.round(f.trend_eta(F.col("now"), F.col("m"), 60.0, 600.0), 3).alias("eta")),
-        f"{WITH}, x as (select *, regr_slope(outlet_temp, t) {trailing(600)} as m from panel) select device_id, t, round(case when outlet_temp >= 60 then 0e0 when m > 1e-6 and (60 - outlet_temp) / m <= 600 then (60 - outlet_temp) / m end, 3) as eta from x where t >= 599 and (t + 1) % 60 = 0",
+        lambda s, d: f.sampled_windows(panel(s, d).select("device_id", "t", "outlet_temp"), 600, 60).groupBy("device_id", "due").agg(f.slope("outlet_temp").alias("m"), F.max_by("outlet_temp", "t").alias("now"), F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).where("n >= 60 and t = due").select("device_id", "t", F.round(f.trend_eta(F.col("now"), F.col("m"), 60.0, 600.0), 3).alias("eta")),
+        f"{WITH}, x as (select *, regr_slope(outlet_temp, t) {trailing(600)} as m from panel) select device_id, t, round(case when outlet_temp >= 60 then 0e0 when m > 1e-6 and (60 - outlet_temp) / m <= 600 then (60 - outlet_temp) / m end, 3) as eta from x where t >= 59 and (t + 1) % 60 = 0",
     ),
     "f_heat_balance": (
         lambda s, d: panel(s, d).select("device_id", "t", r6(f.expected_heat_kw(F.col("flow_rate"), F.col("outlet_temp") - F.col("inlet_temp"))).alias("heat_kw"), r6(f.expected_delta_t(F.col("electric_power") * 0.25, F.col("flow_rate"))).alias("expected"), (f.heat_imbalance(F.col("electric_power") * 0.25, F.col("flow_rate"), F.col("outlet_temp") - F.col("inlet_temp")) > 0.1).alias("off")),
@@ -190,8 +196,12 @@ select k.*, n_duplicates, n_out_of_order, case when completeness >= 99e-2 then '
         f"{WITH} select device_id, t // 600 as window_id, count(*) as n, round(avg(pressure) filter (where t % 600 >= 480), 6) as tail_mean, round(case when count(*) >= 10 then sqrt(greatest(0e0, (regr_syy(pressure, t) - regr_sxy(pressure, t) * regr_sxy(pressure, t) / regr_sxx(pressure, t)) / count(*))) end, 6) as osc, round(regr_slope(outlet_temp, t) * 60, 6) as slope_per_min from panel group by 1, 2",
     ),
     "f_last_row": (
-        lambda s, d: panel(s, d).groupBy("device_id").agg(F.max_by(F.struct("outlet_temp", "pressure", "flow_rate"), "t").alias("x")).select("device_id", *(r6(f"x.{c}").alias(c) for c in ("outlet_temp", "pressure", "flow_rate"))),
-        f"{WITH} select device_id, round(arg_max(outlet_temp, t), 6) as outlet_temp, round(arg_max(pressure, t), 6) as pressure, round(arg_max(flow_rate, t), 6) as flow_rate from panel group by 1",
+        lambda s, d: dirty(s, d).groupBy("device_id").agg(*(r6(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("t", F.col("arrival_seq"))))).alias(c) for c in LAST)),
+        f"{WITH} select device_id, " + ", ".join(f"round(arg_max({c}, t * 1000000 + arrival_seq) filter (where {c} is not null), 6) as {c}" for c in ("outlet_temp", "inlet_temp", "pressure", "flow_rate", "tank_level", "cabinet_humidity", "conductivity")) + " from dirty group by 1",
+    ),
+    "f_condensation": (
+        lambda s, d: f.condensation(panel(s, d)).select("device_id", "t", F.bround("margin", 2).alias("margin"), "at_risk", F.round("eta", 1).alias("eta"), "predicted"),
+        f"{WITH_G}, m as (select device_id, t, margin, regr_slope(margin, t) {trailing(600)} as s from dm), x as (select *, case when s < 0 and margin >= 3 then (margin - 3) / -s end as e from m where (t + 1) % 60 = 0) select device_id, t, round_even(margin, 2) as margin, margin < 3 as at_risk, round(e, 1) as eta, coalesce(e <= 600, false) as predicted from x",
     ),
     "r_row_alerts": (lambda s, d: counts(r.row_alerts(panel(s, d))), f"{ALERTS} select device_id, rule_id, count(*) as n, round(sum(round_even(v, 2)), 6) as total from row_alerts group by 1, 2"),
     "r_pressure_osc": (lambda s, d: r.pressure_oscillation(panel(s, d)).groupBy("device_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t")), f"{OSC} select device_id, 'PRESSURE_OSC' as rule_id, count(*) as n, min(t) as first_t from osc where osc > 3 group by 1"),
