@@ -91,9 +91,7 @@ def keyword(question: Column) -> Column:
     left = F.trim(F.regexp_replace(F.regexp_replace(question, WHEN_WORDS, ""), FILLERS, ""))
     left = F.when(left.isin("设备", "中频炉"), "").otherwise(left)
     word = F.coalesce(number, left)
-    for name, short in SYNONYMS.items():
-        word = F.when(word == name, short).otherwise(word)
-    return word
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in SYNONYMS.items() for x in kv))[word], word)
 
 
 def date_range(question: Column, ref: Column) -> tuple[Column, Column]:
