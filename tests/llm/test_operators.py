@@ -152,6 +152,31 @@ def test_passage_on_one_of_many_diagonals():
     assert [(r[1], r[2]) for r in found] == [(0, 63)] and found[0][6] == 56 / 64
 
 
+def test_passages_recall_and_partitions(spark):
+    """Planted near copies among texts that all share one line: found, whatever the partitions, and nothing else is."""
+    rng = random.Random(17)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    line = text(14)
+    rows, planted = [], []
+    for i in range(40):
+        old = text(rng.randrange(50, 80))
+        new = list(old)
+        new[rng.randrange(10, 40)] = "changed"
+        a = {tuple(old[k : k + 5]) for k in range(len(old) - 4)}
+        b = {tuple(new[k : k + 5]) for k in range(len(new) - 4)}
+        assert len(a & b) / len(a | b) >= 0.8
+        for d, p in ((2 * i, old), (2 * i + 1, new)):
+            w = text(rng.randrange(5, 60)) + p + text(rng.randrange(5, 30)) + line + text(rng.randrange(5, 30))
+            rows.append((d, " ".join(w)))
+        planted.append((2 * i + 1, 2 * i))
+    rows += [(100 + i, " ".join(text(40) + line + text(40))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(tuple(r) for r in passages.near_repeats(spark, df.repartition(n)).collect()) for n in (1, 5)]
+    assert found[0] == found[1]
+    pairs = {(r[0], r[3]) for r in found[0]}
+    assert len(pairs & set(planted)) >= 0.95 * len(planted) and not pairs - set(planted)
+
+
 def test_sentencepiece_matches_library(spark):
     import sentencepiece
 
@@ -285,6 +310,38 @@ def test_mixing_meets_budget(spark):
     assert mixing.plan(spark, df.limit(0)).count() == 0
 
 
+def test_mixing_against_brute_force(spark):
+    """Budgets of two sources by hand, names that could clash, texts without words, and an order that reads block after block."""
+    rows = [(i, "w " * (1 + i % 4), "a" if i < 90 else "b", 1, 2, 3) for i in range(120)] + [(500, None, "a", 1, 2, 3), (501, "", "c", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, passes int, extra int, block int")
+    planned = mixing.plan(spark, df, entropy=1.0, most_repeats=4.0, blocks=8).collect()
+    tokens = {s: sum(len((t or "").split()) for _, t, x, *_ in rows if x == s) for s in "abc"}
+    total = sum(tokens.values())
+    for s in "ab":
+        own = [r for r in planned if r.source == s]
+        budget, read = int(total * own[0].weight), sum(r.copies * r.n_tokens for r in own)
+        assert abs(own[0].weight - 0.5) < 1e-3 and budget <= read < budget + 4 and {r.copies for r in own if r.n_tokens} <= {budget // tokens[s], budget // tokens[s] + 1}
+    assert {r.doc_id: r.copies for r in planned if r.doc_id >= 500} == {500: int(total * 0.5) // tokens["a"], 501: 1}
+    out = mixing.realise(mixing.plan(spark, df, entropy=1.0, most_repeats=4.0, blocks=8), df.columns, ordered=True).where("source = 'b'").collect()
+    assert len(out) == sum(r.copies for r in planned if r.source == "b")
+    first = sorted((r.order["block"], r.order["row"], r.doc_id) for r in out if r.order["pass"] == 0)
+    assert sorted(d for *_, d in first) == list(range(90, 120)) and [d for *_, d in first] != sorted(d for *_, d in first)
+
+
+def test_line_runs_with_clashing_names(spark):
+    rows = [(1, "a b\nc d\ne", 1, 2, "x"), (2, "z\na b\nc d\nq", 1, 2, "x"), (3, "b\nb\nb", 1, 2, "x"), (4, "a\na", 1, 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc int, starts int, _t string")
+    out = {r.doc_id: (r.text, r.doc, r.starts, r._t) for r in line_runs.dedup(spark, df).collect()}
+    assert out == {1: ("a b\nc d\ne", 1, 2, "x"), 2: ("z\nq", 1, 2, "x"), 3: ("b", 1, 2, "x"), 4: ("a\na", 1, 2, "x")}
+
+
+def test_warc_revisit_without_response(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <b>\r\nWARC-Refers-To: <gone>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "part-0.warc").write_bytes(head)
+    with pytest.raises(Exception, match="no response"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
 def test_quality_counts(spark, docs):
     extra = spark.createDataFrame([(100, "a b\n\na b\n x\n" + "the quick brown fox jumps over it now " * 3, "en", "s1", "", 0), (101, "# é&x " * 30, "en", "s1", "", 0)], DOCS)
     out = quality.apply(spark, docs.unionByName(extra))
