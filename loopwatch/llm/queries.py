@@ -15,6 +15,7 @@ OPERATORS = {
     "op8_source_mixing": "op8",
     "op9_quality_rules": "op9",
     "op10_language_id": "op10",
+    "op11_suffix_array_dedup": "op11",
 }
 
 
