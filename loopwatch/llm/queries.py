@@ -16,6 +16,8 @@ OPERATORS = {
     "op9_quality_rules": "op9",
     "op10_language_id": "op10",
     "op11_suffix_array_dedup": "op11",
+    "op12_centroid_clustering": "op12",
+    "op13_importance_resampling": "op13",
 }
 
 
