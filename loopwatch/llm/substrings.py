@@ -7,7 +7,7 @@ of that q-gram.
 
 A bucket is refined by the identifiers of the q-grams at later offsets: what all strings of a unit share names its bucket, all
 that they cover names its class in the bucket, and both are folded from the q-grams' identifiers at offsets q, 2q and so on.
-Buckets of one row leave: their strings occur once. Of a class, all rows but the first are later copies, whole. Only the first
+Buckets of one row leave: their strings occur once. At the first level buckets are counted before anything else travels. Of a class, all rows but the first are later copies, whole. Only the first
 rows of buckets with several classes go on; they are cut into units of fewer starts, whose buckets reach deeper, and the same
 step is applied to those, down to single starts, where bucket and class are the same. So a group of copies enters a deeper level
 once, whatever its size, and counts and minima are all that is gathered by bucket.
@@ -106,10 +106,15 @@ def _cut(lo: np.ndarray, n: np.ndarray, r: np.ndarray, step: int) -> tuple[np.nd
     return p - first, first - last + 1, p, of
 
 
+def _bucket(names: np.ndarray, p: np.ndarray, r: np.ndarray, step: int, length: int, q: int) -> np.ndarray:
+    """The name of what all strings of each unit share, were it as wide as it may be."""
+    block = r // step
+    return _fold(names, q, p - block * step, np.full(len(p), length - step + 1), block)
+
+
 def _rows(names, off, lo, n, p, step, length, q, doc, th, at) -> pa.RecordBatch:
     r = p - lo
-    block = r // step
-    bucket = _fold(names, q, p - block * step, np.full(len(lo), length - step + 1), block)
+    bucket = _bucket(names, p, r, step, length, q)
     own = _fold(names, q, lo, n - 1 + length, r)
     rows = pa.array(at)
     text = np.searchsorted(off, lo, side="right") - 1
@@ -128,8 +133,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
             yield lo, hi, np.frombuffer(part.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def first_units(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """Units of all texts by their least q-gram."""
+def first_units(rows: DataFrame, length: int, q: int, only_bucket: bool = False) -> DataFrame:
+    """Units of all texts by their least q-gram, or only their buckets."""
 
     def run(batches):
         for b in batches:
@@ -138,11 +143,13 @@ def first_units(rows: DataFrame, length: int, q: int) -> DataFrame:
                     continue
                 names = _names(buf, q)
                 start, n, p = _first_units(names, off, length, q)
-                if len(start):
+                if only_bucket:
+                    yield pa.RecordBatch.from_arrays([pa.array(_bucket(names, p, p - start, length - q + 1, length, q).view(np.int64))], names=["bucket"])
+                elif len(start):
                     at = lo + np.searchsorted(off, start, side="right") - 1
                     yield _rows(names, off, start, n, p, length - q + 1, length, q, b.column(0), b.column(1), at)
 
-    return rows.mapInArrow(run, UNIT)
+    return rows.mapInArrow(run, "bucket long" if only_bucket else UNIT)
 
 
 def finer_units(rows: DataFrame, opened: DataFrame, step: int, length: int, q: int) -> DataFrame:
@@ -174,7 +181,7 @@ def _refined(scratch: common.Scratch, units: DataFrame, name: str) -> tuple[Data
     buckets = classes.groupBy("bucket").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("classes")).where("rows > 1")
     shared = scratch.save(classes.join(buckets, "bucket").select("bucket", "own", "size", "first", "classes"), f"{name}_shared")
     scratch.drop(f"{name}_classes")
-    later = units.join(shared.where("size > 1").select("bucket", "own", "first"), ["bucket", "own"])
+    later = units.join(shared.where("size > 1").select("bucket", "own", "first").hint("shuffle_hash"), ["bucket", "own"])
     later = later.where(F.struct(*KEY, "lo") != F.struct("first.doc", "first.th", "first.lo")).select(*KEY, "lo", "n")
     return scratch.save(later, f"{name}_later"), shared.where("classes > 1").select("first.*")
 
@@ -186,10 +193,12 @@ def later_starts(spark: SparkSession, docs: DataFrame, length: int = LENGTH, q:
         raise ValueError("q must lie between 1 and length")
     scratch = common.Scratch(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    units = scratch.save(first_units(rows, length, q), "units_0")
+    buckets = first_units(rows, length, q, only_bucket=True).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
+    buckets = scratch.save(buckets, "buckets")
+    units = scratch.save(first_units(rows, length, q).join(buckets.hint("shuffle_hash"), "bucket"), "units_0")
     later, opened = _refined(scratch, units, "level_0")
     found = [later]
-    scratch.drop("units_0")
+    scratch.drop("units_0", "buckets")
     for k, step in enumerate((s for s in STEPS if s <= length - q), 1):
         units = scratch.save(finer_units(rows, opened, step, length, q), f"units_{k}")
         later, opened = _refined(scratch, units, f"level_{k}")
