@@ -1,11 +1,11 @@
 """Importance resampling towards a target, with word tries that live in a task.
 
-Features of a text are all its runs of 1 to `orders` consecutive words. A task keeps a trie of words: a node stands for the run
-on the path from the root, and holds how often it occurred and the CRC-32 of its bytes, from which its children's go on, so a
-run is hashed once however often it occurs. When a task ends, or its trie has grown to `MOST_NODES`, the nodes' counts go into
-the totals of their buckets and the trie starts anew; Spark adds the tasks' totals. The gain of a bucket follows from the totals
-of all documents and of the target. A second pass walks the same paths with the gain attached to each node; a document's weight
-is the floored mean gain of its features.
+Features of a text are all its runs of 1 to `orders` consecutive words. A task takes its texts in pieces of about `PIECE` bytes,
+or one longer text, and keeps a trie of each piece's words in arrays: a node stands for the run on the path from the root, and
+holds how often it occurs and the CRC-32 of its bytes, from which its children's go on, so a run is hashed once in a piece
+however often it occurs. The nodes' counts go into the totals of their buckets, and Spark adds the tasks' totals. The gain of a
+bucket follows from the totals of all documents and of the target. A second pass walks the same paths with the gain attached to
+each node; a document's weight is the floored mean gain of its features.
 
 To the weight comes noise that is drawn from the hash of doc_id, and the highest scores are drawn without replacement: a sort
 over all partitions, whose sizes give each row its rank.
@@ -14,104 +14,111 @@ A null or empty text has no features and weight 0. A row without doc_id has no n
 neither counted nor drawn. Ties of the score go to the smaller doc_id; rows of equal score and doc_id follow each other in any
 order, so repeated rows of one text give the same result rows. Only the columns named in `carry` are returned, whole, before
 those that are added; where names are equal the added column stands. With an empty table, or an empty target, all totals of that
-side are 0. Buckets are gathered on the driver: their number is a parameter.
+side are 0. Words are told apart by 64-bit hashes within a piece. A long text is one piece, and its arrays take some hundred
+bytes a byte of it. Buckets are gathered on the driver: their number is a parameter.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loopwatch.llm import common
+from loopwatch.llm.textarrays import Words, _offsets, pieces
 
 BUCKETS, ORDERS, SEED, PERCENT, MIN_WORDS = 10_000, 2, 7, 25, 20
-#: A trie is emptied when it holds so many nodes, which bounds a task's memory.
-MOST_NODES = 150_000
-#: Words that are walked between two looks at the trie's size.
-STRIDE = 20_000
-#: A-Z become a-z; bytes outside digits, letters and characters beyond ASCII become spaces.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
-
-
-class Trie:
-    """A trie of runs of words. A node is [value, crc, crc after a space, children]; `of` gives a new node's value from its crc."""
-
-    def __init__(self, orders: int, of=lambda crc: 0):
-        self.orders, self.of = orders, of
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.n_nodes = [0, 0, 0, {}], 0
-
-    def _new(self, parent: list, word: bytes, depth: int) -> list:
-        crc = crc32(word, parent[2])
-        self.n_nodes += 1
-        node = parent[3][word] = [self.of(crc), crc, *((crc32(b" ", crc), {}) if depth < self.orders else (0, None))]
-        return node
-
-    def walk(self, found: Iterable[bytes], trail: list[list], add: int) -> tuple[list[list], int]:
-        """Follows the words from `trail`, the nodes of the runs that end before them, the root first. Adds `add` to the value of
-        each node that a run ends at; gives the new trail and the sum of the values before that."""
-        total, orders, root = 0, self.orders, self.root
-        for word in found:
-            here = [root]
-            for depth, parent in enumerate(trail, 1):
-                node = parent[3].get(word)
-                if node is None:
-                    node = self._new(parent, word, depth)
-                total += node[0]
-                node[0] += add
-                here.append(node)
-            trail = here[:orders]
-        return trail, total
-
-    def text(self, found: list[bytes], add: int, full=None) -> int:
-        """Walks a whole text; full() is called when the trie has grown too large, and empties it."""
-        total, trail = 0, [self.root]
-        for at in range(0, len(found), STRIDE):
-            if self.n_nodes > MOST_NODES:
-                full()
-                # the new trie gets the runs that reach into what follows, and counts none of them again
-                trail, _ = self.walk(found[max(0, at - self.orders + 1) : at], [self.root], 0)
-            trail, more = self.walk(found[at : at + STRIDE], trail, add)
-            total += more
-        return total
-
-    def nodes(self) -> Iterator[list]:
-        stack = [self.root]
-        while stack:
-            for node in stack.pop()[3].values():
-                yield node
-                if node[3]:
-                    stack.append(node)
+#: Bytes of text in a trie.
+PIECE = 3_000_000
+#: Bytes of a word up to which all nodes' states are advanced together.
+TOGETHER = 48
+#: A-Z become a-z; bytes outside digits, letters and characters beyond ASCII separate words.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 0 for b in range(256)], np.uint8)
+_ONES = np.uint32(0xFFFFFFFF)
+
+
+def _crc_table() -> np.ndarray:
+    """What each byte adds to a CRC-32 state: eight steps of the reversed polynomial."""
+    state = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        state = np.where(state & 1, state >> 1 ^ np.uint32(0xEDB88320), state >> 1)
+    return state
+
+
+_CRC = _crc_table()
+
+
+def words(column: pa.Array) -> Words:
+    """The words of each text of a binary column; a null text has none."""
+    part = column.fill_null(b"") if column.null_count else column
+    off = _offsets(part)
+    buf = _LOWER[np.frombuffer(part.buffers()[2], np.uint8)[off[0] : off[-1]]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    inside = np.concatenate((buf != 0, [False]))
+    first = np.zeros(len(buf) + 1, bool)
+    first[off] = True
+    starts = np.flatnonzero(inside[:-1] & (first[:-1] | ~np.concatenate(([False], inside[:-2])))) if len(buf) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(inside[:-1] & (first[1:] | ~inside[1:])) + 1
+    return Words(buf, off, starts, ends, np.searchsorted(off, starts, side="right") - 1, np.searchsorted(starts, off))
+
+
+def advanced(state: np.ndarray, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC states after the bytes buf[starts:starts+size]."""
+    state = state.copy()
+    order = np.argsort(-size, kind="stable")
+    long = int(np.searchsorted(-size[order], -TOGETHER))  # these are longer
+    for k in order[:long].tolist():
+        state[k] = np.uint32(crc32(buf[starts[k] : starts[k] + size[k]].tobytes(), int(state[k] ^ _ONES))) ^ _ONES
+    order = order[long:]
+    left = np.searchsorted(-size[order], -np.arange(int(size[order].max(initial=0))))  # nodes with a byte at each place
+    s, at = state[order], starts[order]
+    for j, n in enumerate(left.tolist()):
+        s[:n] = _CRC[(s[:n] ^ buf[at[:n] + j]) & 255] ^ s[:n] >> 8
+    state[order] = s
+    return state
+
+
+def trie(w: Words, orders: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth of the trie: at which words its runs start, the node of each run, and the nodes' CRC-32."""
+    if not len(w.starts):
+        return
+    n = len(w.starts)
+    code, known = pd.factorize(w.hashes())
+    word = np.empty(len(known), np.int64)
+    word[code[::-1]] = np.arange(n)[::-1]  # where each distinct word occurs first
+    size = w.ends - w.starts
+    at, node = np.arange(n), code
+    state = advanced(np.full(len(known), _ONES), w.bytes, w.starts[word], size[word])
+    yield at, node, state ^ _ONES
+    for depth in range(2, orders + 1):
+        go = np.flatnonzero((at + depth - 1 < n) & (w.doc[np.minimum(at + depth - 1, n - 1)] == w.doc[at]))
+        at, parent = at[go], node[go]
+        if not len(at):
+            return
+        node, known = pd.factorize(parent * np.int64(len(word)) + code[at + depth - 1])
+        parent, last = known // len(word), word[known % len(word)]
+        state = state[parent]
+        state = _CRC[(state ^ np.uint32(32)) & 255] ^ state >> 8
+        state = advanced(state, w.bytes, w.starts[last], size[last])
+        yield at, node, state ^ _ONES
 
 
 def totals(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS) -> DataFrame:
     """bucket and n: how many features of all rows of texts (one column) fall into each bucket."""
 
     def run(batches):
-        trie, held = Trie(orders), np.zeros(buckets, np.int64)
-
-        def full():
-            for node in trie.nodes():
-                held[node[1] % buckets] += node[0]
-            trie.clear()
-
+        held = np.zeros(buckets, np.int64)
         for b in batches:
-            for text in b.column(0):
-                if text.is_valid:
-                    trie.text(words(text.as_py()), 1, full)
-        full()
+            for lo, hi in pieces(b.column(0), PIECE):
+                for _, node, crc in trie(words(b.column(0).slice(lo, hi - lo)), orders):
+                    count = np.bincount(node, minlength=len(crc))
+                    held += np.bincount(crc % np.uint32(buckets), weights=count, minlength=buckets).astype(np.int64)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["bucket", "n"])
 
@@ -133,14 +140,21 @@ def weights(docs: DataFrame, gain: list[int], carry: tuple[str, ...] = ("doc_id"
     buckets = len(gain)
 
     def run(batches):
-        trie = Trie(orders, lambda crc: gain[crc % buckets])
+        table = np.array(gain, np.int64)
         for b in batches:
-            out = []
-            for text in b.column(1):
-                found = words(text.as_py()) if text.is_valid else []
-                n = sum(max(0, len(found) - k) for k in range(orders))
-                out.append((len(found), n, trie.text(found, 0, trie.clear) // n if n else 0))
-            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], names=[*carry, "n_words", "n_features", "weight"])
+            n_words, n_features, weight = (np.zeros(b.num_rows, np.int64) for _ in range(3))
+            for lo, hi in pieces(b.column(1), PIECE):
+                w = words(b.column(1).slice(lo, hi - lo))
+                total, count = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+                for at, node, crc in trie(w, orders):
+                    own = table[crc % np.uint32(buckets)]
+                    sums = np.concatenate(([0], np.cumsum(own[node])))
+                    cut = np.searchsorted(at, w.first)  # runs start in the order of the texts
+                    total += sums[cut[1:]] - sums[cut[:-1]]
+                    count += np.diff(cut)
+                n_words[lo:hi], n_features[lo:hi] = np.diff(w.first), count
+                weight[lo:hi] = np.where(count > 0, total // np.maximum(count, 1), 0)
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), *map(pa.array, (n_words, n_features, weight))], names=[*carry, "n_words", "n_features", "weight"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields]
     rows = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("binary").alias("text"))

@@ -193,11 +193,9 @@ def resample_plain(docs, target, buckets, orders, seed, percent, least):
     return [tuple(r[:5]) for r in out]
 
 
-@pytest.mark.parametrize(("orders", "most", "stride"), [(2, 150_000, 20_000), (1, 150_000, 20_000), (3, 5, 4), (2, 3, 1)])
-def test_resampling(spark, monkeypatch, orders, most, stride):
-    monkeypatch.setattr(resampling, "MOST_NODES", most)
-    monkeypatch.setattr(resampling, "STRIDE", stride)
-    docs = [(i, (t or "").upper() + " É1 x-y" if i and i % 2 else t) for i, t in texts()] + [(70, "word " * 3000)]
+@pytest.mark.parametrize("orders", [2, 1, 3, 5])
+def test_resampling(spark, orders):
+    docs = [(i, (t or "").upper() + " É1 x-y" if i and i % 2 else t) for i, t in texts()] + [(70, "word " * 3000), (71, "x" * 500 + " y " + "x" * 500), (72, "z"), (73, "-- z .."), (74, "")]
     target = [prose(random.Random(8), 50), None, "", "changed ab", dict(texts())[3]]
     want = resample_plain(docs, target, 500, orders, 7, 40, 10)
     bench = spark.createDataFrame([(t,) for t in target], "text string")
@@ -208,6 +206,20 @@ def test_resampling(spark, monkeypatch, orders, most, stride):
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_pieces_and_long_words():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [None, "", "  ", "a b a b a", prose(rng, 200), "q" * 300 + " b " + "q" * 47 + " " + "q" * 48 + " " + "q" * 49, "end", "A\u00c9 b"]
+    w = resampling.words(pa.array([None if r is None else r.encode() for r in rows], pa.binary()))
+    plain = [bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or bytes([c]).isalnum() else 32 for c in (r or "").encode()).split() for r in rows]
+    assert [bytes(w.bytes[a:b]) for a, b in zip(w.starts, w.ends, strict=True)] == [x for p in plain for x in p]
+    assert np.diff(w.first).tolist() == [len(p) for p in plain]
+    for depth, (at, node, crc) in enumerate(resampling.trie(w, 3), 1):
+        want = [crc32(b" ".join(p[i : i + depth])) for p in plain for i in range(len(p) - depth + 1)]
+        assert crc[node].tolist() == want and len(crc) == len({tuple(p[i : i + depth]) for p in plain for i in range(len(p) - depth + 1)}) and len(at) == len(want)
+
+
 def test_resampling_empty(spark):
     docs = rows_of(spark, [(1, "one two"), (2, None)])
     none = spark.createDataFrame([], "text string")
