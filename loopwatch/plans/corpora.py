@@ -24,14 +24,6 @@ def turns(s, d):
     return ds.messages(table(s, d, "conversations")).select("conv_id", F.size("messages").cast("long").alias("n"), F.sha2(F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["text"])), "\n"), 256).alias("mark"))
 
 
-def stream_run(s, d):
-    """The processor over all readings of the panel, to completion: files of a stretch of time each, a few for each batch."""
-    from loopwatch.streaming.processor import over_files
-
-    rows = panel(s, d).select("device_id", "t", "operating_condition", (F.col("pressure") > 300).alias("high"))
-    return over_files(s, rows)
-
-
 QUERIES = {
     "l_zscore": (lambda s, d: sc.zscore(panel(s, d), "pressure").select("device_id", "t", F.round("z", 5).alias("z")), f"{WITH}, b as (select device_id, avg(pressure) as m, stddev_samp(pressure) as s from panel group by 1) select p.device_id, t, round((pressure - m) / s, 5) as z from panel p join b on p.device_id = b.device_id"),
     "l_diff_energy": (
@@ -87,5 +79,4 @@ QUERIES = {
         lambda s, d: table(s, d, "events").withColumn("gap", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) > 3_600_000_000, F.lit(True))).groupBy("user_id").agg(F.count_if("gap").alias("n_sessions")),
         "with g as (select user_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 3600000000, true) as gap from events) select user_id, count(*) filter (where gap) as n_sessions from g group by 1",
     ),
-    "t_stateful_run": (stream_run, None),
 }

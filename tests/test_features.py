@@ -181,17 +181,3 @@ def test_store_round_trip_prunes(spark, tmp_path):
     assert out.count() == 11 and "PartitionFilters: [isnotnull(bucket" in out._jdf.queryExecution().toString()
     (tmp_path / "j.jsonl").write_text('{"a": 1}\n\nbad\n{"a": 2}\n')
     assert sorted(x.a for x in store.read_jsonl(spark, str(tmp_path / "j.jsonl"), "a int").collect()) == [1, 2]
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from loopwatch.streaming.processor import live
-
-    rows = [(d, t, "ab"[(t // 40 + d) % 2], (t * 7 + d) % 3 == 0) for d in range(3) for t in range(200)]
-    df = spark.createDataFrame(rows, "device_id long, t long, operating_condition string, high boolean")
-    df.repartition(1).sortWithinPartitions("t").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = live(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).select("device_id", "t", "locked", "sustained").collect()}
-    batch = st.sustained(st.transition_lock(df), F.col("high")).select("device_id", "t", "locked", "sustained")
-    assert got == {tuple(x) for x in batch.collect()}

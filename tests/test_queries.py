@@ -20,9 +20,9 @@ def duck():
 
 
 def catalogue():
-    from loopwatch.plans import actions, corpora, decisions, learning, sensors
+    import __spark_entry__
 
-    return {n: x for m in (sensors, decisions, corpora, learning, actions) for n, x in m.QUERIES.items()}
+    return {n: x for m in __spark_entry__.CATALOGUES for n, x in m.QUERIES.items()}
 
 
 def plain(rows):
