@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import fixed
+
 # The ledger's and the schedule's built-in rows.
 LEDGER = [
     ("WO-20260725-01", "2026-07-25", "循环水泵", "例行盘车检查", "运行正常"), ("WO-20260720-02", "2026-07-20", "Y型过滤器", "清洗滤网", "滤网有少量杂质"),
@@ -27,14 +29,15 @@ PROCEDURES = [
 ]
 # A fault's name in the ledger's words.
 SYNONYMS = {"过滤器堵塞": "过滤器", "水泵气蚀": "水泵", "线圈结垢": "线圈", "水质恶化": "树脂", "管道泄漏": "阀", "电气柜凝露": "电气柜", "换热器散热异常": "换热器"}
-# What points at a topic, in the order in which topics are tried.
+# What points at a topic, in the order in which topics are tried, with the flags that tell how case and line breaks count.
 ROUTES = [
-    ("maintenance", "维修|检修记录|工单|修过|更换过|保养记录|上次|历史|台账"), ("thresholds", "阈值|报警值|额定|正常范围|多少.*报警|超过.*报警"),
-    ("procedure", "怎么|如何|处理|操作|SOP|sop|排查|巡检|维保|原因|为什么|应对|怎么办"), ("current", "当前|现在|工况|读数|实时|运行状态|正在|目前|炉温|功率"),
-    ("current", "(温度|压力|流量|流速|液位|电流|电导率|湿度).*(多少|多高|多大)|(多少|多高|多大).*(温度|压力|流量|流速|液位|电流|电导率|湿度)"), ("sensors", "传感器|测点|监测.*[项量]|采集|测量|单位|sensor"),
+    ("maintenance", "(?i)维修|检修记录|工单|修过|更换过|保养记录|上次|历史|台账"), ("thresholds", "阈值|报警值|额定|正常范围|多少.*报警|超过.*报警"),
+    ("procedure", "(?i)怎么|如何|处理|操作|SOP|排查|巡检|维保|原因|为什么|应对|怎么办"), ("current", "当前|现在|工况|读数|实时|运行状态|正在|目前|炉温|功率"),
+    ("current", "(?s)(温度|压力|流量|流速|液位|电流|电导率|湿度).*(多少|多高|多大)|(多少|多高|多大).*(温度|压力|流量|流速|液位|电流|电导率|湿度)"), ("sensors", "(?i)传感器|测点|监测.*[项量]|采集|测量|单位|sensor"),
 ]
+# Dates, spans of days and months in a question.
 DATE, DAYS, MONTH = r"20\d{2}-\d{2}-\d{2}", r"(?:最近|近|过去)\s*(\d{1,3})\s*天", r"(?:(20\d{2})[年/-])?(1[0-2]|0?[1-9])月"
-#: A date or span of time in a question, and words that say nothing about what is asked for.
+# A date or span of time in a question, and words that say nothing about what is asked for.
 WHEN_WORDS = r"20\d{2}-\d{2}-\d{2}|(?:(?:20\d{2})年)?\d{1,2}月|(?:最近|近|过去)\s*\d{1,3}\s*天"
 FILLERS = r"查找|查询|查一下|查下|查|帮我|请|一下|有关|相关|历史|维修|检修|保养|记录|工单|台账|最近一次|最近|近期|最新|上个月|上次|什么时候|哪天|有哪些|有没有|有无|是否|更换过|修过|所有|全部|这个|上述|上面|它|该|那|的|了|吗|呢|[？?，,。\s]"
 
@@ -72,7 +75,7 @@ def schedule_text(phases: DataFrame, keep: int = 6) -> DataFrame:
 
 def procedures(questions: DataFrame, names: DataFrame) -> DataFrame:
     """case_id and procedure: that of the longest alias a question holds, of equals the first. Aliases are a fixed few."""
-    hit = questions.join(F.broadcast(names), F.contains(F.lower("question"), F.lower("alias")))
+    hit = questions.join(F.broadcast(fixed(names, "the aliases")), F.contains(F.lower("question"), F.lower("alias")))
     best = hit.groupBy("case_id").agg(F.max_by("procedure", F.struct(F.length("alias"), -F.col("ord"))).alias("procedure"))
     return questions.join(best, "case_id", "left")
 
@@ -111,7 +114,7 @@ def search(questions: DataFrame, orders: DataFrame) -> DataFrame:
     """For each question (keyword, since, until) the newest orders that hold all its words: one if it asks for the latest, else 20.
     The ledger is a reference table; total counts all that match."""
     text = F.lower(F.concat_ws(" ", "order_id", "component", "action", "note"))
-    ledger = F.broadcast(orders.withColumns({"_text": text, "_date": F.try_to_date("date")}).where(F.col("_date").isNotNull()))
+    ledger = F.broadcast(fixed(orders, "the ledger").withColumns({"_text": text, "_date": F.try_to_date("date")}).where(F.col("_date").isNotNull()))
     words = F.filter(F.split(F.lower("keyword"), r"\s+"), lambda x: x != "")
     meets = F.forall(words, lambda x: F.contains(F.col("_text"), x)) & (F.col("since").isNull() | (F.col("_date") >= F.col("since"))) & (F.col("until").isNull() | (F.col("_date") <= F.col("until")))
     w = Window.partitionBy("case_id").orderBy(F.desc("date"), F.desc("order_id"))
@@ -123,7 +126,7 @@ def search(questions: DataFrame, orders: DataFrame) -> DataFrame:
 def provenance(orders: DataFrame, built_in: DataFrame) -> DataFrame:
     """orders with source: whether a row equals a built-in one in every column, nulls included."""
     cols = built_in.columns
-    known = F.broadcast(built_in.select(*(F.col(c).alias(f"_{c}") for c in cols), F.lit(True).alias("_known")))
+    known = F.broadcast(fixed(built_in, "the built-in ledger").select(*(F.col(c).alias(f"_{c}") for c in cols), F.lit(True).alias("_known")))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]
     on = same[0]
     for x in same[1:]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import small
+
 
 def sliding_windows(df: DataFrame, span: int, step: int) -> DataFrame:
     """Each reading once for every window [start, start + span) that holds it."""
@@ -201,6 +203,6 @@ def support(actual: DataFrame, other: DataFrame, thresholds: DataFrame) -> DataF
     channel's threshold; the deviation counts where the fault and channel have a limit for it. Hidden channels are null and don't
     count; without any the support is 0."""
     o = other.select("case_id", "fault", "channel", F.col("mean").alias("_m"), F.col("deviation").alias("_d"))
-    both = actual.join(o, ["case_id", "fault", "channel"]).join(F.broadcast(thresholds), ["fault", "channel"])
+    both = actual.join(o, ["case_id", "fault", "channel"]).join(small(thresholds), ["fault", "channel"])
     score = F.greatest(F.abs(F.col("mean") - F.col("_m")) / F.col("by_mean"), F.abs(F.col("deviation") - F.col("_d")) / F.col("by_deviation"))
     return both.groupBy("case_id", "fault").agg(F.coalesce(F.max(score), F.lit(0.0)).alias("support"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopwatch.operators import text as t
 from loopwatch.operators.graph import contradicted
+from loopwatch.functions.scans import null_safe
 from loopwatch.operators.metrics import nearest_rank, set_f1
 
 # Weights of a composite reward's parts; kinds of cases with a fault and of those near a limit; answers without a fault.
@@ -94,14 +95,15 @@ def latency(df: DataFrame, value: str = "latency") -> DataFrame:
     ok = df.where("json_ok").withColumn("_g", F.lit(1))
     out = ok.agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
     for name, share in (("p50", 0.5), ("p95", 0.95)):
-        out = out.join(F.broadcast(nearest_rank(ok, ["_g"], value, share).select(F.col("value").alias(name))))
+        # no answers have no rank: the row stays, with nulls
+        out = out.join(F.broadcast(nearest_rank(ok, ["_g"], value, share).select(F.col("value").alias(name))), F.lit(True), "left")
     return out
 
 
 def describe(df: DataFrame, by: str, value: str) -> DataFrame:
     out = df.groupBy(by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
     for name, share in (("p50", 0.5), ("p95", 0.95)):
-        out = out.join(nearest_rank(df, [by], value, share).withColumnRenamed("value", name), by)
+        out = null_safe(out, nearest_rank(df, [by], value, share).withColumnRenamed("value", name), [by], "left")
     return out
 
 

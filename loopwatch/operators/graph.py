@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import fixed, small
+
 # Fault to sensor, fault to fault, fault to action, in the graph's order.
 INDICATES = [
     ("过滤器堵塞", "流量"), ("过滤器堵塞", "出水温度"), ("水泵气蚀", "压力"), ("水泵气蚀", "流量"), ("管道泄漏", "压力"), ("管道泄漏", "水箱液位"),
@@ -29,15 +31,15 @@ def numbered(edges: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
 
 def candidates(anomalies: DataFrame, indicates: DataFrame, keep: int = 3) -> DataFrame:
     """For each case the faults that its anomalous sensors point at: most hits first, then in the graph's order."""
-    hits = anomalies.select("case_id", "sensor").distinct().join(F.broadcast(indicates), "sensor").groupBy("case_id", "fault").agg(F.count(F.lit(1)).alias("hits"), F.min("ord").alias("ord"))
+    hits = anomalies.select("case_id", "sensor").distinct().join(small(indicates), "sensor").groupBy("case_id", "fault").agg(F.count(F.lit(1)).alias("hits"), F.min("ord").alias("ord"))
     w = Window.partitionBy("case_id").orderBy(F.desc("hits"), "ord")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("case_id", "fault", "hits", "rank")
 
 
 def unsupported(claims: DataFrame, indicates: DataFrame) -> DataFrame:
     """Claims (case_id, fault, sensor) whose sensor the graph knows but not as evidence of that fault."""
-    known = claims.join(F.broadcast(indicates.select("sensor").distinct()), "sensor", "left_semi")
-    return known.join(F.broadcast(indicates.select("fault", "sensor")), ["fault", "sensor"], "left_anti")
+    known = claims.join(small(indicates.select("sensor").distinct()), "sensor", "left_semi")
+    return known.join(small(indicates.select("fault", "sensor")), ["fault", "sensor"], "left_anti")
 
 
 def contradicted(claims: Column) -> Column:
@@ -47,7 +49,7 @@ def contradicted(claims: Column) -> Column:
 
 def unknown_causes(claims: DataFrame, faults: DataFrame) -> DataFrame:
     """Claims (case_id, fault) whose fault the graph doesn't hold."""
-    return claims.join(F.broadcast(faults.select("fault").distinct()), "fault", "left_anti")
+    return claims.join(small(faults.select("fault").distinct()), "fault", "left_anti")
 
 
 def physics_violations(claims: Column | None = None) -> Column:
@@ -113,14 +115,17 @@ def arbitrate(df: DataFrame) -> DataFrame:
 
 
 def interval_lookup(points: DataFrame, schedule: DataFrame, at: str) -> DataFrame:
-    """The phase that holds each point, both ends closed; of two that meet, the earlier. The schedule is a fixed small table."""
-    joined = points.join(F.broadcast(schedule), F.col(at).between(F.col("start"), F.col("end")), "left")
-    w = Window.partitionBy(*points.columns).orderBy("start")
-    return joined.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """points with the columns of the phase that holds each, both ends closed; of two that meet, the earlier; nulls where none does.
+    The schedule, a table of a bounded size, becomes one array that each point is looked up in, so points stay where they are and
+    repeated ones stay repeated."""
+    phases = fixed(schedule, "the schedule").agg(F.array_sort(F.collect_list(F.struct("start", "end", *(c for c in schedule.columns if c not in ("start", "end"))))).alias("_phases"))
+    first = F.get(F.filter("_phases", lambda p: F.col(at).between(p["start"], p["end"])), F.lit(0))
+    found = points.join(F.broadcast(phases)).withColumn("_phase", first)
+    return found.select(*points.columns, *(F.col(f"_phase.{c}").alias(c) for c in schedule.columns))
 
 
 def fan_out(orders: DataFrame, push: DataFrame) -> DataFrame:
     """A message for each channel and receiver of an order's level; unknown levels count as yellow."""
     known = F.when(F.col("level").isin("red", "orange", "yellow"), F.col("level")).otherwise("yellow")
-    routed = orders.withColumn("route", known).join(F.broadcast(push.withColumnRenamed("level", "route")), "route")
+    routed = orders.withColumn("route", known).join(small(push.withColumnRenamed("level", "route")), "route")
     return routed.withColumn("channel", F.explode("channels")).withColumn("receiver", F.explode("receivers")).drop("channels", "receivers", "route")

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.scans import null_safe
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The value at the rounded rank (half to even) of each group: no interpolation and no sketch.
 
-    Equal values are counted before the exchange, so a group's window holds its distinct values."""
+def nearest_rank(df: DataFrame, by: list[str], value: str, share: float, bins: int = 1024) -> DataFrame:
+    """The value at the rounded rank (half to even) of each group, null groups too: no interpolation and no sketch. Numeric values.
+
+    Equal values are counted before the exchange. A group's span of values is cut into bins; their counts tell which bin holds the
+    rank, and only its distinct values meet in one task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    ranked = counts.withColumn("_upto", F.sum("_c").over(up)).join(totals, by).withColumn("_k", F.bround(F.lit(share) * (F.col("_n") - 1)))
+    spans = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    share_of = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor(share_of * bins))).otherwise(0)
+    binned = null_safe(counts, spans, by).withColumns({"_b": at, "_k": F.bround(F.lit(share) * (F.col("_n") - 1))})
+    whole = binned.groupBy(*by, "_b").agg(F.sum("_c").alias("_c"), F.first("_k").alias("_k"))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    held = whole.withColumn("_before", before).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_c"))).select(*by, "_b", "_before")
+    inside = null_safe(binned, held, [*by, "_b"])
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    ranked = inside.withColumn("_upto", upto)
     return ranked.where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c"))).select(*by, F.col(value).alias("value"))
 
 

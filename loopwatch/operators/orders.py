@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import small
 from loopwatch.operators.graph import confidence_gate
 
 # Emergency plans with their steps and what they forbid.
@@ -38,14 +39,14 @@ def order_level(level: Column, fault_level: Column, manual: Column) -> Column:
 
 
 def numbered(orders: DataFrame, day: str, by: str) -> DataFrame:
-    """orders with order_id WO-yyyymmdd-nnnn: counted within each day in the order of `by`."""
+    """orders with order_id WO-yyyymmdd-nnnn: counted within each day in the order of `by`, with more digits beyond 9,999."""
     w = Window.partitionBy(day).orderBy(by)
-    return orders.withColumn("order_id", F.concat(F.lit("WO-"), F.date_format(day, "yyyyMMdd"), F.lit("-"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")))
+    return orders.withColumn("order_id", F.concat(F.lit("WO-"), F.date_format(day, "yyyyMMdd"), F.lit("-"), F.format_string("%04d", F.row_number().over(w))))
 
 
 def with_plans(orders: DataFrame, plans: DataFrame) -> DataFrame:
     """orders (fault, level, sop) with plan_id and forbidden; a red order whose fault has a plan takes its title and steps first."""
-    known = F.broadcast(plans.select(F.col("fault"), F.col("plan_id").alias("_id"), F.col("name").alias("_name"), F.col("steps").alias("_steps"), F.col("forbidden").alias("_no")))
+    known = small(plans.select(F.col("fault"), F.col("plan_id").alias("_id"), F.col("name").alias("_name"), F.col("steps").alias("_steps"), F.col("forbidden").alias("_no")))
     both = orders.join(known, "fault", "left")
     fires = (F.col("level") == "red") & F.col("_id").isNotNull()
     title = F.concat(F.lit("【应急预案 "), F.col("_id"), F.lit(" "), F.col("_name"), F.lit("】"))
@@ -56,7 +57,7 @@ def with_plans(orders: DataFrame, plans: DataFrame) -> DataFrame:
 def handled(windows: DataFrame, spare: DataFrame, levels: DataFrame, plans: DataFrame, actions: DataFrame) -> DataFrame:
     """Work orders of diagnosed windows (case_id, day, diagnosed, fault, level, manual): number, level, parts, steps and plan; a window
     without a diagnosis is not handled and has none of these. The dimensions have a row for each fault."""
-    out = windows.join(F.broadcast(levels.withColumnRenamed("level", "_level")), "fault", "left").join(F.broadcast(spare), "fault", "left").join(F.broadcast(actions), "fault", "left")
+    out = windows.join(small(levels.withColumnRenamed("level", "_level")), "fault", "left").join(small(spare), "fault", "left").join(small(actions), "fault", "left")
     none = F.expr("cast(array() as array<string>)")
     out = out.withColumns({"level": order_level(F.col("level"), F.col("_level"), F.col("manual")), "parts": F.coalesce("parts", none), "sop": F.coalesce("sop", none)}).drop("_level")
     made = with_plans(numbered(out.where("diagnosed"), "day", "case_id"), plans).withColumn("handled", F.lit(True))
@@ -98,7 +99,7 @@ def preference_pairs(feedback: DataFrame) -> DataFrame:
 
 def feedback_samples(feedback: DataFrame, actions: DataFrame) -> DataFrame:
     """Training rows of usable feedback: prompt, and an answer with the confirmed cause and its fault's actions."""
-    both = usable(feedback).join(F.broadcast(actions.withColumnRenamed("fault", "actual")), "actual", "left")
+    both = usable(feedback).join(small(actions.withColumnRenamed("fault", "actual")), "actual", "left")
     none = F.expr("cast(array() as array<string>)")
     obj = F.to_json(F.struct(F.col("actual").alias("root_cause"), F.lit(0.85).alias("confidence"), F.array(F.lit("人工复核确认根因（反馈校正样本）")).alias("evidence"), F.coalesce("sop", none).alias("sop")))
     text = F.concat(F.lit("（人工反馈校正）经运维复核，实际根因为"), F.col("actual"), F.lit("，依据现场处置确认。\n"), obj)

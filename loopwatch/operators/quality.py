@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loopwatch.contract import CHANNELS, LABELS
 from loopwatch.functions.features import halo_blocks, ordered
+from loopwatch.functions.scans import nearest_valid
 
 # Credible range of each channel, and the most it can change in a second.
 BOUNDS = {
@@ -20,13 +21,6 @@ RATES = {
     "conductivity": 10.0, "cabinet_temp": 15.0, "cabinet_humidity": 2.0, "furnace_temp": 20.0, "electric_power": 3100.0, "electric_current": 2000.0,
 }
 HAMPEL_SPAN, HAMPEL_LEAST, HAMPEL_SIGMAS = 121, 5, 5.0
-#: Frames that only grow are kept up row by row; one that reaches to the end is written as a growing frame in falling order.
-UPTO, BEFORE = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
-
-
-def falling(*by: str):
-    return Window.partitionBy(*by).orderBy(F.desc("t"))
-
 
 def out_of_order(df: DataFrame) -> DataFrame:
     """Per device, how many readings are older than the one that arrived before."""
@@ -48,9 +42,9 @@ def to_grid(df: DataFrame, step: int = 1) -> DataFrame:
 
 
 def fill_labels(df: DataFrame) -> DataFrame:
-    """The last label before, else the first after."""
-    back, ahead = ordered().rowsBetween(*UPTO), falling("device_id").rowsBetween(*UPTO)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead)) for c in LABELS})
+    """The last label before, else the first after. A device's blocks of time go to different tasks."""
+    out = nearest_valid(df, {c: F.col(c) for c in LABELS}, ["device_id"])
+    return out.withColumns({c: F.coalesce(f"prev_{c}", f"next_{c}") for c in LABELS}).drop(*(f"{x}_{c}" for c in LABELS for x in ("prev", "next")))
 
 
 def mask_bounds(df: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
@@ -96,11 +90,9 @@ def rate_flags(df: DataFrame, channels: list[str]) -> DataFrame:
 
 
 def _neighbours(df: DataFrame, channels: list[str], *by: str) -> DataFrame:
-    """df with the time and value of the nearest readings before (_p_) and after (_n_) of each channel, within `by`."""
+    """df with the time and value of the nearest readings before (prev_) and after (next_) of each channel, within `by`."""
     pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("at"), F.col(c).alias("v")))
-    ahead = Window.partitionBy(*by).orderBy("t").rowsBetween(*BEFORE)
-    back = falling(*by).rowsBetween(*BEFORE)
-    return df.withColumns({f"_p_{c}": F.last(pair(c), True).over(ahead) for c in channels}).withColumns({f"_n_{c}": F.last(pair(c), True).over(back) for c in channels})
+    return nearest_valid(df, {c: pair(c) for c in channels}, list(by), own=False)
 
 
 def condition_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
@@ -111,11 +103,11 @@ def condition_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
     near = _neighbours(df, channels, "device_id", "operating_condition")
 
     def fill(c: str):
-        wp, wn = 1.0 / (F.col("t") - F.col(f"_p_{c}.at")), 1.0 / (F.col(f"_n_{c}.at") - F.col("t"))
-        both = (wp * F.col(f"_p_{c}.v") + wn * F.col(f"_n_{c}.v")) / (wp + wn)
-        return F.coalesce(F.col(c), both, F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v"))
+        wp, wn = 1.0 / (F.col("t") - F.col(f"prev_{c}.at")), 1.0 / (F.col(f"next_{c}.at") - F.col("t"))
+        both = (wp * F.col(f"prev_{c}.v") + wn * F.col(f"next_{c}.v")) / (wp + wn)
+        return F.coalesce(F.col(c), both, F.col(f"prev_{c}.v"), F.col(f"next_{c}.v"))
 
-    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"_{x}_{c}" for x in "pn" for c in channels))
+    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"{x}_{c}" for x in ("prev", "next") for c in channels))
 
 
 def linear_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
@@ -125,11 +117,11 @@ def linear_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
     near = _neighbours(df, channels, "device_id")
 
     def fill(c: str):
-        share = (F.col("t") - F.col(f"_p_{c}.at")) / (F.col(f"_n_{c}.at") - F.col(f"_p_{c}.at"))
-        line = F.col(f"_p_{c}.v") + share * (F.col(f"_n_{c}.v") - F.col(f"_p_{c}.v"))
-        return F.coalesce(F.col(c), line, F.col(f"_p_{c}.v"), F.col(f"_n_{c}.v"))
+        share = (F.col("t") - F.col(f"prev_{c}.at")) / (F.col(f"next_{c}.at") - F.col(f"prev_{c}.at"))
+        line = F.col(f"prev_{c}.v") + share * (F.col(f"next_{c}.v") - F.col(f"prev_{c}.v"))
+        return F.coalesce(F.col(c), line, F.col(f"prev_{c}.v"), F.col(f"next_{c}.v"))
 
-    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"_{x}_{c}" for x in "pn" for c in channels))
+    return near.withColumns({c: fill(c) for c in channels}).drop(*(f"{x}_{c}" for x in ("prev", "next") for c in channels))
 
 
 def report(raw: DataFrame) -> DataFrame:

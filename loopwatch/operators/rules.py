@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import small
 from loopwatch.functions import features as f
 
 # Sensors of the knowledge graph that rules point at; rules not named here point at none.
@@ -115,9 +116,9 @@ def sensors_or_default(alerts: DataFrame, devices: DataFrame, dimension: DataFra
 
 def nodes_of(alerts: DataFrame, dimension: DataFrame) -> DataFrame:
     """Alerts with the equipment node and note of their rule; rules without one keep null and their own name."""
-    return alerts.join(F.broadcast(dimension), "rule_id", "left").withColumn("note", F.coalesce("note", "rule_id"))
+    return alerts.join(small(dimension), "rule_id", "left").withColumn("note", F.coalesce("note", "rule_id"))
 
 
 def sensors_of(alerts: DataFrame, dimension: DataFrame) -> DataFrame:
     """Alerts with the sensor their rule points at; rules without one drop out. The dimension has a row for each rule."""
-    return alerts.join(F.broadcast(dimension), "rule_id")
+    return alerts.join(small(dimension), "rule_id")

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from loopwatch.functions.features import dew_margin, ordered, sampled_windows, slope, trailing
+from loopwatch.functions.scans import in_frames, nearest_valid, spaced
 
 LOCK, SPAN, SUSTAIN, STRIDE = 600, 60, 25, 10
 #: Readings that show a change of condition, and how many of them must be known.
@@ -20,10 +22,10 @@ def throttled_at(base: int, stride: int = STRIDE) -> Column:
     return F.when(F.col("t") >= base, base + F.floor((F.col("t") - base) / stride) * stride)
 
 
-def in_transition(recent: int = RECENT, least: int = RECENT_LEAST) -> Column:
-    """Whether the last `recent` readings name two conditions or more; unknown (null or empty) ones don't count, and at least
+def in_transition(recent: int = RECENT, least: int = RECENT_LEAST, w: WindowSpec | None = None) -> Column:
+    """Whether the last `recent` readings, or those of the frame w, name two conditions or more; unknown (null or empty) ones don't count, and at least
     `least` must be known. Distinct values in a frame: the least differs from the greatest."""
-    w = trailing(recent)
+    w = trailing(recent) if w is None else w
     known = F.nullif(F.col("operating_condition"), F.lit(""))
     return F.coalesce((F.count(known).over(w) >= least) & (F.min(known).over(w) != F.max(known).over(w)), F.lit(False))
 
@@ -31,8 +33,9 @@ def in_transition(recent: int = RECENT, least: int = RECENT_LEAST) -> Column:
 def transition_lock(df: DataFrame, lock: int = LOCK, recent: int = RECENT) -> DataFrame:
     """df with locked: fewer than `lock` readings ago the recent ones named two conditions. The lock is set anew by each such
     reading, so one change at t locks t to t + recent - 2 + lock - 1."""
-    last = F.max(F.when(F.col("_changing"), F.col("t"))).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_changing", in_transition(recent)).withColumn("locked", F.coalesce(F.col("t") - last < lock, F.lit(False))).drop("_changing")
+    seen = in_frames(df, recent, lambda w: {"_changing": in_transition(w=w.rowsBetween(-(recent - 1), 0))})
+    last = nearest_valid(seen, {"_at": F.when(F.col("_changing"), F.col("t"))}, ["device_id"])
+    return last.withColumn("locked", F.coalesce(F.col("t") - F.col("prev__at") < lock, F.lit(False))).drop("_changing", "prev__at", "next__at")
 
 
 def stable(df: DataFrame, span: int = 600) -> DataFrame:
@@ -59,11 +62,10 @@ def triggers(df: DataFrame, l1: Column, exceeds: Column, warm: int = 600) -> Dat
 
 
 def diagnosed(df: DataFrame, gap: int = 10) -> DataFrame:
-    """The readings of a device with fault that start a diagnosis: the first, and each that is `gap` seconds or more after the
-    fault before it. Event time stands for the wall clock."""
-    w = ordered()
-    hits = df.where("fault").withColumn("_p", F.lag("t").over(w))
-    return hits.where(F.col("_p").isNull() | (F.col("t") - F.col("_p") >= gap)).drop("_p")
+    """The readings of a device with fault that start a diagnosis: the first, and each that is `gap` seconds or more after the last
+    start, whatever lies between. Event time stands for the wall clock, and no diagnosis is taken to succeed: once one has, none
+    is started any more (see `once` and the live path)."""
+    return spaced(df.where("fault"), gap)
 
 
 def once(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -80,7 +82,8 @@ def freshness(readings: DataFrame, now: Column, limit: int = 30) -> DataFrame:
 
 
 def sustained(df: DataFrame, high: Column, span: int = SPAN, least: int = SUSTAIN) -> DataFrame:
-    return df.withColumn("_h", high.cast("int")).withColumn("sustained", F.coalesce(F.sum("_h").over(trailing(span)) >= least, F.lit(False))).drop("_h")
+    rows = df.withColumn("_h", high.cast("int"))
+    return in_frames(rows, span, lambda w: {"sustained": F.coalesce(F.sum("_h").over(w.rowsBetween(-(span - 1), 0)) >= least, F.lit(False))}).drop("_h")
 
 
 def first_trigger(df: DataFrame, hit: Column, warm: int = 600) -> DataFrame:

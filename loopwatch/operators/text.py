@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def traceable(evidence: Column, observed: Column, unavailable: Column, names: li
     be the sensor's mean, deviation or slope to its own decimals. observed: array of (name, mean, deviation, slope).
 
     An item that only lists the unavailable channels is passed over; without any other item the evidence isn't traceable."""
-    cut = f"(?=(?:{'|'.join(names)}))"
+    cut = f"(?=(?:{'|'.join(map(re.escape, names))}))"
 
     def close(number: Column, s: Column) -> Column:
         decimals = F.when(F.contains(number, F.lit(".")), F.length(F.split_part(number, F.lit("."), F.lit(2)))).otherwise(0)

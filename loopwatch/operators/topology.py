@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopwatch.functions.dims import fixed
+
 # Names by which a cause points at a node.
 CAUSE_NODES = [
     ("filter", ["filter_clog", "过滤器堵塞", "滤网堵塞"]), ("pump", ["pump_cavitation", "水泵气蚀", "水泵汽蚀"]), ("pipework", ["pipe_leak", "管道泄漏", "管路泄漏"]),
@@ -20,7 +22,7 @@ def cause_aliases() -> list[tuple[str, str]]:
 
 def cause_nodes(causes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Nodes that a case's cause names by any alias; no row where it names none. Aliases are a fixed few."""
-    return causes.join(F.broadcast(aliases), F.contains("cause", "alias")).select("case_id", "node").distinct()
+    return causes.join(F.broadcast(fixed(aliases, "the aliases")), F.contains("cause", "alias")).select("case_id", "node").distinct()
 
 
 def finding_level(manual: Column, more_data: Column, level: Column) -> Column:

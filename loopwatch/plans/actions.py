@@ -32,8 +32,8 @@ FINAL = f"(case when manual then 'yellow' when level in ('red', 'orange', 'yello
 MANUAL = "case_id % 13 = 0 or case_id % 17 = 1 or (not case_id % 3 <> 0 and case_id % 4 >= 2) or (case_id % 100) / 100e0 < 7e-1"
 FEEDBACK = f"select o_orderkey as order_id, {NAMED}[o_orderkey % 7 + 1] as actual, {NAMED}[o_orderkey % 5 + 1] as root_cause, o_orderkey % 3 <> 0 as is_true_fault, case when o_orderkey % 4 <> 0 then 'p' || cast(o_orderkey as varchar) end as prompt, case when o_orderkey % 6 <> 0 then 'o' end as output from orders"
 LEDGER = [(i, *row) for i, row in enumerate(cx.LEDGER)]
-QUESTIONS = ["查找3号阀的历史维修记录", "最近30天水泵的维修记录", "上个月的工单", "2026年6月的检修记录", "过滤器堵塞怎么处理？", "目前的报警阈值是多少？", "当前是什么工况？", "监测传感器有哪些？", "压力多高", "水泵气蚀最近一次维修", "2026-06-01到2026-06-30的台账", "冷却塔", "你好", "近期更换过什么"]
-QUESTION = "[" + ", ".join(f"'{q}'" for q in QUESTIONS) + "][case_id % 14 + 1]"
+QUESTIONS = ["查找3号阀的历史维修记录", "最近30天水泵的维修记录", "上个月的工单", "2026年6月的检修记录", "过滤器堵塞怎么处理？", "目前的报警阈值是多少？", "当前是什么工况？", "监测传感器有哪些？", "压力多高", "水泵气蚀最近一次维修", "2026-06-01到2026-06-30的台账", "冷却塔", "你好", "近期更换过什么", "给我Sop", "现场的压力\n大概是多少", "Sensor list", "监测了哪些\n项", "Wo-20260620-0001的工单"]
+QUESTION = "[" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][case_id % {len(QUESTIONS)} + 1]"
 ASKED = f"select case_id, {QUESTION} as question from (select o_orderkey as case_id from orders)"
 ALIASES = [(i, t, a) for i, _, t, a in cx.aliases()]
 REF = "2026-07-25"
@@ -55,7 +55,7 @@ def handled(s, d):
 HANDLED = f"""with w as ({WINDOWS}), l as (select * from {inline(LEVELS, 'fault, fl')}), p as (select * from {inline([(a, ','.join(b)) for a, b in PARTS], 'fault, parts')}), x as (select * from {inline([(a, '>'.join(b)) for a, b in SOP], 'fault, sop')}),
 e as (select * from {inline([(i, f'【应急预案 {i} {n}】>' + '>'.join(s), fa, ','.join(no)) for i, n, fa, s, no in od.PLANS], 'plan_id, steps, fault, forbidden')}),
 k as (select w.*, fl, parts, x.sop, e.plan_id, e.steps, e.forbidden, row_number() over (partition by diagnosed, day order by case_id) as n from w left join l on w.fault = l.fault left join p on w.fault = p.fault left join x on w.fault = x.fault left join e on w.fault = e.fault)
-select case_id, diagnosed as handled, case when diagnosed then 'WO-' || strftime(day, '%Y%m%d') || '-' || lpad(cast(n as varchar), 4, '0') end as order_id, case when diagnosed then {FINAL} end as level, case when diagnosed then coalesce(parts, '') end as parts,
+select case_id, diagnosed as handled, case when diagnosed then 'WO-' || strftime(day, '%Y%m%d') || '-' || printf('%04d', n) end as order_id, case when diagnosed then {FINAL} end as level, case when diagnosed then coalesce(parts, '') end as parts,
  case when diagnosed then case when {FINAL} = 'red' and plan_id is not null then steps || case when sop is null then '' else '>' || sop end else coalesce(sop, '') end end as sop, case when diagnosed and {FINAL} = 'red' then plan_id end as plan_id, case when diagnosed and {FINAL} = 'red' then forbidden end as forbidden from k"""
 
 
@@ -66,7 +66,7 @@ def feedback(s, d):
 
 def asked(s, d):
     i = F.col("case_id")
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("case_id")).withColumn("question", F.element_at(F.array(*map(F.lit, QUESTIONS)), (i % 14 + 1).cast("int")))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("case_id")).withColumn("question", F.element_at(F.array(*map(F.lit, QUESTIONS)), (i % len(QUESTIONS) + 1).cast("int")))
     q = cx.procedures(o, values(s, ALIASES, "ord, procedure, alias"))
     since, until = cx.date_range(F.col("question"), F.lit(REF).cast("date"))
     return q.withColumns({"topic": cx.route(F.col("question"), F.col("procedure")), "keyword": cx.keyword(F.col("question")), "since": since, "until": until})
@@ -162,7 +162,10 @@ QUERIES = {
         f"{WITH_G}, m as (select device_id, t, margin, regr_slope(margin, t) {trailing(120)} as s from dm) select device_id, t, round((margin - 3) / -s, 1) as eta from m where t + 1 >= 600 and (t + 1) % 60 = 0 and s < 0 and margin >= 3 and (margin - 3) / -s <= 600",
     ),
     "t_triggers": (lambda s, d: live(s, d).select("device_id", "t", "fault"), f"{LIVE} select device_id, t, fault from z"),
-    "t_diagnosed": (lambda s, d: st.diagnosed(live(s, d)).select("device_id", "t"), f"{LIVE}, h as (select device_id, t, lag(t) over (partition by device_id order by t) as p from z where fault) select device_id, t from h where p is null or t - p >= 10"),
+    "t_diagnosed": (
+        lambda s, d: st.diagnosed(live(s, d)).select("device_id", "t"),
+        f"{LIVE.replace('with ', 'with recursive ', 1)}, h as (select device_id, t, t + 10 as free from z where fault), n as (select a.device_id, a.t, b.t as later from h a asof left join h b on a.device_id = b.device_id and a.free <= b.t), g as (select device_id, t, later from n where (device_id, t) in (select (device_id, min(t)) from h group by device_id) union all select n.device_id, n.t, n.later from g join n on n.device_id = g.device_id and n.t = g.later) select device_id, t from g",
+    ),
     "t_once": (lambda s, d: st.once(live(s, d).where("fault"), ["device_id"], ["t"]).select("device_id", "t"), f"{LIVE} select device_id, min(t) as t from z where fault group by 1"),
     "t_forecast_throttle": (lambda s, d: panel(s, d).select("device_id", "t", F.coalesce(st.throttled_at(599, 60), F.lit(-1)).alias("taken")), f"{WITH} select device_id, t, case when t >= 599 then 599 + (t - 599) // 60 * 60 else -1 end as taken from panel"),
     "t_freshness": (lambda s, d: st.freshness(panel(s, d), F.lit(14_020)), f"{WITH} select device_id, max(t) as last_t, round(greatest(0, 14020 - max(t)), 1) as age, greatest(0, 14020 - max(t)) <= 30 as fresh from panel group by 1"),
@@ -205,8 +208,8 @@ QUERIES = {
         "select event_id, substr(cast(ts as varchar), 1, 19) as ts, case when event_id % 5 = 0 or event_id % 7 = 0 then null else round(value, 6) end as value from events",
     ),
     "s_strict_json": (
-        lambda s, d: store.strict_json(table(s, d, "events").select(F.when(F.col("event_id") % 9 == 0, '{"k": NaN}').when(F.col("event_id") % 7 == 0, '{"k": 1, oops}').when(F.col("event_id") % 5 == 0, " ").otherwise(F.col("props")).alias("value")), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")),
-        "select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events where event_id % 9 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0 group by 1",
+        lambda s, d: store.strict_json(table(s, d, "events").select(F.when(F.col("event_id") % 9 == 0, '{"k": NaN}').when(F.col("event_id") % 11 == 0, '{"s": "say \\"NaN\\" \\\\", "k": -1}').when(F.col("event_id") % 13 == 0, '{"s": "a\\\\", "k": Infinity}').when(F.col("event_id") % 7 == 0, '{"k": 1, oops}').when(F.col("event_id") % 5 == 0, " ").otherwise(F.col("props")).alias("value")), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")),
+        "select case when event_id % 11 = 0 then -1 else cast(json_extract_string(props, '$.k') as bigint) end as k, count(*) as n from events where event_id % 9 <> 0 and (event_id % 11 = 0 or event_id % 13 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0) group by 1",
     ),
     "r_alert_kinds": (
         lambda s, d: r.in_order(r.row_alerts(panel(s, d))).groupBy("rule_id", "level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("device_id").alias("n_devices")),

@@ -131,7 +131,7 @@ QUERIES = {
     ),
     "a_accuracy_by_kind": (lambda s, d: scored(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("correct").cast("double"))).alias("accuracy")), f"with sc as ({SCORED}) select kind, count(*) as n, round(avg(cast(correct as integer)), 6) as accuracy from sc group by 1"),
     "a_confusion": (lambda s, d: scored(s, d).groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")), f"with sc as ({SCORED}) select gold, pred, count(*) as n from sc group by 1, 2"),
-    "a_percentile_rank": (lambda s, d: m.nearest_rank(table(s, d, "documents").select("lang", "n_chars"), ["lang"], "n_chars", 0.95), "with x as (select lang, n_chars, row_number() over (partition by lang order by n_chars) - 1 as k, count(*) over (partition by lang) as n from documents where n_chars is not null) select lang, min(n_chars) as value from x where k = round_even(95e-2 * (n - 1), 0) group by 1"),
+    "a_percentile_rank": (lambda s, d: m.nearest_rank(table(s, d, "documents").select(F.nullif("lang", F.lit("en")).alias("lang"), "n_chars"), ["lang"], "n_chars", 0.95), "with s as (select nullif(lang, 'en') as lang, n_chars from documents), x as (select lang, n_chars, row_number() over (partition by lang order by n_chars) - 1 as k, count(*) over (partition by lang) as n from s where n_chars is not null) select lang, min(n_chars) as value from x where k = round_even(95e-2 * (n - 1), 0) group by 1"),
     "a_calibration": (lambda s, d: m.calibration(scored(s, d), ["kind"]).select("kind", "n", r6("brier").alias("brier"), r6("ece").alias("ece")), f"with sc as ({SCORED}), b as (select kind, least(floor(conf * 10), 9) as b, count(*) as n, sum(cast(correct as integer)) as h, sum(conf) as c, sum((conf - cast(correct as integer)) * (conf - cast(correct as integer))) as q from sc where conf between 0 and 1 group by 1, 2) select kind, cast(sum(n) as bigint) as n, round(sum(q) / sum(n), 6) as brier, round(sum(abs(h - c)) / sum(n), 6) as ece from b group by 1"),
     "a_class_f1": (
         lambda s, d: m.class_f1(sets(s, d), "gold", "pred").select("label", "tp", "fp", "fn", r6("f1").alias("f1")),

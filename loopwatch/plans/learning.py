@@ -163,8 +163,8 @@ QUERIES = {
         f"with s as ({SAMPLES}), g as (select root_cause, k, avg(reward) as reward, avg(reward) filter (where correct) as won from s group by 1, 2) select root_cause, round(avg(reward), 6) as reward_mean, round(stddev_pop(reward), 6) as reward_std, round(avg(won), 6) as won_mean, round(stddev_pop(won), 6) as won_std from g group by 1",
     ),
     "a_describe": (
-        lambda s, d: ev.describe(table(s, d, "documents").where("source is not null"), "source", "n_chars").select("source", "min", "max", r6("mean").alias("mean"), "total", "p50", "p95"),
-        "with x as (select source, n_chars, row_number() over (partition by source order by n_chars) - 1 as k, count(*) over (partition by source) as n from documents where n_chars is not null and source is not null) select source, min(n_chars) as min, max(n_chars) as max, round(avg(n_chars), 6) as mean, cast(sum(n_chars) as bigint) as total, max(case when k = round_even(5e-1 * (n - 1), 0) then n_chars end) as p50, max(case when k = round_even(95e-2 * (n - 1), 0) then n_chars end) as p95 from x group by 1",
+        lambda s, d: ev.describe(table(s, d, "documents").withColumn("source", F.nullif("source", F.lit("src0"))), "source", "n_chars").select("source", "min", "max", r6("mean").alias("mean"), "total", "p50", "p95"),
+        "with s as (select nullif(source, 'src0') as source, n_chars from documents), x as (select source, n_chars, row_number() over (partition by source order by n_chars) - 1 as k, count(*) over (partition by source) as n from s where n_chars is not null) select source, min(n_chars) as min, max(n_chars) as max, round(avg(n_chars), 6) as mean, cast(sum(n_chars) as bigint) as total, max(case when k = round_even(5e-1 * (n - 1), 0) then n_chars end) as p50, max(case when k = round_even(95e-2 * (n - 1), 0) then n_chars end) as p95 from x group by 1",
     ),
     "a_cause_errors": (lambda s, d: ev.cause_errors(sets(s, d)), f"with st as ({SETS}), x as (select unnest(list_filter(gold, lambda g: not list_contains(pred, g))) as cause, 'missed' as error from st union all select unnest(list_filter(pred, lambda g: not list_contains(gold, g))), 'extra' from st) select cause, error, count(*) as n from x group by 1, 2"),
     "a_trace_total": (lambda s, d: records(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("latency")).alias("total"), r6(F.avg("latency")).alias("mean")), f"with r as ({RECORDS}) select kind, count(*) as n, round(sum(latency), 6) as total, round(avg(latency), 6) as mean from r group by 1"),

@@ -65,7 +65,7 @@ def parse_jsonl(lines: DataFrame, schema: str, strict: bool = False) -> DataFram
 
 def strict_json(lines: DataFrame, schema: str) -> DataFrame:
     """Rows of JSON lines; one with a bare NaN or Infinity, which Spark would read, counts as malformed and goes."""
-    bare = F.regexp_replace("value", r'"(?:[^"\\\\]|\\\\.)*"', '""').rlike(r"NaN|Infinity")
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*"', '""').rlike(r"NaN|Infinity")
     return parse_jsonl(lines.where(~bare), schema)
 
 
