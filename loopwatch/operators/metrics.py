@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +90,54 @@ def bootstrap(df: DataFrame, cluster: str, values: str | list[str], draws: int =
     named = [(v, F.col(v)) for v in values] + [(f"{v}-{values[0]}", F.col(v) - F.col(values[0])) for v in values[1:]]
     long = means.select(F.explode(F.array(*(F.struct(F.lit(n).alias("method"), x.alias("m")) for n, x in named))).alias("r")).select("r.*")
     return long.groupBy("method").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg("m").alias("mean"))
+
+
+#: Cumulated probabilities of the Poisson distribution of mean 1, in parts of 2**32: a count is how many of them a hash reaches.
+POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(10)]
+#: Odd multipliers of the hash.
+_BY_CLUSTER, _BY_DRAW, _MIX = 2654435761, 2246822519, 73244475
+_32 = (1 << 32) - 1
+
+
+def draw_counts(clusters: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """How often each draw takes each cluster: a count of mean 1 from a 32-bit hash of seed, draw and cluster, which any engine can
+    repeat. clusters: whole numbers."""
+    low = np.uint64(_32)
+    a = (clusters.astype(np.uint64) & low) * np.uint64(_BY_CLUSTER) & low
+    b = (draws.astype(np.uint64) + np.uint64(seed)) * np.uint64(_BY_DRAW) & low
+    h = a[:, None] ^ b[None, :]
+    for _ in range(2):
+        h = (h ^ h >> np.uint64(16)) * np.uint64(_MIX) & low
+    return np.searchsorted(np.array(POISSON, np.uint64), h ^ h >> np.uint64(16), side="right")
+
+
+def paired_bootstrap(df: DataFrame, cluster: str, values: list[str], draws: int = 10_000, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """method, mean (of all rows), lo and hi of each value's pooled mean under resampling of clusters, and of its difference to the
+    first's (method a-b), by percentiles; all methods take the same draws. cluster is a column of whole numbers; rows without it
+    don't count, and a missing value adds nothing to its sum.
+
+    Clusters are summed first. A task then adds up its clusters for all draws in arrays, and hands on a row for each draw: no row
+    for a cluster and draw ever exists, and memory is bounded by the draws. Each draw takes a cluster a hashed number of times of
+    mean 1, so clusters need no numbers and no task has to know them all."""
+    sums = df.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).cast("long").alias("_c")).agg(*(F.coalesce(F.sum(F.col(v).cast("double")), F.lit(0.0)).alias(f"_s{i}") for i, v in enumerate(values)), F.count(F.lit(1)).cast("double").alias("_n"))
+    width = len(values) + 1
+
+    def run(batches):
+        total = np.zeros((width, draws))
+        for b in batches:
+            rows = np.stack([b.column(1 + i).to_numpy() for i in range(width)])
+            ids = b.column(0).to_numpy()
+            for lo in range(0, len(ids), 64):  # counts of a few clusters at a time
+                total += rows[:, lo : lo + 64] @ draw_counts(ids[lo : lo + 64], np.arange(draws), seed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), *(pa.array(x) for x in total)], names=["draw", *(f"_s{i}" for i in range(width - 1)), "_n"])
+
+    schema = ", ".join(["draw int", *(f"_s{i} double" for i in range(width - 1)), "_n double"])
+    each = sums.mapInArrow(run, schema).groupBy("draw").agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(width - 1)), F.sum("_n").alias("_n")).where("_n > 0")
+    whole = sums.agg(*((F.sum(f"_s{i}") / F.sum("_n")).alias(f"_m{i}") for i in range(width - 1)))
+    names = [(v, (i,)) for i, v in enumerate(values)] + [(f"{v}-{values[0]}", (i, 0)) for i, v in enumerate(values) if i]
+    of = lambda cols, ks: F.col(cols[ks[0]]) if len(ks) == 1 else F.col(cols[ks[0]]) - F.col(cols[ks[1]])
+    means = each.select(*((F.col(f"_s{i}") / F.col("_n")).alias(f"_d{i}") for i in range(width - 1)))
+    drawn = means.select(F.explode(F.array(*(F.struct(F.lit(n).alias("method"), of([f"_d{i}" for i in range(width - 1)], ks).alias("m")) for n, ks in names))).alias("x")).select("x.*")
+    points = whole.select(F.explode(F.array(*(F.struct(F.lit(n).alias("method"), of([f"_m{i}" for i in range(width - 1)], ks).alias("mean")) for n, ks in names))).alias("x")).select("x.*")
+    edge = (1 - share) / 2
+    return points.join(drawn.groupBy("method").agg(F.percentile("m", F.lit(edge)).alias("lo"), F.percentile("m", F.lit(1 - edge)).alias("hi")), "method")

@@ -6,6 +6,11 @@ the plain ones here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,3 +145,70 @@ class Persistence(Forecaster):
 
     def forecast(self, windows: DataFrame) -> DataFrame:
         return windows.withColumn("forecast", F.array_repeat(F.get(F.element_at("x", -1), F.lit(0)), self.horizon))
+
+
+class ArrowForecaster(Forecaster):
+    """A model that runs in tasks: `predict` takes an array of contexts, one in each row, and gives a row of `horizon` values for
+    each. It sees Arrow batches, never a device's whole series."""
+
+    def __init__(self, window: int = 600, horizon: int = 600):
+        self.window, self.horizon = window, horizon
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def forecast(self, windows: DataFrame) -> DataFrame:
+        """windows, whose x holds `window` values in order of time, with forecast. A missing value makes the forecast null."""
+        model, names = self, windows.columns
+        at = names.index("x")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, model.window))
+                whole = ~np.isnan(x).any(axis=1)
+                out: list = [None] * b.num_rows
+                for i, y in zip(np.flatnonzero(whole), model.predict(x[whole]) if whole.any() else (), strict=True):
+                    out[i] = y
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], names=[*names, "forecast"])
+
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields]
+        return windows.mapInArrow(run, ", ".join([*fields, "forecast array<double>"]))
+
+
+class HoldLast(ArrowForecaster):
+    """The last value goes on."""
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.repeat(x[:, -1:], self.horizon, axis=1)
+
+
+class Trend(ArrowForecaster):
+    """The last value goes on along the least-squares slope of its context: what stands in when no model does."""
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.arange(x.shape[1]) - (x.shape[1] - 1) / 2
+        slope = (x - x.mean(axis=1, keepdims=True)) @ at / (at @ at)
+        return x[:, -1:] + slope[:, None] * np.arange(1, self.horizon + 1)[None, :]
+
+
+def backtest(df: DataFrame, channel: str, model: ArrowForecaster, n_eval: int = 10) -> DataFrame:
+    """device_id, origin, step, forecast, actual and error (relative, over 1e-6 at least) of the last n_eval horizons of each device,
+    which don't overlap; an origin is the first reading that the model doesn't see. Origins without a whole context (a reading for
+    each second) drop out. Each reading goes to the contexts that hold it, and those are grouped by device and origin."""
+    w, h = model.window, model.horizon
+    ends = df.groupBy("device_id").agg((F.max("t") + 1).alias("n"))
+    rows = df.select("device_id", "t", F.col(channel).cast("double").alias("v")).join(ends, "device_id")
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("t") - w) / h) - 1), F.least(F.lit(n_eval - 1), F.ceil((F.col("n") - F.col("t")) / h) - 2)
+    held = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("origin", F.col("n") - h * (F.col("k") + 1))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: p["v"])
+    contexts = held.groupBy("device_id", "origin").agg(x.alias("x"), F.count(F.lit(1)).alias("c"), F.min("t").alias("lo")).where((F.col("c") == w) & (F.col("lo") == F.col("origin") - w)).select("device_id", "origin", "x")
+    steps = model.forecast(contexts).select("device_id", "origin", F.posexplode("forecast").alias("step", "forecast")).withColumn("t", F.col("origin") + F.col("step"))
+    actual = df.select("device_id", "t", F.col(channel).cast("double").alias("actual"))
+    error = F.abs(F.col("forecast") - F.col("actual")) / F.greatest(F.abs("actual"), F.lit(1e-6))
+    return steps.join(actual, ["device_id", "t"]).select("device_id", "origin", "step", "forecast", "actual", error.alias("error"))
+
+
+def errors_by_step(df: DataFrame, channel: str, models: dict[str, ArrowForecaster], n_eval: int = 10) -> DataFrame:
+    """method, device_id, step, n and mape (a share) of each model over the same origins."""
+    every = [backtest(df, channel, m, n_eval).withColumn("method", F.lit(name)) for name, m in models.items()]
+    return reduce(DataFrame.unionByName, every).groupBy("method", "device_id", "step").agg(F.count("error").alias("n"), F.avg("error").alias("mape"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loopwatch.contract import REQUIRED, fill_contract, validate
 
 BUCKET = 3600
+#: Buckets that a filter lists.
+MOST_BUCKETS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +49,45 @@ def insert_ignore(stored: DataFrame, new: DataFrame, key: list[str], arrival: st
     return first.select(*new.columns).join(stored.select(*key), key, "left_anti")
 
 
+def insert(spark: SparkSession, path: str, new: DataFrame, key: list[str], arrival: str = "arrival_seq", files: int = 4) -> None:
+    """Writes the new rows whose key the store at path doesn't hold yet. Only the buckets of the new rows are read, and they are
+    written anew whole, each in a few files, by overwriting those partitions alone; doing it again changes nothing. One writer at
+    a time. A bucket's readings are dealt by key, so a full one is no task of its own."""
+    new = new.withColumn("bucket", F.floor(F.col("t") / BUCKET).cast("bigint"))
+    stored = _existing(spark, path, new.schema)
+    if stored is None:
+        rows = insert_ignore(new.limit(0), new, key, arrival)
+    else:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().orderBy("bucket").limit(MOST_BUCKETS + 1).collect()]
+        # more buckets than a filter should list: the span that they cover
+        inside = F.col("bucket").isin(touched) if len(touched) <= MOST_BUCKETS else F.col("bucket").between(*new.agg(F.min("bucket"), F.max("bucket")).first())
+        held = stored.where(inside).select(*new.columns)
+        if len(touched) > MOST_BUCKETS:
+            held = held.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        rows = held.unionByName(insert_ignore(held, new, key, arrival))
+    spread = F.pmod(F.xxhash64(*key), F.lit(files))
+    rows.repartition("bucket", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _existing(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store, its bucket as a column that filters prune by."""
+    return spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("bigint"))
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """bucket, n_rows, n_files and bytes of each partition of a store, from the files' own metadata; no column is read."""
+    files = spark.read.parquet(path).select(F.col("bucket").cast("bigint").alias("bucket"), "_metadata.file_path", "_metadata.file_size")
+    each = files.groupBy("bucket", "file_path", "file_size").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("bucket").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.sum("file_size").alias("bytes"))
+
+
 def partition_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(F.floor(F.col("t") / BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -99,6 +140,43 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def manifest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, n_rows and mark: an order-free digest of a table's rows, whole or by part. Rows in other files, partitions or order give
+    the same; a changed, missing or repeated row gives another. A row's mark is the hash of its columns in the order of their names;
+    sums of two independent hashes stand for the set."""
+    by = by or []
+    columns = [F.col(c) for c in sorted(df.columns)]
+    part = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    digest = F.md5(text)
+    low, high = (F.conv(F.substring(digest, k, 15), 16, 10).cast("bigint") for k in (1, 17))
+    marked = df.select(*by, low.alias("_low"), high.alias("_high"))
+    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", part(F.col("_low")), part(F.col("_high"))).alias("mark"))
+
+
+def write_with_manifest(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Writes rows to path/data, then what was written, read again: path/manifest with the rows' digests, path/files with the files'."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/data")
+    manifest(spark.read.schema(df.schema).parquet(f"{path}/data"), by).write.mode("overwrite").parquet(f"{path}/manifest")
+    digests(spark, f"{path}/data").withColumn("path", F.element_at(F.split("path", "/"), -1)).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def read_verified(spark: SparkSession, path: str, by: list[str] | None = None, files: bool = True) -> DataFrame:
+    """The rows of write_with_manifest; raises ValueError where the rows' digests, or the files' unless `files` is false (rows that
+    were moved to other files), aren't those of the manifest."""
+    rows = spark.read.parquet(f"{path}/data")
+    checks = [(manifest(rows, by), spark.read.parquet(f"{path}/manifest"))]
+    if files:
+        now = digests(spark, f"{path}/data").withColumn("path", F.element_at(F.split("path", "/"), -1))
+        checks.insert(0, (now, spark.read.parquet(f"{path}/files")))
+    for now, then in checks:
+        off = now.exceptAll(then.select(*now.columns)).unionByName(then.select(*now.columns).exceptAll(now))
+        if bad := off.limit(3).collect():
+            raise ValueError(f"{path} is not what its manifest says: {bad}")
+    return rows
+
+
 def latest_series(df: DataFrame, channels: list[str], n: int = 600) -> DataFrame:
     """Per device its last n readings as one array for each channel, in time order."""
     w = Window.partitionBy("device_id").orderBy(F.desc("t"))
