@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopwatch.functions.dims import small
 from loopwatch.functions import features as f
+from loopwatch.sources.store import written
 
 # Sensors of the knowledge graph that rules point at; rules not named here point at none.
 RULE_SENSOR = {
@@ -91,9 +92,19 @@ def dew_predict(df: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def all_alerts(df: DataFrame, span: int = 86400, least: int = 3600) -> DataFrame:
-    """Alerts of all rules; the inlet's limit follows the season once it is known. Unordered: see `in_order`."""
-    seasonal = row_alerts(f.seasonal_inlet_threshold(df, span, least), F.col("threshold"))
-    return seasonal.unionByName(pressure_oscillation(df)).unionByName(heat_drift(df)).unionByName(pq_alerts(df)).unionByName(dew_predict(df))
+    """Alerts of all rules; the inlet's limit follows the season once it is known. Unordered: see `in_order`.
+
+    The readings are written once, as each windowed rule reads a few columns of them. What looks at one reading alone is one scan;
+    only the inlet's temperatures go through the season's sums."""
+    df = written(df)
+    alone = [x for x in row_rules() if x[0] != "INLET_TEMP_HIGH"]
+    off = f.pq_offset()
+    once = _alerts(df, [*alone, ("PQ_OFFSET", F.abs(off) > OFFSET, off)])
+    season = f.seasonal_inlet_threshold(df.select("device_id", "t", "inlet_temp"), span, least)
+    limit = F.coalesce("threshold", F.lit(INLET))
+    inlet = _alerts(season, [("INLET_TEMP_HIGH", F.col("inlet_temp") > limit, F.col("inlet_temp"))])
+    drift = heat_drift(df.select("device_id", "t", "furnace_temp", "electric_power", "operating_condition"))
+    return once.unionByName(inlet).unionByName(pressure_oscillation(df.select("device_id", "t", "pressure"))).unionByName(drift).unionByName(dew_predict(df.select("device_id", "t", "cabinet_temp", "cabinet_humidity")))
 
 
 def in_order(alerts: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ class Trend(ArrowForecaster):
 def backtest(df: DataFrame, channel: str, model: ArrowForecaster, n_eval: int = 10) -> DataFrame:
     """device_id, origin, step, forecast, actual and error (relative, over 1e-6 at least) of the last n_eval horizons of each device,
     which don't overlap; an origin is the first reading that the model doesn't see. Origins without a whole context (a reading for
-    each second) drop out. Each reading goes to the contexts that hold it, and those are grouped by device and origin."""
+    each second, none missing) drop out. Each reading goes to the contexts that hold it, and those are grouped by device and origin."""
     w, h = model.window, model.horizon
     ends = df.groupBy("device_id").agg((F.max("t") + 1).alias("n"))
     rows = df.select("device_id", "t", F.col(channel).cast("double").alias("v")).join(ends, "device_id")

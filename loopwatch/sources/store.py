@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loopwatch"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: what several branches of a plan go on from, and what a lost executor costs no
+    more than a reread."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.withColumn("bucket", F.floor(F.col("t") / BUCKET).cast("bigint")).write.mode("append").partitionBy("bucket").parquet(path)
 
