@@ -128,13 +128,6 @@ QUERIES = {
         f"with f as ({FEEDBACK}), x as (select * from {inline([(a, ','.join(chr(34) + y + chr(34) for y in b)) for a, b in SOP], 'fault, sop')}) select order_id, prompt, actual as gold, 'feedback' as kind, sha256('（人工反馈校正）经运维复核，实际根因为' || actual || '，依据现场处置确认。' || chr(10) || '{{\"root_cause\":\"' || actual || '\",\"confidence\":0.85,\"evidence\":[\"人工复核确认根因（反馈校正样本）\"],\"sop\":[' || coalesce(sop, '') || ']}}') as mark from f left join x on f.actual = x.fault where is_true_fault and prompt is not null",
     ),
     "g_ledger_append": (lambda s, d: od.learnt(feedback(s, d), F.lit(REF)), f"select order_id, '{REF}' as date, actual as component, '故障处置（反馈驱动记录）' as action, '持续优化智能体自动归档' as note from ({FEEDBACK}) where is_true_fault and actual <> root_cause"),
-    "g_recent_orders": (lambda s, d: cx.recent(values(s, LEDGER, "ord, order_id, date, component, action, note"), 30).select("order_id", "date"), f"select order_id, date from {LED} where cast(date as date) >= (select max(cast(date as date)) - 30 from {LED})"),
-    "g_component": (lambda s, d: cx.for_component(values(s, LEDGER, "ord, order_id, date, component, action, note"), "阀").select("order_id", "component"), f"select order_id, component from {LED} where contains(component, '阀')"),
-    "f_ledger_text": (lambda s, d: cx.ledger_text(values(s, LEDGER, "ord, order_id, date, component, action, note")), f"select string_agg('- [' || date || '] ' || component || ': ' || action || case when note <> '' then '（' || note || '）' else '' end, chr(10) order by ord) as text from {LED} where cast(date as date) >= (select max(cast(date as date)) - 60 from {LED})"),
-    "f_schedule_text": (
-        lambda s, d: cx.schedule_text(values(s, [(i, *p) for i, p in enumerate(cx.PHASES)], "ord, start, end, phase, load"), 4),
-        "select string_agg('- ' || s || '~' || e || ' ' || phase || ' 负载' || cast(cast(round(load * 100) as integer) as varchar) || '%', chr(10) order by ord) as text from (values " + ", ".join(f"({i}, '{a}', '{b}', '{c}', {e!r})" for i, (a, b, c, e) in enumerate(cx.PHASES)) + ") as v(ord, s, e, phase, load) where ord >= 2",
-    ),
     "g_question_route": (lambda s, d: asked(s, d).select("case_id", "procedure", "topic"), f"{ANSWERED} select case_id, procedure, topic from c"),
     "g_question_range": (lambda s, d: asked(s, d).select("case_id", "keyword", F.col("since").cast("string").alias("since"), F.col("until").cast("string").alias("until")), f"{ANSWERED} select case_id, keyword, cast(since as varchar) as since, cast(until as varchar) as until from c"),
     "g_maintenance_search": (

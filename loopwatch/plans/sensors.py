@@ -242,8 +242,4 @@ select device_id, rule_id, count(*) as n, round(sum(round_even(v, 2)), 6) as tot
         lambda s, d: r.sensors_or_default(r.row_alerts(panel(s, d).where("device_id % 2 = 0")), panel(s, d).select("device_id").distinct(), values(s, SENSORS, "rule_id, sensor")).select("device_id", F.array_join("sensors", ",").alias("sensors")),
         f"{ALERTS}, x as (select device_id, string_agg(distinct sensor, ',' order by sensor) as s from row_alerts a join {inline(SENSORS, 'rule_id, sensor')} on a.rule_id = v.rule_id where device_id % 2 = 0 group by 1) select p.device_id, coalesce(s, '出水温度,压力,流量,湿度') as sensors from (select distinct device_id from panel) p left join x on p.device_id = x.device_id",
     ),
-    "r_rule_nodes": (
-        lambda s, d: r.nodes_of(r.all_alerts(panel(s, d).where("device_id % 2 = 0"), 7200), values(s, r.RULE_NODE, "rule_id, node, note")).groupBy("device_id", "node", "note").agg(F.count(F.lit(1)).alias("n")),
-        None,
-    ),
 }
