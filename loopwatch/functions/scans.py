@@ -39,6 +39,20 @@ def nearest_valid(df: DataFrame, values: dict[str, Column], by: list[str], own:
     return out.drop("_b", *(f"_{x}_{n}" for n in values for x in "vio"))
 
 
+def numbered(df: DataFrame, by: list[str], coarse: list[Column], order: list[str], name: str = "k", total: str | None = None) -> DataFrame:
+    """df with its rows numbered from 1 on within `by`, in `order`; with total, how many there are. coarse: columns that never fall
+    as the order goes on. Rows are counted by them first and numbered within them, so a large group is spread over tasks."""
+    marks = [f"_num_c{i}" for i in range(len(coarse))]
+    rows = df.withColumns(dict(zip(marks, coarse, strict=True)))
+    counts = rows.groupBy(*by, *marks).agg(F.count(F.lit(1)).alias("_num_n"))
+    upto = Window.partitionBy(*by).orderBy(*marks).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.select(*by, *marks, (F.sum("_num_n").over(upto) - F.col("_num_n")).alias("_num_o"), F.sum("_num_n").over(Window.partitionBy(*by)).alias("_num_t"))
+    inside = rows.withColumn("_num_k", F.row_number().over(Window.partitionBy(*by, *marks).orderBy(*order)))
+    out = null_safe(inside, counts, [*by, *marks]).withColumn(name, F.col("_num_k") + F.col("_num_o"))
+    out = out.withColumn(total, F.col("_num_t")) if total else out
+    return out.drop("_num_k", "_num_o", "_num_t", *marks)
+
+
 def in_frames(df: DataFrame, before: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
     """df with columns over windows that look back at most `before` readings of a device; the callable gets the ordered window."""
     numbered = running(df, {"_k": F.lit(1)}, block)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwatch.functions.dims import small
+from loopwatch.functions.features import BLOCK
+from loopwatch.functions.scans import numbered
 
 
 def sliding_windows(df: DataFrame, span: int, step: int) -> DataFrame:
@@ -94,8 +96,8 @@ def labelled_windows(df: DataFrame, span: int = 1200, step: int = 600, tail: int
         out = out.where(F.contains("label", F.lit("+")) == composite)
     if keep is None:
         return out
-    w = Window.partitionBy("label").orderBy("device_id", "start")
-    ranked = out.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("label"))})
+    # a label's windows are counted by device and stretch of time before they are numbered
+    ranked = numbered(out, ["label"], [F.col("device_id"), F.floor(F.col("start") / (64 * BLOCK))], ["start"], "_k", "_n").withColumn("_k", F.col("_k") - 1)
     return ranked.where(F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / keep)) == 0).where(F.floor(F.col("_k") / F.greatest(F.lit(1), F.floor(F.col("_n") / keep))) < keep).drop("_k", "_n")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loopwatch.functions.scans import numbered
 from loopwatch.operators import graph as g
 from loopwatch.operators import metrics as m
 from loopwatch.plans.common import WITH, inline, panel, r6, table, values
@@ -148,7 +148,7 @@ QUERIES = {
     ),
     "a_cluster_bootstrap": (lambda s, d: m.bootstrap(scored(s, d).withColumns({"a": F.col("correct").cast("int"), "b": (F.col("conf") > 0.5).cast("int")}), "kind", ["a", "b"]).select("method", *(r6(c).alias(c) for c in ("lo", "hi", "mean"))), BOOT),
     "a_reward_monitor": (
-        lambda s, d: scored(s, d).withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))).groupBy("kind", F.floor((F.col("seq") - 1) / 256).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("mean"), r6(F.stddev_pop("conf")).alias("dev")),
+        lambda s, d: numbered(scored(s, d), ["kind"], [F.floor(F.col("doc_id") / 4096)], ["doc_id"], "seq").groupBy("kind", F.floor((F.col("seq") - 1) / 256).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("mean"), r6(F.stddev_pop("conf")).alias("dev")),
         f"with sc as ({SCORED}), x as (select *, row_number() over (partition by kind order by doc_id) as seq from sc) select kind, (seq - 1) // 256 as window_id, count(*) as n, round(avg(conf), 6) as mean, round(stddev_pop(conf), 6) as dev from x group by 1, 2",
     ),
     "a_spearman": (

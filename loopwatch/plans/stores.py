@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from loopwatch.contract import CHANNELS
 from loopwatch.operators import answers as an
+from loopwatch.operators import audit as au
 from loopwatch.operators import metrics as m
 from loopwatch.operators import scoring as sc
+from loopwatch.operators import text as tx
 from loopwatch.plans.common import WITH, panel, r6, table
 from loopwatch.sources import session, store
+from loopwatch.streaming import processor
 
 
 def built(s, d) -> str:
@@ -77,7 +80,65 @@ x as (select o.device_id, origin, max(case when t = origin - 1 then outlet_temp
 s as (select x.device_id, p.t - origin as step, outlet_temp as y, last as hold, last + slope * (p.t - origin + 1) as trend from x join panel p on p.device_id = x.device_id and p.t >= origin and p.t < origin + 120)
 select method, device_id, cast(step as integer) as step, count(*) as n, round(avg(abs(f - y) / greatest(abs(y), 1e-6)), 6) + 0e0 as mape from (select device_id, step, y, 'hold' as method, hold as f from s union all select device_id, step, y, 'trend', trend from s) group by 1, 2, 3"""
 
+def as_text(s, d):
+    """The panel as a recorder's text columns, with a time that can't be read and pressures that are no numbers."""
+    p = panel(s, d)
+    when = F.when(F.col("t") % 17 == 0, "bad").otherwise(F.date_format(F.timestamp_seconds(1_767_225_600 + F.col("t")), "yyyy-MM-dd HH:mm:ss"))
+    pressure = F.when(F.col("t") % 19 == 0, "NaN").when(F.col("t") % 23 == 0, "-").otherwise(F.col("pressure").cast("string"))
+    return p.select(when.alias("timestamp"), *(pressure.alias(c) if c == "pressure" else F.col(c).cast("string").alias(c) for c in CHANNELS), "operating_condition", "fault_label", "device_id", F.floor(F.col("t") / 2048).alias("part"))
+
+
+def folder(s) -> str:
+    return f"{store.shared_folder(s)}/files/{uuid.uuid4().hex}"
+
+
+def by_condition(df):
+    return df.groupBy("operating_condition").agg(F.count(F.lit(1)).alias("n"), F.count("timestamp").alias("n_times"), F.count("pressure").alias("n_pressures"), F.round(F.sum("pressure"), 3).alias("total"), F.max("timestamp").cast("string").alias("last"))
+
+
+def csv_scan(s, d):
+    path = folder(s)
+    as_text(s, d).drop("part").write.option("header", True).csv(path)
+    return by_condition(store.read_csv(s, path))
+
+
+def upload(s, d):
+    """JSON lines that lack most of the contract's columns; lines without a time go."""
+    path = folder(s) + ".jsonl"
+    as_text(s, d).select("timestamp", "pressure", "operating_condition").write.json(path)
+    return by_condition(store.read_upload(s, path))
+
+
+def replayed(s, d):
+    """The CSV files as a stream, a few for each batch."""
+    path = folder(s)
+    as_text(s, d).repartition("part").drop("part", "device_id").write.option("header", True).csv(f"{path}/in")
+    stream = store.replay(s, f"{path}/in", 4)
+    return by_condition(processor.run_available(s, stream, path))
+
+
+def by_condition_sql(keep: str) -> str:
+    return f"""{WITH}, x as (select *, case when t % 17 <> 0 then make_timestamp((1767225600 + t) * 1000000) end as ts, case when t % 19 <> 0 and t % 23 <> 0 then pressure end as p from panel)
+select operating_condition, count(*) as n, count(ts) as n_times, count(p) as n_pressures, round(sum(p), 3) as total, cast(max(ts) as varchar) as last from x where {keep} group by 1"""
+
+
+def evidence(s, d):
+    """What each window of the panel could quote, every third wrongly, and whether it is traced to its sensors."""
+    stats = au.window_statistics(panel(s, d), ["pressure", "outlet_temp"])
+    named = F.when(F.col("channel") == "pressure", "管道压力").otherwise("出水温度")
+    w = stats.groupBy("device_id", "window_id").agg(F.array_sort(F.collect_list(F.struct(named.alias("name"), "mean", "deviation", "slope"))).alias("observed"))
+    n = F.col("device_id") * 1000 + F.col("window_id")
+    off = F.when(n % 3 == 0, 1.0).otherwise(0.0)
+    items = F.transform("observed", lambda x: F.concat(x["name"], F.lit("均值 "), F.format_string("%.1f", x["mean"] + off)))
+    said = F.when(n % 5 == 0, F.expr("cast(array() as array<string>)")).when(n % 7 == 0, F.array(F.lit("缺失通道：湿度"))).otherwise(F.array_append(items, F.lit("缺失通道：湿度")))
+    return w.select("device_id", "window_id", tx.traceable(said, F.col("observed"), F.lit("湿度"), ["管道压力", "出水温度"]).alias("traced"))
+
+
 QUERIES = {
+    "s_csv_scan": (csv_scan, by_condition_sql("true")),
+    "s_upload": (upload, by_condition_sql("ts is not null")),
+    "s_replay": (replayed, by_condition_sql("ts is not null")),
+    "f_traced_evidence": (evidence, f"{WITH}, w as (select distinct device_id, t // 600 as window_id from panel), k as (select *, device_id * 1000 + window_id as n from w) select device_id, window_id, n % 3 <> 0 and n % 5 <> 0 and n % 7 <> 0 as traced from k"),
     "s_store_sizes": (store_sizes, f"{WITH} select t // 3600 as bucket, count(*) as n_rows, true as sized, true as few_files from panel group by 1"),
     "s_store_range": (store_range, f"{WITH} select device_id, t, round(pressure, 4) as pressure from panel where t between 1000 and 5000"),
     "s_session_source": (shared_session, f"{WITH} select cast(device_id as varchar) as what, count(*) as n, max(t) as last_t from panel group by 1 union all select operating_condition, count(*), max(t) from panel group by 1"),
