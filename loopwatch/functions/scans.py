@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from loopwatch.functions.features import BLOCK, halo_blocks, running
+from loopwatch.sources.store import written
 
 
 def null_safe(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -22,21 +23,30 @@ def null_safe(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") ->
     return a.join(other, on, how).drop(*(f"_r_{c}" for c in by))
 
 
-def nearest_valid(df: DataFrame, values: dict[str, Column], by: list[str], own: bool = True, block: int = BLOCK) -> DataFrame:
+def nearest_valid(df: DataFrame, values: dict[str, Column], by: list[str], own: bool = True, block: int = BLOCK, stored: bool = False) -> DataFrame:
     """df with prev_ and next_ of each named value: the nearest one that isn't null before and after each row within `by`, the row's
-    own included unless `own` is false. A time occurs once within `by`."""
-    have = df.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_b", F.floor(F.col("t") / block))
+    own included unless `own` is false. A time occurs once within `by`.
+
+    The rows are read twice, for the blocks' sums and for themselves, so they are written once unless they are `stored`. They are
+    dealt once, by a hash of their block; windows and the join both keep that."""
+    have = df if stored else written(df)
+    have = have.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_b", F.floor(F.col("t") / block)).withColumn("_g", F.xxhash64(*by, "_b"))
     at = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col("t"))
-    blocks = have.groupBy(*by, "_b").agg(*(g(f"_v_{n}", at(n)).alias(f"_{x}_{n}") for n in values for x, g in (("f", F.min_by), ("l", F.max_by))))
+    keys = ["_g", *by, "_b"]
+    blocks = have.groupBy(*keys).agg(*(g(f"_v_{n}", at(n)).alias(f"_{x}_{n}") for n in values for x, g in (("f", F.min_by), ("l", F.max_by))))
     edge = (Window.unboundedPreceding, -1)
     up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(*edge) for o in ("_b", F.desc("_b")))
-    blocks = blocks.select(*by, "_b", *(F.last(f"_l_{n}", True).over(up).alias(f"_i_{n}") for n in values), *(F.last(f"_f_{n}", True).over(down).alias(f"_o_{n}") for n in values))
+    blocks = blocks.select(*(F.col(c).alias(f"_r{c}") for c in keys), *(F.last(f"_l_{n}", True).over(up).alias(f"_i_{n}") for n in values), *(F.last(f"_f_{n}", True).over(down).alias(f"_o_{n}") for n in values))
     here = (Window.unboundedPreceding, 0 if own else -1)
-    up, down = (Window.partitionBy(*by, "_b").orderBy(o).rowsBetween(*here) for o in ("t", F.desc("t")))
-    local = have.withColumns({f"{x}_{n}": F.last(f"_v_{n}", True).over(w) for n in values for x, w in (("prev", up), ("next", down))})
-    both = null_safe(local, blocks, [*by, "_b"], "left")
+    up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(*here) for o in ("t", F.desc("t")))
+    local = have.repartition("_g").withColumns({f"{x}_{n}": F.last(f"_v_{n}", True).over(w) for n in values for x, w in (("prev", up), ("next", down))})
+    # the hash alone is the join's key, so that rows stay where they are; equal hashes of other blocks are told apart behind it
+    same = F.lit(True)
+    for c in (*by, "_b"):
+        same = same & F.coalesce(F.col(c).eqNullSafe(F.col(f"_r{c}")), F.lit(False))
+    both = local.join(blocks, (F.col("_g") == F.col("_r_g")) & same, "left")
     out = both.withColumns({f"{x}_{n}": F.coalesce(f"{x}_{n}", f"_{y}_{n}") for n in values for x, y in (("prev", "i"), ("next", "o"))})
-    return out.drop("_b", *(f"_{x}_{n}" for n in values for x in "vio"))
+    return out.drop("_b", "_g", *(f"_r{c}" for c in keys), *(f"_{x}_{n}" for n in values for x in "vio"))
 
 
 def numbered(df: DataFrame, by: list[str], coarse: list[Column], order: list[str], name: str = "k", total: str | None = None) -> DataFrame:
@@ -55,8 +65,8 @@ def numbered(df: DataFrame, by: list[str], coarse: list[Column], order: list[str
 
 def in_frames(df: DataFrame, before: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
     """df with columns over windows that look back at most `before` readings of a device; the callable gets the ordered window."""
-    numbered = running(df, {"_k": F.lit(1)}, block)
-    rows = halo_blocks(numbered.withColumn("_k", F.col("_k") - 1), "_k", before, 0, block)
+    counted = running(written(df), {"_k": F.lit(1)}, block)
+    rows = halo_blocks(counted.withColumn("_k", F.col("_k") - 1), "_k", before, 0, block)
     w = Window.partitionBy("device_id", "_b").orderBy("_k")
     return rows.withColumns(columns(w)).where("_own").drop("_k", "_b", "_own")
 

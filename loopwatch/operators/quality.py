@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loopwatch.contract import CHANNELS, LABELS
 from loopwatch.functions.features import halo_blocks, ordered
 from loopwatch.functions.scans import nearest_valid
+from loopwatch.sources.store import written
 
 # Credible range of each channel, and the most it can change in a second.
 BOUNDS = {
@@ -89,18 +90,18 @@ def rate_flags(df: DataFrame, channels: list[str]) -> DataFrame:
     return df.withColumns(jumps).withColumns({f"is_jump_{c}": F.col(f"_jump_{c}") | F.lead(f"_jump_{c}", 1, False).over(ordered()) for c in channels}).drop(*jumps)
 
 
-def _neighbours(df: DataFrame, channels: list[str], *by: str) -> DataFrame:
+def _neighbours(df: DataFrame, channels: list[str], *by: str, stored: bool = False) -> DataFrame:
     """df with the time and value of the nearest readings before (prev_) and after (next_) of each channel, within `by`."""
     pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("at"), F.col(c).alias("v")))
-    return nearest_valid(df, {c: pair(c) for c in channels}, list(by), own=False)
+    return nearest_valid(df, {c: pair(c) for c in channels}, list(by), own=False, stored=stored)
 
 
-def condition_fill(df: DataFrame, channels: str | list[str]) -> DataFrame:
+def condition_fill(df: DataFrame, channels: str | list[str], stored: bool = False) -> DataFrame:
     """Missing readings take the nearest valid ones of the same condition, weighted by closeness. Of one channel, given by its
     name, the result is added as `filled`; several are replaced."""
     if isinstance(channels, str):
         return condition_fill(df.withColumn("filled", F.col(channels)), ["filled"])
-    near = _neighbours(df, channels, "device_id", "operating_condition")
+    near = _neighbours(df, channels, "device_id", "operating_condition", stored=stored)
 
     def fill(c: str):
         wp, wn = 1.0 / (F.col("t") - F.col(f"prev_{c}.at")), 1.0 / (F.col(f"next_{c}.at") - F.col("t"))
@@ -144,8 +145,8 @@ def status(completeness: Column) -> Column:
 
 def masked(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
     """First arrivals on the grid, labels filled, impossible values and outliers of each channel masked; n_out, how many of a row
-    were."""
-    df = fill_labels(to_grid(dedup_keep_first(raw)))
+    were. Steps that read what comes before twice go on from a written table."""
+    df = written(fill_labels(to_grid(dedup_keep_first(raw))))
     inside = {c: F.coalesce(F.col(c).between(*BOUNDS[c]), F.lit(True)) for c in channels}
     df = df.withColumn("n_out", sum((F.when(~x, 1).otherwise(0) for x in inside.values()), F.lit(0)))
     df = rate_flags(hampel_flags(mask_bounds(df, channels), channels), channels)
@@ -157,9 +158,9 @@ def masked(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
 
 def clean(raw: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
     """The whole chain for the channels given: masked, gaps imputed, and channels of a device that had any rounded to a tenth."""
-    df = masked(raw, channels)
+    df = written(masked(raw, channels))
     gaps = df.groupBy("device_id").agg(*(F.max(F.col(c).isNull()).alias(f"_gap_{c}") for c in channels))
-    full = linear_fill(condition_fill(df, channels), channels).join(gaps, "device_id")
+    full = linear_fill(condition_fill(df, channels, stored=True), channels).join(gaps, "device_id")
     return full.withColumns({c: F.when(F.col(f"_gap_{c}"), F.rint(F.col(c) * 10) / 10).otherwise(F.col(c)) for c in channels}).drop("n_out", *(f"_gap_{c}" for c in channels))
 
 

@@ -72,8 +72,8 @@ QUERIES = {
         r"select event_id, array_to_string(list_transform(regexp_extract_all(props || ' -1.5, x2', '-?\d+\.?\d*'), lambda x: cast(trunc(cast(x as double)) as integer)), ',') as numbers from events",
     ),
     "t_score_throttle": (lambda s, d: panel(s, d).select("device_id", "t", F.coalesce(st.throttled_at(100), F.lit(-1)).alias("taken")), f"{WITH} select device_id, t, case when t >= 100 then 100 + (t - 100) // 10 * 10 else -1 end as taken from panel"),
-    "t_transition_lock": (lambda s, d: st.transition_lock(panel(s, d)).select("device_id", "t", "locked"), f"{LOCK_SQL} select * from l"),
-    "t_sustained": (lambda s, d: st.sustained(panel(s, d), F.col("pressure") > 300).select("device_id", "t", "sustained"), f"{WITH} select device_id, t, coalesce(sum(cast(pressure > 300 as integer)) {trailing(60)} >= 25, false) as sustained from panel"),
+    "t_transition_lock": (lambda s, d: st.transition_lock(panel(s, d).select("device_id", "t", "operating_condition")).select("device_id", "t", "locked"), f"{LOCK_SQL} select * from l"),
+    "t_sustained": (lambda s, d: st.sustained(panel(s, d).select("device_id", "t", "pressure"), F.col("pressure") > 300).select("device_id", "t", "sustained"), f"{WITH} select device_id, t, coalesce(sum(cast(pressure > 300 as integer)) {trailing(60)} >= 25, false) as sustained from panel"),
     "t_first_trigger": (lambda s, d: st.first_trigger(panel(s, d), F.col("outlet_temp") > 70), f"{WITH} select device_id, min(t) as first_t from panel where outlet_temp > 70 and t >= 600 group by 1"),
     "t_sessions": (
         lambda s, d: table(s, d, "events").withColumn("gap", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) > 3_600_000_000, F.lit(True))).groupBy("user_id").agg(F.count_if("gap").alias("n_sessions")),
