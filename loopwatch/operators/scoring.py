@@ -212,3 +212,38 @@ def errors_by_step(df: DataFrame, channel: str, models: dict[str, ArrowForecaste
     """method, device_id, step, n and mape (a share) of each model over the same origins."""
     every = [backtest(df, channel, m, n_eval).withColumn("method", F.lit(name)) for name, m in models.items()]
     return reduce(DataFrame.unionByName, every).groupBy("method", "device_id", "step").agg(F.count("error").alias("n"), F.avg("error").alias("mape"))
+
+
+class ArrowScorer(Scorer):
+    """A model of windows that runs in tasks: `predict` takes an array (window, reading, channel) and gives a score for each window. A
+    block of a device's readings travels once, with what its first windows reach back to, and windows are views of it."""
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def scores(self, df: DataFrame, channels: list[str]) -> DataFrame:
+        """device_id, t and score of each reading that `window` readings end with, of a series with a row for each second. Missing
+        values reach the model as nan, and a score that is nan is null."""
+        model, width = self, self.window
+
+        def run(block: pa.Table) -> pa.Table:
+            block = block.sort_by("t")
+            values = np.stack([block[c].to_numpy().astype(np.float64) for c in channels], axis=1)
+            own = block["_own"].to_numpy()[width - 1 :]
+            if len(values) < width or not own.any():
+                ids, t, score = block["device_id"].slice(0, 0), block["t"].slice(0, 0), np.zeros(0)
+            else:
+                x = np.lib.stride_tricks.sliding_window_view(values, width, axis=0).transpose(0, 2, 1)[own]
+                keep = pa.array(np.flatnonzero(own) + width - 1)
+                ids, t, score = block["device_id"].take(keep), block["t"].take(keep), model.predict(x)
+            return pa.table({"device_id": ids, "t": t, "score": pa.array(score, pa.float64(), from_pandas=True)})
+
+        rows = halo_blocks(df.select(F.col("device_id").cast("long").alias("device_id"), F.col("t").cast("long").alias("t"), *channels), "t", width - 1)
+        return rows.groupBy("device_id", "_b").applyInArrow(run, "device_id long, t long, score double")
+
+
+class WindowEnergy(ArrowScorer):
+    """A plain stand-in: the root mean square of all of a window's values."""
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt((x * x).mean(axis=(1, 2)))

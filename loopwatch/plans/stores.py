@@ -157,10 +157,14 @@ select lang, count(*) as n_rows, cast(sum(cast('0x' || substr(h, 1, 15) as bigin
 select case_id, case when read_t is null then '还没有本轮实际监测数据' else (case when t - read_t <= 30 then '当前回放观测' else '最近一次观测（已停止或数据超过 30 秒未更新）' end) || '：' || {LABEL} || '。数据时间：' || read_t end as answer from b""",
     ),
     "g_limits": (
-        lambda s, d: an.limits(questions(s, d).where("case_id % 3 = 0")),
-        "select o_orderkey as case_id, rule, setting from orders, (values " + ", ".join(f"('{a}', '{b}')" for a, b in an.LIMITS) + ") as v(rule, setting) where o_orderkey % 3 = 0",
+        lambda s, d: an.limits(questions(s, d)),
+        "select o_orderkey as case_id, rule, setting from orders, (values " + ", ".join(f"('{a}', '{b}')" for a, b in an.LIMITS) + ") as v(rule, setting)",
     ),
     "a_paired_bootstrap": (lambda s, d: m.paired_bootstrap(judged(s, d), "o_custkey", ["lora", "dpo"]).select("method", *(r6(c).alias(c) for c in ("mean", "lo", "hi"))), bootstrap_sql()),
+    "l_window_scores": (
+        lambda s, d: sc.WindowEnergy().scores(panel(s, d), ["flow_rate", "flow_velocity"]).select("device_id", "t", r6("score").alias("score")),
+        f"{WITH}, x as (select device_id, t, count(*) over w as n, sum(flow_rate * flow_rate + flow_velocity * flow_velocity) over w as e from panel window w as (partition by device_id order by t rows between 59 preceding and current row)) select device_id, t, round(sqrt(e / 120), 6) as score from x where n = 60",
+    ),
     "l_backtest_steps": (
         lambda s, d: sc.errors_by_step(panel(s, d), "outlet_temp", {"hold": sc.HoldLast(600, 120), "trend": sc.Trend(600, 120)}, 8).select("method", "device_id", "step", "n", r6("mape").alias("mape")),
         BACKTEST,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loopwatch.functions.asof import asof
 from loopwatch.functions.dims import fixed, small
+from loopwatch.functions.features import halo_blocks
 from loopwatch.functions.scans import in_frames, nearest_valid, spaced
 from loopwatch.operators import context as cx
 from loopwatch.operators import evaluation as ev
@@ -180,6 +181,16 @@ def test_backtest(spark):
     assert hold.n == 2 and hold.mape == pytest.approx(np.mean([5 / value[1, o + 9] for o in (180, 190)]))
 
 
+def test_window_scores(spark, monkeypatch):
+    monkeypatch.setattr(sc, "halo_blocks", lambda df, k, before: halo_blocks(df, k, before, 0, 16))
+    rows = [(d, t, None if t == 40 else float(t * d), 1.0) for d, n in ((1, 100), (2, 59), (3, 60)) for t in range(n)]
+    got = {(r.device_id, r.t): r.score for r in sc.WindowEnergy().scores(spark.createDataFrame(rows, "device_id long, t long, a double, b double"), ["a", "b"]).collect()}
+    assert set(got) == {(1, t) for t in range(59, 100)} | {(3, 59)}
+    for (d, t), v in got.items():
+        x = np.array([r[2:] for r in rows if r[0] == d and t - 60 < r[1] <= t], float)
+        assert v is None if t - 60 < 40 <= t else v == pytest.approx(np.sqrt((x * x).mean()))
+
+
 def test_null_groups_and_ranks(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice([None, rng.randrange(50), rng.random() * 1e6])) for k in ("a", "b", None) for _ in range(200)] + [("c", 5.0), ("d", None)]
@@ -223,8 +234,8 @@ def test_topics(spark):
 
 
 def test_names_are_no_patterns(spark):
-    df = spark.createDataFrame([(["T(1) mean 5.0"], [("T(1)", 5.0, 0.0, 0.0)])], "e array<string>, o array<struct<name: string, mean: double, deviation: double, slope: double>>")
-    assert df.select(tx.traceable(F.col("e"), F.col("o"), F.lit(""), ["T(1)", "x+"])).first()[0] is True
+    df = spark.createDataFrame([(["T(x mean 5.0"], [("T(x", 5.0, 0.0, 0.0)])], "e array<string>, o array<struct<name: string, mean: double, deviation: double, slope: double>>")
+    assert df.select(tx.traceable(F.col("e"), F.col("o"), F.lit(""), ["T(x", "y+"])).first()[0] is True
 
 
 def test_reference_tables_have_a_size(spark):
