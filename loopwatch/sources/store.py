@@ -22,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='loopwatch-')}"
+        root = getattr(shared_folder, "own", None) or f"file://{tempfile.mkdtemp(prefix='loopwatch-')}"
+        shared_folder.own = root
     return f"{root.rstrip('/')}/loopwatch"
 
 
