@@ -163,6 +163,9 @@ def test_evidence_is_traced_by_sensor(spark):
     df = spark.createDataFrame([(seen,)], "observed array<struct<name:string,mean:double,deviation:double,slope:double>>")
     ok = lambda *items, lacking="": df.select(tx.traceable(F.array(*map(F.lit, items)) if items else F.expr("cast(array() as array<string>)"), F.col("observed"), F.lit(lacking), ["湿度", "压力"]).alias("x")).first().x
     assert ok("湿度均值71.3，压力标准差3.21") and ok("湿度71.25", "缺失通道：流量", lacking="流量")
+    assert ok("湿度71.3") and ok("湿度71.25") and not ok("湿度71.4")
+    half = df.select(F.array(F.struct(F.lit("湿度").alias("name"), *(F.lit(x).alias(n) for n, x in (("mean", 0.15), ("deviation", 3.0), ("slope", 0.0))))).alias("observed"))
+    assert half.select(tx.traceable(F.array(F.lit("湿度0.2")), F.col("observed"), F.lit(""), ["湿度"]).alias("x")).first().x  # half a unit away
     assert not ok("湿度240") and not ok("压力") and not ok() and not ok("缺失通道：流量", lacking="流量") and not ok("共3项，湿度71.3")
 
 
@@ -181,3 +184,19 @@ def test_store_round_trip_prunes(spark, tmp_path):
     assert out.count() == 11 and "PartitionFilters: [isnotnull(bucket" in out._jdf.queryExecution().toString()
     (tmp_path / "j.jsonl").write_text('{"a": 1}\n\nbad\n{"a": 2}\n')
     assert sorted(x.a for x in store.read_jsonl(spark, str(tmp_path / "j.jsonl"), "a int").collect()) == [1, 2]
+
+
+def test_a_window_that_broke_off_has_a_mean(spark):
+    from loopwatch.operators import audit
+
+    df = spark.range(0, 700).select(F.lit(1).alias("device_id"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    rows = {(held, r.window_id): r.mean for held in (False, True) for r in audit.window_statistics(df, ["x"], held=held).collect()}
+    assert rows == {(False, 0): 539.5, (True, 0): 539.5, (False, 1): None, (True, 1): 649.5}  # its last reading is at 699
+
+
+def test_a_reading_at_the_seasons_limit_does_not_exceed_it(spark):
+    """Seven readings of a and one of a + 8: the mean is a + 1, and the limit a + 8, give or take the last bits of its sums."""
+    channels = "outlet_temp pressure flow_rate conductivity cabinet_temp cabinet_humidity furnace_temp electric_power".split()
+    inlet = F.when(F.col("id") % 8 == 7, 38.1).otherwise(30.1)
+    df = spark.range(0, 4000).select(F.lit(1).alias("device_id"), F.col("id").alias("t"), inlet.alias("inlet_temp"), F.lit("idle").alias("operating_condition"), *(F.lit(1.0).alias(c) for c in channels))
+    assert not r.all_alerts(df, 8, 8).where("rule_id = 'INLET_TEMP_HIGH'").count()
