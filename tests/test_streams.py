@@ -147,3 +147,16 @@ def test_sink_survives_failure_and_replay(spark, tmp_path, monkeypatch):
     go("d")  # all batches again
     assert sorted(r.t for r in sinks.persisted(spark, f"{tmp_path}/sink", schema).collect()) == list(range(30))
     assert calls.count(1) == 3
+
+
+def test_a_part_without_spread_is_one_file(spark, tmp_path):
+    """However many splits it is read in: a stream that takes one file at a time gives it one batch."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        processor.in_order(spark, spark.range(0, 6000).withColumnRenamed("id", "t"), str(tmp_path / "in"), F.floor(F.col("t") / 2000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "in")).count() == 6000
