@@ -92,6 +92,17 @@ def test_store_inserts_once_and_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in scan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_load_without_new_keys_writes_nothing(spark, tmp_path):
+    path, rows = str(tmp_path / "s"), spark.createDataFrame([(1, 5, 0), (1, 4000, 1), (1, None, 2)], "device_id long, t long, arrival_seq long")
+    store.insert(spark, path, rows.where("t is not null"), ["device_id", "t"])
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    store.insert(spark, path, rows.where("t is not null").withColumn("arrival_seq", F.col("arrival_seq") + 9), ["device_id", "t"])
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")} == files
+    for _ in range(2):  # a row without a time is held once, too
+        store.insert(spark, path, rows, ["device_id", "t"])
+        assert sorted(r.arrival_seq for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+
+
 def test_store_with_many_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "MOST_BUCKETS", 2)
     rows = spark.range(0, 20_000, 100).select(F.lit(1).cast("long").alias("device_id"), F.col("id").alias("t"), F.col("id").alias("arrival_seq"))
