@@ -110,3 +110,9 @@ def test_fills_write_no_table_and_read_one_exchange(spark, monkeypatch):
         plan = filled._jdf.queryExecution().executedPlan().toString()
         assert "ReusedExchange" in plan
     assert set(channels) <= set(CHANNELS)
+
+
+def test_readings_without_device_or_time_take_no_part(spark):
+    rows = [(1, 0, 0, 1.0), (1, 2, 1, None), (None, 5, 2, 1.0), (1, None, 3, 1.0)]
+    raw = spark.createDataFrame(rows, "device_id long, t long, arrival_seq long, pressure double")
+    assert sorted((r.device_id, r.t, r.pressure) for r in q.linear_fill(q.on_grid(raw), ["pressure"]).collect()) == [(1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0)]
