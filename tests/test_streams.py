@@ -1,5 +1,7 @@
 """Streams: the live path against batch windows, restarts, preloads, timers, late rows and a sink that is written to twice."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,30 @@ def test_sessions_go_stale_once(spark, tmp_path):
     assert fresh == {1: False, 2: True, 3: False}  # as the stream has it at the last event's time
 
 
+def test_keys_of_a_group_go_stale_each_at_its_time(spark, tmp_path):
+    """Keys beside one another, far apart and negative: some go on, some end by a later row, some by the watermark; few groups hold them."""
+    rng = random.Random(7)
+    keys = [*range(-3, 40), 255, 256, 257, (1 << 62) + 1, -(1 << 62)]
+    steps = [sorted({(k, 200 * b + rng.randrange(200)) for k in keys for _ in range(rng.randrange(6))}, key=lambda r: r[1]) for b in range(4)]
+    rows = [[(k, s, i) for i, (k, s) in enumerate(step)] for step in steps]
+    stream = sessions.stale_sessions(events(spark, tmp_path, rows), "user_id", "ts", 30)
+    with processor.rocksdb(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r.key, int(r.first_ts.timestamp()) - 86400, int(r.last_ts.timestamp()) - 86400, r.n) for r in spark.read.schema(sessions.STALE).parquet(f"{tmp_path}/out").collect())
+    end, expected = max(s for step in steps for _, s in step), []
+    for k in keys:
+        run = []
+        for s in [*(s for step in steps for x, s in step if x == k), None]:
+            if run and (s is None or s - run[-1] > 30):
+                if s is not None or run[-1] + 30 <= end:
+                    expected.append((k, run[0], run[-1], len(run)))
+                run = []
+            run.append(s)
+    assert got == sorted(expected)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < len(keys)
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     steps = [[(1, 1000, 1), (1, 1010, 2)], [(1, 1300, 3), (1, 1010, 2)], [(1, 1310, 4), (1, 1005, 5)], [(1, 905, 6), (1, 1700, 7)], [(1, 2500, 8)]]
     stream = event_time.once(events(spark, tmp_path, steps), "ts", "event_id", "100 seconds")
