@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,51 @@ def test_a_part_without_spread_is_one_file(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(list((tmp_path / "in").glob("*.parquet"))) == 3 and spark.read.parquet(str(tmp_path / "in")).count() == 6000
+
+
+def test_history_and_stream_are_worked_out_once(spark):
+    """Rows before the seed's end fill the state and give no frames; the rows are worked out once for both."""
+    rows = [reading(d, t) for d in (1, 2) for t in range(900)]
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            worked.add(len(frame))
+            yield frame
+
+    df = spark.createDataFrame(rows, READING).repartition(3, "device_id").mapInPandas(count, READING)
+    out = processor.over_files(spark, df, processor.live, F.floor(F.col("t") / 300), dealt=True, before=F.col("t") < 250)
+    got = {(r.device_id, r.t): (r.score, r.locked, r.sustained) for r in out.collect()}
+    assert worked.value == len(rows)
+    assert set(got) == {(d, t) for d in (1, 2) for t in range(250, 900)}
+    whole = processor.over_files(spark, spark.createDataFrame(rows, READING), processor.live, F.floor(F.col("t") / 300))
+    assert got == {(r.device_id, r.t): (r.score, r.locked, r.sustained) for r in whole.where("t >= 250").collect()}
+
+
+def test_live_step_takes_no_python_step_for_each_reading():
+    """A device's readings of a batch are worked off in arrays: calls don't grow with the readings."""
+    import cProfile
+    import pstats
+
+    class Held:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value or []
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+
+    class Handle:
+        getListState = getValueState = lambda self, *_: Held()
+
+    def calls(n):
+        p = processor.LiveProcessor()
+        p.init(Handle())
+        df = pd.DataFrame([reading(1, t) for t in range(n)], columns=[c.split()[0] for c in READING.split(", ")])
+        profile = cProfile.Profile()
+        profile.runcall(p._step, (1,), df, True)
+        return pstats.Stats(profile).total_calls
+
+    assert calls(8000) < calls(2000) + 4000
