@@ -121,6 +121,29 @@ def test_passages_meet_behind_a_common_leader(spark):
     assert [(r.doc_id, r.ref_id, r.first_word, r.last_word) for r in got] == [(3, 2, 0, 49)]
 
 
+def test_passages_link_classes_whose_windows_are_covered(spark):
+    """Two texts share a passage, all of which lies in passages that each shares with texts of its own. Behind a leader that holds the
+    passage's minima and not the passage, they must still meet."""
+    rng = random.Random(23)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    shared = text(50)
+    a, b = (text(40) + shared + text(40) for _ in range(2))
+    common = [[set(x) & set(y), x] for x, y in zip(window_minima(a), window_minima(b), strict=True)]
+    while True:
+        leader = text(30)
+        for keys, at in common:
+            for k in keys:
+                leader += a[at[k] : at[k] + 5] + text(30)
+        if all(keys <= set(x) for (keys, _), x in zip(common, window_minima(leader), strict=True)):
+            break
+    parts = [leader, a[:70], a[60:], a, b[:70], b[60:], b]
+    got = passages.near_repeats(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(parts, 1)], "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.ref_id) for r in got}
+    assert {(4, 2), (4, 3), (7, 5), (7, 6)} <= pairs
+    assert pairs & {(7, 2), (7, 3), (7, 4), (5, 2), (5, 4), (6, 3), (6, 4)} == {(7, 4)}
+    assert [(r.first_word, r.last_word, r.ref_first, r.ref_last) for r in got if (r.doc_id, r.ref_id) == (7, 4)] == [(40, 89, 40, 89)]
+
+
 def test_passage_with_one_common_function(spark):
     rng = random.Random(21)
     text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
