@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loopwatch.llm import langid, licenses, line_runs, mixing, ngram_join, passages, quality, topk, warc
+from loopwatch.llm import common, langid, licenses, line_runs, mixing, ngram_join, passages, quality, topk, warc
 from loopwatch.llm import sentencepiece_codec as spc
 
 DOCS = "doc_id long, text string, lang string, source string, node string, n long"
@@ -72,6 +72,24 @@ def test_join_links_through_rows_without_id(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_components_end_with_stars(spark):
+    rng = random.Random(4)
+    scratch, saved = common.Scratch(spark), []
+    save = scratch.save
+    scratch.save = lambda df, name: saved.append(name) or save(df, name)
+    star = [(i, 7) for i in range(8, 90)] + [(7, 3), (3, 3)]
+    got = common.components(scratch, spark.createDataFrame(star, "a long, b long"), "star").collect()
+    assert sorted(map(tuple, got)) == [(i, 3) for i in [3, *range(7, 90)]]
+    assert len(saved) <= 2  # one round, its edges and its nodes: no further one that changes nothing
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(tuple, common.components(scratch, spark.createDataFrame(edges, "a long, b long"), "mixed").collect())) == sorted(least.items())
+
+
 def test_join_empty(spark, docs):
     assert ngram_join.link_components(spark, docs.limit(0)).count() == 0
     assert ngram_join.link_components(spark, docs.where("text is null")).collect()[0].n_shingles == 0
