@@ -235,6 +235,27 @@ def test_sentencepiece_matches_library(spark):
     assert back == {1: "Hello world", 2: None, 3: "", 4: "a b"}
 
 
+def test_sentencepiece_words_share_the_search_of_their_beginning():
+    import sentencepiece
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=spc.DEFAULT_MODEL), spc.Model(spc.read_model())
+    m.sizes = Counted(m.sizes)
+    rng = random.Random(6)
+    stems = ["".join(rng.choice("thingeraoslé") for _ in range(12)) for _ in range(20)]
+    texts = [" ".join(rng.choice(stems) + rng.choice("sdnrt") for _ in range(30)) for _ in range(40)] + ["", "a", "ab" * 400]
+    assert [x.tolist() for x in m.encode_all(texts)] == [sp.encode(t) for t in texts]
+    words = {w for t in texts[:40] for w in t.split()}
+    assert Counted.asked < 6 * len(words)  # a word and its space are 14 characters
+    assert [x.tolist() for x in m.encode_all(texts[::-1])] == [sp.encode(t) for t in texts[::-1]]
+
+
 def as_unigram(data):
     def varint(x):
         out = b""
